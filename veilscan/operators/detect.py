@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.functions.patterns import SPAN_TYPE, rule_hits, rule_parts, rule_spans
+from veilscan.operators.pin import pinned
 from veilscan.settings import RULES, Rule
 
 FINDING_FIELDS = ("category", "value", "masked_value", "start", "end", "confidence")
@@ -42,12 +43,10 @@ def detect(
         F.when(F.size(part[r]) > 0, rule_spans(F.col(part[r]), r)).otherwise(none) for r in rules
     ])
     found = parted.select(*docs.columns, merged.alias("_spans"))
-    return found.select(
-        *docs.columns,
-        F.when(F.size("_spans") > 0, F.transform(F.array_sort("_spans"), _public))
-        .otherwise(F.transform(none, _public))
-        .alias("findings"),
+    findings = F.when(F.size("_spans") > 0, F.transform(F.array_sort("_spans"), _public)).otherwise(
+        F.transform(none, _public)
     )
+    return pinned(found, findings=findings).select(*docs.columns, "findings")
 
 
 def _public(span: Column) -> Column:

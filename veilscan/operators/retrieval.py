@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilscan.functions.narrative import question_prompt
 from veilscan.functions.text import chunk_count, strip
+from veilscan.operators.pin import pinned
 from veilscan.settings import DEFAULT_OPTIONS, Options
 
 WINDOW_CHUNKS = 64
@@ -20,7 +21,7 @@ def chunk_text(docs: DataFrame, key: str = "doc_id", text: str = "text", options
     """
     step = options.chunk_size - options.chunk_overlap
     n = F.col("_n")
-    counted = docs.select(key, F.col(text).alias("_text"), chunk_count(F.col(text), options).alias("_n"))
+    counted = pinned(docs.select(key, F.col(text).alias("_text")), _n=chunk_count(F.col("_text"), options))
     windows = F.transform(
         F.sequence(F.lit(0), F.ceil(n / WINDOW_CHUNKS).cast("int") - 1),
         lambda w: F.struct(

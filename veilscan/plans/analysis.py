@@ -11,6 +11,7 @@ from veilscan.functions.masking import mask_text
 from veilscan.functions.risk import risk_of
 from veilscan.functions.text import BLANK_MESSAGE, is_blank
 from veilscan.operators.detect import detect
+from veilscan.operators.pin import pinned
 from veilscan.settings import DEFAULT_OPTIONS, RULES, Options, Rule
 
 SUCCESS = "Success"
@@ -32,8 +33,8 @@ def analyze(
         failed = F.coalesce(F.col("error"), failed)
     keep = [c for c in docs.columns if c != "error"]
     found = detect(docs.select(*keep, failed.alias("_error")), rules)
-    counted = found.select("*", counts_map(F.col("findings")).alias("counts"))
-    scored = counted.select("*", risk_of(F.col("counts"), rules, options).alias("_risk"))
+    counted = pinned(found, counts=counts_map(F.col("findings")))
+    scored = pinned(counted, _risk=risk_of(F.col("counts"), rules, options))
     good = F.col("_error").isNull()
     return scored.select(
         *keep,
