@@ -1,53 +1,45 @@
-"""Linear-cost array helpers built from Spark's higher-order functions.
+"""Linear-cost array helpers, as SQL text for ``F.expr``.
 
 ``aggregate`` that appends to an array copies the array at every step, which is
-quadratic in its length.  Working in blocks keeps each copy short, so the cost of
-a long array grows like n * sqrt(n) in the worst case and like n in practice.
+quadratic in its length.  Working in blocks keeps each copy short, so a long array
+costs little more than its length.
+
+Nested lambdas are written as SQL because it parses in one step, where the Column API
+needs a round trip to the JVM for every node.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 BLOCK = 256
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it in ``body`` as often as needed."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def let(name: str, value: str, body: str) -> str:
+    """Evaluate ``value`` once and use it in ``body`` as ``name``."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def in_blocks(arr: Column, block: int = BLOCK) -> Column:
+def in_blocks(arr: str, block: int = BLOCK) -> str:
     """Cut an array into consecutive slices of at most ``block`` elements."""
-    last = F.greatest(F.lit(0), F.floor((F.size(arr) - 1) / block).cast("int"))
-    return F.transform(
-        F.sequence(F.lit(0), last),
-        lambda b: F.slice(arr, b * block + 1, F.lit(block)),
-    )
+    last = f"greatest(0, cast(floor((size({arr}) - 1) / {block}) as int))"
+    return f"transform(sequence(0, {last}), b_ -> slice({arr}, b_ * {block} + 1, {block}))"
 
 
-def running_state(arr: Column, step: Callable[[Column, Column], Column], block: int = BLOCK) -> Column:
-    """Integer state *before* each element: 0 for the first, ``step(state, x)`` after.
+def running_state(arr: str, step: str, block: int = BLOCK) -> str:
+    """Integer state *before* each element: 0 for the first, ``step`` of it after.
 
-    ``running_state(lengths, lambda s, x: s + x)`` gives exclusive prefix sums.
+    ``step`` is SQL over ``s`` (state) and ``x`` (element): ``running_state('lengths',
+    's + x')`` gives exclusive prefix sums.
     """
-    empty = F.expr("cast(array() as array<int>)")
-    start = F.expr("cast(array() as array<struct<state:int,before:array<int>>>)")
-
-    def walk(done: Column, part: Column) -> Column:
-        entry = F.coalesce(F.try_element_at(done, F.lit(-1))["state"], F.lit(0))
-        folded = F.aggregate(
-            part,
-            F.struct(entry.alias("state"), empty.alias("before")),
-            lambda acc, x: F.struct(
-                step(acc["state"], x).cast("int").alias("state"),
-                F.concat(acc["before"], F.array(acc["state"])).alias("before"),
-            ),
-        )
-        return F.concat(done, F.array(folded))
-
-    blocks = F.aggregate(in_blocks(arr, block), start, walk)
-    return F.flatten(F.transform(blocks, lambda b: b["before"]))
+    fold = (
+        f"aggregate(part_, "
+        f"named_struct('state', coalesce(try_element_at(done_, -1).state, 0), 'before', cast(array() as array<int>)), "
+        f"(acc_, x) -> named_struct("
+        f"'state', {let('s', 'acc_.state', f'cast({step} as int)')}, "
+        f"'before', concat(acc_.before, array(acc_.state))))"
+    )
+    blocks = (
+        f"aggregate({in_blocks(arr, block)}, "
+        f"cast(array() as array<struct<state:int,before:array<int>>>), "
+        f"(done_, part_) -> concat(done_, array({fold})))"
+    )
+    return f"flatten(transform({blocks}, b_ -> b_.before))"

@@ -1,48 +1,47 @@
-"""Category counts of one document, as map expressions."""
+"""Category counts of one document, as map expressions over a column name."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilscan.functions.arrays import let
 
-def counts_map(findings: Column) -> Column:
+
+def counts_map(findings: str) -> Column:
     """``map<category,count>`` of a findings array; no zero entries, keys sorted."""
-    names = F.array_sort(F.array_distinct(F.transform(findings, lambda f: f["category"])))
-    return F.map_from_arrays(
-        names,
-        F.transform(names, lambda c: F.size(F.filter(findings, lambda f: f["category"] == c))),
-    )
+    entries = "transform(names_, c -> size(filter({0}, f -> f.category = c)))".format(findings)
+    names = f"array_sort(array_distinct(transform({findings}, f -> f.category)))"
+    return F.expr(let("names_", names, f"map_from_arrays(names_, {entries})"))
 
 
-def sorted_entries(counts: Column) -> Column:
-    return F.array_sort(F.map_entries(counts))
+def total_sql(counts: str) -> str:
+    return f"aggregate(map_values({counts}), 0, (acc, n) -> acc + n)"
 
 
-def total(counts: Column) -> Column:
+def total(counts: str) -> Column:
     """Number of findings."""
-    return F.aggregate(F.map_values(counts), F.lit(0), lambda acc, n: acc + n)
+    return F.expr(total_sql(counts))
 
 
-def category_list(counts: Column, empty: str) -> Column:
+def category_list(counts: str, empty: str) -> Column:
     """Sorted category names joined by ', ', or ``empty``."""
-    return F.when(F.size(counts) > 0, F.array_join(F.array_sort(F.map_keys(counts)), ", ")).otherwise(F.lit(empty))
+    names = F.expr(f"array_join(array_sort(map_keys({counts})), ', ')")
+    return F.when(F.size(counts) > 0, names).otherwise(F.lit(empty))
 
 
-def counts_text(counts: Column) -> Column:
+def counts_text(counts: str) -> Column:
     """One ``- category: n`` line per category in name order, or 'None'."""
-    lines = F.transform(
-        sorted_entries(counts),
-        lambda e: F.concat(F.lit("- "), e["key"], F.lit(": "), e["value"].cast("string")),
+    return F.expr(
+        f"if(size({counts}) > 0, array_join(transform(array_sort(map_entries({counts})), "
+        f"e -> concat('- ', e.key, ': ', e.value)), '\\n'), 'None')"
     )
-    return F.when(F.size(counts) > 0, F.array_join(lines, "\n")).otherwise(F.lit("None"))
 
 
-def counts_json(counts: Column) -> Column:
+def counts_json(counts: str) -> Column:
     """JSON object with sorted keys and ', ' / ': ' separators."""
-    quoted = lambda key: F.regexp_extract(F.to_json(F.array(key)), r"(?s)^\[(.*)\]\z", 1)
-    fields = F.transform(
-        sorted_entries(counts),
-        lambda e: F.concat(quoted(e["key"]), F.lit(": "), e["value"].cast("string")),
+    quoted = "regexp_extract(to_json(array(e.key)), '(?s)^\\\\[(.*)\\\\]\\\\z', 1)"
+    return F.expr(
+        f"concat('{{', array_join(transform(array_sort(map_entries({counts})), "
+        f"e -> concat({quoted}, ': ', e.value)), ', '), '}}')"
     )
-    return F.concat(F.lit("{"), F.array_join(fields, ", "), F.lit("}"))

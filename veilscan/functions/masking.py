@@ -1,4 +1,4 @@
-"""Masking of single values and of whole texts."""
+"""Masking of single values and of whole texts, as SQL for ``F.expr``."""
 
 from __future__ import annotations
 
@@ -6,74 +6,51 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilscan.functions.arrays import BLOCK, in_blocks, let, running_state
-from veilscan.functions.text import digits_only, strip
+from veilscan.functions.text import sql_text, strip_sql
 from veilscan.settings import RULES, Rule
 
-
-def _stars(n: Column) -> Column:
-    return F.repeat(F.lit("*"), n.cast("int"))
-
-
-def _edges(v: Column) -> Column:
-    n = F.length(v)
-    return F.when(n <= 4, _stars(n)).otherwise(
-        F.concat(F.substring(v, 1, 2), _stars(F.greatest(F.lit(3), n - 4)), F.right(v, F.lit(2)))
-    )
-
-
-def _email(v: Column) -> Column:
-    local = F.substring_index(v, "@", 1)
-    n = F.length(local)
-    visible = F.when(n > 2, F.lit(2)).otherwise(F.least(n, F.lit(1)))
-    masked = F.concat(
-        F.substring(local, F.lit(1), visible),
-        _stars(F.greatest(F.lit(4), n - visible)),
-        F.substring(v, n + 1, F.length(v)),
-    )
-    return F.when(F.contains(v, F.lit("@")), masked).otherwise(_edges(v))
-
-
-def _pan(v: Column) -> Column:
-    n = F.length(v)
-    return F.when(n >= 10, F.concat(F.substring(v, 1, 3), F.lit("****"), F.right(v, F.lit(3)))).otherwise(_stars(n))
-
-
-def _digits(v: Column) -> Column:
-    digits = digits_only(v)
-    masked = F.concat(F.repeat(F.lit("X"), F.length(digits) - 4), F.right(digits, F.lit(4)))
-    return F.when(F.length(digits) >= 4, masked).otherwise(_edges(v))
-
-
-def _secret(v: Column) -> Column:
-    n = F.length(v)
-    return F.when(
-        n > 8, F.concat(F.substring(v, 1, 3), _stars(F.greatest(F.lit(6), n - 6)), F.right(v, F.lit(3)))
-    ).otherwise(_stars(n))
-
-
-MASK_STYLES = {"edges": _edges, "email": _email, "pan": _pan, "digits": _digits, "secret": _secret}
-
-
-def mask_styled(style: str, value: Column) -> Column:
-    """Mask a value in one named style; an empty value stays empty."""
-    cleaned = strip(value)
-    return F.when(F.length(cleaned) == 0, cleaned).otherwise(MASK_STYLES[style](cleaned))
-
-
-def mask_value(category: Column, value: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """Mask by a category column; unknown categories use the 'edges' style."""
-    cleaned = strip(value)
+# The styles, over a stripped, non-empty value ``v``.
+EDGES = (
+    "case when length(v) <= 4 then repeat('*', length(v)) "
+    "else concat(left(v, 2), repeat('*', greatest(3, length(v) - 4)), right(v, 2)) end"
+)
+EMAIL_PARTS = (
+    "concat(left(local_, if(length(local_) > 2, 2, 1)), "
+    "repeat('*', greatest(4, length(local_) - if(length(local_) > 2, 2, least(1, length(local_))))), "
+    "substring(v, length(local_) + 1))"
+)
+MASK_STYLES = {
+    "edges": EDGES,
+    "email": f"case when contains(v, '@') then {let('local_', "substring_index(v, '@', 1)", EMAIL_PARTS)} else {EDGES} end",
+    "pan": "case when length(v) >= 10 then concat(left(v, 3), '****', right(v, 3)) else repeat('*', length(v)) end",
+    "digits": let(
+        "d_", "regexp_replace(v, '[^\\\\p{Nd}]', '')",
+        f"case when length(d_) >= 4 then concat(repeat('X', length(d_) - 4), right(d_, 4)) else {EDGES} end",
+    ),
+    "secret": (
+        "case when length(v) > 8 then concat(left(v, 3), repeat('*', greatest(6, length(v) - 6)), right(v, 3)) "
+        "else repeat('*', length(v)) end"
+    ),
+}
+
+
+def mask_sql(category: str, value: str, rules: tuple[Rule, ...] = RULES) -> str:
     by_style: dict[str, list[str]] = {}
     for rule in rules:
-        by_style.setdefault(rule.mask, []).append(rule.category)
-    ladder = F.when(F.length(cleaned) == 0, cleaned)
+        by_style.setdefault(rule.mask, []).append(sql_text(rule.category))
+    ladder = "case when length(v) = 0 then v "
     for style, categories in by_style.items():
         if style != "edges":
-            ladder = ladder.when(category.isin(*categories), MASK_STYLES[style](cleaned))
-    return ladder.otherwise(_edges(cleaned))
+            ladder += f"when {category} in ({', '.join(categories)}) then {MASK_STYLES[style]} "
+    return let("v", strip_sql(value), f"{ladder} else {EDGES} end")
 
 
-def mask_text(text: Column, findings: Column) -> Column:
+def mask_value(category: str, value: str, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Mask by category; unknown categories use the 'edges' style, empty stays empty."""
+    return F.expr(mask_sql(category, value, rules))
+
+
+def mask_text(text: str, findings: str) -> Column:
     """Text with every finding replaced by its mask.
 
     Findings are defined to be replaced from right to left (start descending, then
@@ -84,48 +61,37 @@ def mask_text(text: Column, findings: Column) -> Column:
     paid.  So one pass with an integer state gives the exact result, overlapping or
     not, and the text is cut once per finding instead of copied once per finding.
     """
-    ordered = F.reverse(F.array_sort(F.transform(findings, lambda f: F.struct(
-        (-f["start"]).alias("back"), f["category"].alias("category"),
-        f["end"].alias("end"), f["masked_value"].alias("mask"),
-    ))))
-    starts = F.transform(ordered, lambda f: -f["back"])
-    nexts = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.length(text)))
-    edits = F.transform(
-        F.arrays_zip(ordered.alias("f"), nexts.alias("next")),
-        lambda z: F.struct(
-            (-z["f"]["back"]).alias("start"), z["f"]["end"].alias("end"),
-            z["next"].alias("next"), z["f"]["mask"].alias("mask"),
+    # In text order, ties by category descending: the reverse of the replacement order.
+    ordered = (
+        f"reverse(array_sort(transform({findings}, f -> named_struct("
+        "'back', -f.start, 'category', f.category, 'until', f.end, 'mask', f.masked_value))))"
+    )
+    # Each edit knows where the next one starts; the last one ends with the text.
+    edits = let("o", ordered, (
+        f"zip_with(o, concat(slice(transform(o, f -> -f.back), 2, size(o)), array(length({text}))), "
+        "(f, following) -> named_struct('start', -f.back, 'until', f.until, 'following', following, 'mask', f.mask))"
+    ))
+    # Debt after a mask is written, and after the gap that follows it.
+    owed = "greatest({debt} - length({e}.mask), 0) + {e}.until - {e}.start"
+    after_mask = owed.format(debt="s", e="x")
+    debts = running_state("edits_", f"greatest({after_mask} - (x.following - x.start), 0)")
+    pieces = (
+        f"zip_with(edits_, {debts}, (e, debt) -> named_struct("
+        "'mask', substring(e.mask, debt + 1), "
+        f"'low', least(e.start + {owed.format(debt='debt', e='e')}, e.following), "
+        "'start', e.start, 'following', e.following))"
+    )
+    # Windows keep the search for a character position short in long texts.
+    render = let(
+        "base", "element_at(run, 1).start",
+        let(
+            "part_text", f"substring({text}, base + 1, element_at(run, -1).following - base)",
+            "array_join(transform(run, p -> concat(p.mask, "
+            "substring(part_text, p.low - base + 1, p.following - p.low))), '')",
         ),
     )
-
-    def owed(debt: Column, e: Column) -> Column:
-        return F.greatest(debt - F.length(e["mask"]), F.lit(0)) + e["end"] - e["start"]
-
-    def body(edits: Column) -> Column:
-        debts = running_state(
-            edits, lambda debt, e: F.greatest(owed(debt, e) - (e["next"] - e["start"]), F.lit(0))
-        )
-        pieces = F.transform(
-            F.arrays_zip(edits.alias("e"), debts.alias("debt")),
-            lambda z: F.struct(
-                F.substring(z["e"]["mask"], z["debt"] + 1, F.length(z["e"]["mask"])).alias("mask"),
-                F.least(z["e"]["start"] + owed(z["debt"], z["e"]), z["e"]["next"]).alias("from"),
-                z["e"]["start"].alias("start"),
-                z["e"]["next"].alias("next"),
-            ),
-        )
-
-        def render(part: Column) -> Column:
-            low = F.element_at(part, 1)["start"]
-            high = F.element_at(part, -1)["next"]
-            return let(
-                F.substring(text, low + 1, high - low),
-                lambda window: F.array_join(F.transform(part, lambda p: F.concat(
-                    p["mask"], F.substring(window, p["from"] - low + 1, p["next"] - p["from"])
-                )), ""),
-            )
-
-        head = F.substring(text, F.lit(1), F.element_at(edits, 1)["start"])
-        return F.concat(head, F.array_join(F.transform(in_blocks(pieces, BLOCK), render), ""))
-
-    return F.when(F.size(findings) > 0, let(edits, body)).otherwise(text)
+    body = (
+        f"concat(substring({text}, 1, element_at(edits_, 1).start), "
+        f"array_join({let('pieces_', pieces, f'transform({in_blocks("pieces_", BLOCK)}, run -> {render})')}, ''))"
+    )
+    return F.expr(f"case when size({findings}) > 0 then {let('edits_', edits, body)} else {text} end")

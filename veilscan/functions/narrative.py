@@ -89,7 +89,7 @@ QUESTION_PROMPT = (
 )
 
 
-def fallback_summary(level: Column, score: Column, reason: Column, counts: Column) -> Column:
+def fallback_summary(level: Column, score: Column, reason: Column, counts: str) -> Column:
     """Four-section summary without a model."""
     return F.format_string(SUMMARY_TEMPLATE, level, score, counts_text(counts), reason)
 
@@ -114,7 +114,7 @@ def summary_risk(summary: Column) -> Column:
 
 
 def playbook(
-    level: Column, score: Column, reason: Column, counts: Column, summary: Column, context: Column
+    level: Column, score: Column, reason: Column, counts: str, summary: Column, context: Column
 ) -> Column:
     """``struct<observations, risks, remediation>``, three sentences each."""
     return F.struct(
@@ -140,7 +140,7 @@ def report(
     level: Column,
     score: Column,
     reason: Column,
-    counts: Column,
+    counts: str,
     book: Column,
     processing_time: Column | None = None,
 ) -> Column:
@@ -174,7 +174,7 @@ def report(
 
 
 def summary_prompt(
-    level: Column, score: Column, reason: Column, counts: Column, masked: Column,
+    level: Column, score: Column, reason: Column, counts: str, masked: Column,
     options: Options = DEFAULT_OPTIONS,
 ) -> Column:
     excerpt = truncate(masked, options.max_input_chars)

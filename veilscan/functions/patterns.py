@@ -1,77 +1,69 @@
-"""Matches of a rule in a text, with code-point offsets, as column expressions."""
+"""Matches of rules in a text, with code-point offsets, as column expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilscan.functions.arrays import running_state
-from veilscan.functions.masking import mask_styled
-from veilscan.functions.text import passes_luhn, strip
+from veilscan.functions.arrays import let, running_state
+from veilscan.functions.masking import mask_sql
+from veilscan.functions.text import LUHN_SQL, sql_text, strip_sql
 from veilscan.settings import Rule
 
-SPAN_TYPE = "array<struct<start:int,category:string,end:int,value:string,masked_value:string>>"
 NO_TEXT = "cast(array() as array<string>)"
 
 
-def all_matches(text: Column, rule: Rule, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(group))
+def all_matches(text: str, rule: Rule, group: int = 0) -> str:
+    return f"regexp_extract_all({text}, {sql_text(rule.pattern)}, {group})"
 
 
-def rule_hits(text: Column, rule: Rule, prefilter: bool = True) -> Column:
+def hits_sql(text: str, rule: Rule, prefilter: bool = True) -> str:
     """Every leftmost, non-overlapping match; an empty array when there is none."""
-    hits = all_matches(text, rule)
+    hits = f"coalesce({all_matches(text, rule)}, {NO_TEXT})"
     if prefilter and rule.needs:
-        possible = F.contains(text, F.lit(rule.needs[0]))
-        for literal in rule.needs[1:]:
-            possible = possible | F.contains(text, F.lit(literal))
-        hits = F.when(possible, hits).otherwise(F.expr(NO_TEXT))
-    return F.coalesce(hits, F.expr(NO_TEXT))
+        possible = " or ".join(f"contains({text}, {sql_text(literal)})" for literal in rule.needs)
+        hits = f"case when {possible} then {hits} else {NO_TEXT} end"
+    return hits
 
 
-def rule_parts(text: Column, rule: Rule, hits: Column) -> Column:
-    """For texts with hits: ``(gap, hit, lead, value)`` for each match.
+def rule_hits(text: str, rule: Rule, prefilter: bool = True) -> Column:
+    return F.expr(hits_sql(text, rule, prefilter))
 
-    ``gap`` is the text between the previous match and this one and ``lead`` is the
-    part of the match before the reported value.  Splitting at the pattern walks the
-    text exactly as the extraction does, so lengths of gaps and hits add up to
-    offsets without asking the regex engine for positions.
-    """
-    gaps = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(hits))
-    if rule.grouped:
-        zipped = F.arrays_zip(
-            gaps.alias("gap"), hits.alias("hit"),
-            all_matches(text, rule, 1).alias("lead"), all_matches(text, rule, 2).alias("value"),
-        )
-        return F.transform(zipped, lambda z: F.struct(
-            F.length(z["gap"]).alias("gap"), F.length(z["hit"]).alias("hit"),
-            F.length(z["lead"]).alias("lead"), z["value"].alias("value"),
-        ))
-    zipped = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
-    return F.transform(zipped, lambda z: F.struct(
-        F.length(z["gap"]).alias("gap"), F.length(z["hit"]).alias("hit"),
-        F.lit(0).alias("lead"), z["hit"].alias("value"),
-    ))
 
+def parts_sql(text: str, rule: Rule, hits: str) -> str:
+    """``struct<category, parts>`` of one rule; parts hold (gap, hit, lead, value).
 
-def rule_spans(parts: Column, rule: Rule) -> Column:
-    """Findings of one rule from its match parts, in text order."""
-    before = running_state(parts, lambda pos, p: pos + p["gap"] + p["hit"])
+    ``gap`` is the text between the previous match and this one, ``lead`` the part of
+    the match before the reported value.  Splitting at the pattern walks the text
+    exactly as the extraction does, so lengths of gaps and hits add up to offsets
+    without asking the regex engine for positions.  Texts without a hit are not split.
+    """
+    gaps = f"slice(split({text}, {sql_text(rule.pattern)}, -1), 1, size({hits}))"
+    if rule.grouped:
+        lead, value = all_matches(text, rule, 1), all_matches(text, rule, 2)
+    else:
+        lead, value = f"array_repeat('', size({hits}))", hits
+    parts = (
+        f"zip_with(zip_with({gaps}, {hits}, (g, h) -> named_struct('gap', length(g), 'hit', length(h))), "
+        f"zip_with({lead}, {value}, (l, v) -> named_struct('lead', length(l), 'value', v)), "
+        f"(a, b) -> named_struct('gap', a.gap, 'hit', a.hit, 'lead', b.lead, 'value', b.value))"
+    )
+    return f"named_struct('category', {sql_text(rule.category)}, 'parts', case when size({hits}) > 0 then {parts} end)"
 
-    def finding(item: Column) -> Column:
-        part = item["part"]
-        start = (item["before"] + part["gap"] + part["lead"]).cast("int")
-        return F.struct(
-            start.alias("start"),
-            F.lit(rule.category).alias("category"),
-            (start + F.length(part["value"])).cast("int").alias("end"),
-            strip(part["value"]).alias("value"),
-            mask_styled(rule.mask, part["value"]).alias("masked_value"),
-        )
 
-    spans = F.transform(F.arrays_zip(parts.alias("part"), before.alias("before")), finding)
-    if rule.check == "luhn":
-        spans = F.filter(spans, lambda s: passes_luhn(s["value"]))
-    elif rule.check:
-        raise ValueError(f"unknown check {rule.check!r} in rule {rule.category!r}")
-    return spans
+def spans_sql(matched: str, rules: tuple[Rule, ...]) -> str:
+    """All findings from an array of ``parts_sql`` structs that have parts."""
+    span = let(
+        "start_", "w.at + w.part.gap + w.part.lead",
+        "named_struct('start', start_, 'category', m.category, 'end', start_ + length(w.part.value), "
+        f"'value', {strip_sql('w.part.value')}, 'masked_value', {mask_sql('m.category', 'w.part.value', rules)})",
+    )
+    placed = f"zip_with(m.parts, {running_state('m.parts', 's + x.gap + x.hit')}, (part, at) -> named_struct('part', part, 'at', at))"
+    spans = f"flatten(transform({matched}, m -> transform({placed}, w -> {span})))"
+    unknown = {r.check for r in rules} - {None, "luhn"}
+    if unknown:
+        raise ValueError(f"unknown checks {sorted(unknown)}")
+    checked = [sql_text(r.category) for r in rules if r.check == "luhn"]
+    if not checked:
+        return spans
+    return f"filter({spans}, f -> f.category not in ({', '.join(checked)}) or {LUHN_SQL.format(v='f.value')})"

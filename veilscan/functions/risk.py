@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilscan.functions.counts import total
+from veilscan.functions.text import sql_text
 from veilscan.settings import DEFAULT_OPTIONS, RULES, Options, Rule, critical_categories
 
 # Wording of the five risk reasons.
@@ -16,27 +17,17 @@ REASON_MEDIUM = "Weighted risk score %d is in the medium range."
 REASON_LOW = "Few or no sensitive identifiers were detected."
 
 
-def weight_of(category: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """Weight of a category; 1 when it has no rule."""
-    ladder = None
-    for rule in rules:
-        if rule.weight != 1:
-            test = category == rule.category
-            ladder = (F if ladder is None else ladder).when(test, F.lit(rule.weight))
-    return F.lit(1) if ladder is None else ladder.otherwise(F.lit(1))
+def risk_score(counts: str, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Sum of weight times count; a category without a rule weighs 1."""
+    arms = " ".join(f"when {sql_text(r.category)} then {r.weight}" for r in rules)
+    weight = f"case e.key {arms} else 1 end" if arms else "1"
+    return F.expr(f"aggregate(map_entries({counts}), 0, (acc, e) -> acc + e.value * {weight})")
 
 
-def risk_score(counts: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """Sum of weight times count."""
-    return F.aggregate(
-        F.map_entries(counts), F.lit(0), lambda acc, e: acc + weight_of(e["key"], rules) * e["value"]
-    )
-
-
-def critical_hits(counts: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+def critical_hits(counts: str, rules: tuple[Rule, ...] = RULES) -> Column:
     """Critical categories present, in naming order."""
-    names = F.array(*[F.lit(c) for c in critical_categories(rules)]).cast("array<string>")
-    return F.filter(names, lambda c: F.map_contains_key(counts, c))
+    names = ", ".join(sql_text(c) for c in critical_categories(rules))
+    return F.expr(f"filter(cast(array({names}) as array<string>), c -> map_contains_key({counts}, c))")
 
 
 def risk_from(
@@ -68,6 +59,6 @@ def risk_from(
     )
 
 
-def risk_of(counts: Column, rules: tuple[Rule, ...] = RULES, options: Options = DEFAULT_OPTIONS) -> Column:
-    """Risk struct straight from a counts map."""
+def risk_of(counts: str, rules: tuple[Rule, ...] = RULES, options: Options = DEFAULT_OPTIONS) -> Column:
+    """Risk struct straight from a counts map column."""
     return risk_from(risk_score(counts, rules), total(counts), critical_hits(counts, rules), options)

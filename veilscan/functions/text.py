@@ -67,12 +67,24 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(~text.rlike(f"[^{SPACE}]"), F.lit(True))
 
 
-def strip(text: Column) -> Column:
+def sql_text(value: str) -> str:
+    """SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def strip_sql(text: str) -> str:
+    edges = sql_text(f"^[{SPACE}]|[{SPACE}]\\z")
+    runs = sql_text(f"^[{SPACE}]+|[{SPACE}]+\\z")
+    return f"case when {text} rlike {edges} then regexp_replace({text}, {runs}, '') else {text} end"
+
+
+def strip(text: str) -> Column:
     """Remove leading and trailing whitespace (all Unicode whitespace)."""
-    return F.when(
-        text.rlike(f"^[{SPACE}]|[{SPACE}]\\z"),
-        F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+\\z", ""),
-    ).otherwise(text)
+    return F.expr(strip_sql(text))
+
+
+def compact_sql(text: str) -> str:
+    return f"trim(regexp_replace({text}, {sql_text(f'[{SPACE}]+')}, ' '))"
 
 
 def compact(text: Column) -> Column:
@@ -92,35 +104,43 @@ def safe_filename(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(value, "[^A-Za-z0-9_.-]+", "_"), r"^_+|_+\z", "")
 
 
-def ascii_digits(value: Column) -> Column:
-    """Decimal digits of any script as 0-9, everything else dropped."""
-    wide = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
-    narrow = "".join(str(unicodedata.decimal(c)) for c in wide)
-    plain = F.regexp_replace(value, "[^0-9]", "")
-    folded = F.regexp_replace(F.translate(value, "".join(wide), narrow), "[^0-9]", "")
-    return F.when(value.rlike(r"^[\x00-\x7f]*\z"), plain).otherwise(folded)
+# Decimal digits of every script beyond ASCII, with their values (from Unicode data).
+WIDE_DIGITS = "".join(chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd")
+WIDE_VALUES = "".join(str(unicodedata.decimal(c)) for c in WIDE_DIGITS)
+
+ASCII_DIGITS_SQL = (
+    "regexp_replace(case when {v} rlike '[^\\\\x00-\\\\x7f]' "
+    f"then translate({{v}}, '{WIDE_DIGITS}', '{WIDE_VALUES}') else {{v}} end, '[^0-9]', '')"
+)
+LUHN_SQL = (
+    "element_at(transform(array(" + ASCII_DIGITS_SQL + "), "
+    "d_ -> length(d_) between 13 and 19 and luhn_check(d_)), 1)"
+)
 
 
-def digits_only(value: Column) -> Column:
-    """Decimal digits as written."""
-    return F.regexp_replace(value, r"[^\p{Nd}]", "")
+def passes_luhn(value: str) -> Column:
+    """Luhn check over the decimal digits of the value (any script), 13 to 19 of them."""
+    return F.expr(LUHN_SQL.format(v=value))
 
 
-def passes_luhn(value: Column) -> Column:
-    """Luhn check over the decimal digits of the value, 13 to 19 of them."""
-    digits = ascii_digits(value)
-    return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
+def search_terms_sql(question: str) -> str:
+    stop = ", ".join(sql_text(w) for w in STOP_WORDS)
+    tokens = f"regexp_extract_all(lower({question}), {sql_text(TERM_PATTERN)}, 0)"
+    return f"array_distinct(filter({tokens}, t -> length(t) > 2 and t not in ({stop})))"
 
 
-def search_terms(question: Column) -> Column:
+def search_terms(question: str) -> Column:
     """Distinct lower-case tokens of more than two characters that are no stop words."""
-    tokens = F.regexp_extract_all(F.lower(question), F.lit(TERM_PATTERN), F.lit(0))
-    return F.array_distinct(F.filter(tokens, lambda t: (F.length(t) > 2) & ~t.isin(*STOP_WORDS)))
+    return F.expr(search_terms_sql(question))
+
+
+def sentences_sql(text: str) -> str:
+    return f"split({text}, {sql_text(f'(?<=[.!?])[{SPACE}]+|\\n+')}, -1)"
 
 
-def sentences(text: Column) -> Column:
+def sentences(text: str) -> Column:
     """Split after '.', '!' or '?' followed by whitespace, and at newlines."""
-    return F.split(text, f"(?<=[.!?])[{SPACE}]+|\\n+", -1)
+    return F.expr(sentences_sql(text))
 
 
 def chunk_count(text: Column, options: Options = DEFAULT_OPTIONS) -> Column:

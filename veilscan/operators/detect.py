@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.functions.patterns import SPAN_TYPE, rule_hits, rule_parts, rule_spans
+from veilscan.functions.patterns import parts_sql, rule_hits, spans_sql
 from veilscan.operators.pin import pinned
 from veilscan.settings import RULES, Rule
 
 FINDING_FIELDS = ("category", "value", "masked_value", "start", "end", "confidence")
+SPAN_TYPE = "array<struct<start:int,category:string,end:int,value:string,masked_value:string>>"
 # Fixed value: pattern findings always carry this confidence.
 CONFIDENCE = "High"
 
@@ -27,33 +28,18 @@ def detect(
     projections because Catalyst keeps an expensive column that is used more than
     once, so every pattern runs once per text.  Overlaps between categories are kept.
     """
-    source = F.col(text)
     hit = {r: f"_hits_{i}" for i, r in enumerate(rules)}
-    part = {r: f"_parts_{i}" for i, r in enumerate(rules)}
-    scanned = docs.select("*", *[rule_hits(source, r, prefilter).alias(hit[r]) for r in rules])
+    scanned = docs.select("*", *[rule_hits(text, r, prefilter).alias(hit[r]) for r in rules])
+    matched = ", ".join(parts_sql(text, r, hit[r]) for r in rules)
     parted = scanned.select(
-        *docs.columns,
-        *[
-            F.when(F.size(hit[r]) > 0, rule_parts(source, r, F.col(hit[r]))).alias(part[r])
-            for r in rules
-        ],
+        *docs.columns, F.expr(f"filter(array({matched}), p -> size(p.parts) > 0)").alias("_matched")
     )
-    none = F.expr(f"cast(array() as {SPAN_TYPE})")
-    merged = F.concat(*[
-        F.when(F.size(part[r]) > 0, rule_spans(F.col(part[r]), r)).otherwise(none) for r in rules
-    ])
-    found = parted.select(*docs.columns, merged.alias("_spans"))
-    findings = F.when(F.size("_spans") > 0, F.transform(F.array_sort("_spans"), _public)).otherwise(
-        F.transform(none, _public)
-    )
-    return pinned(found, findings=findings).select(*docs.columns, "findings")
-
-
-def _public(span: Column) -> Column:
-    return F.struct(
-        *[span[name].alias(name) for name in FINDING_FIELDS[:-1]],
-        F.lit(CONFIDENCE).alias("confidence"),
+    public = ", ".join(f"'{name}', s.{name}" for name in FINDING_FIELDS[:-1])
+    findings = (
+        f"transform(array_sort(if(size(_matched) > 0, {spans_sql('_matched', rules)}, cast(array() as {SPAN_TYPE}))), "
+        f"s -> named_struct({public}, 'confidence', '{CONFIDENCE}'))"
     )
+    return pinned(parted, findings=F.expr(findings)).select(*docs.columns, "findings")
 
 
 def explode_findings(found: DataFrame, *keys: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilscan.functions.counts import category_list, counts_text, total
 from veilscan.functions.narrative import bullets
-from veilscan.functions.text import compact, is_blank, search_terms, sentences
+from veilscan.functions.text import compact, compact_sql, is_blank, search_terms_sql, sentences_sql
 from veilscan.functions.arrays import let
 from veilscan.settings import DEFAULT_OPTIONS, Options
 
@@ -62,42 +62,27 @@ def route_by_words(question: Column) -> Column:
     return route
 
 
-def relevant_sentences(
-    question: Column, text: Column, options: Options = DEFAULT_OPTIONS
-) -> Column:
+def relevant_sentences(question: str, text: str, options: Options = DEFAULT_OPTIONS) -> Column:
     """Best sentences for a question: ``array<struct<score,pos,sentence>>``.
 
     The score is the number of question terms contained in the lower-cased sentence.
     Ranking happens inside the row of the question: nothing is exploded or shuffled.
     """
-    prepared = F.filter(
-        F.transform(
-            sentences(text),
-            lambda s: let(compact(s), lambda c: F.struct(
-                F.substring(c, 1, options.sentence_chars).alias("sentence"), F.lower(c).alias("lowered")
-            )),
-        ),
-        lambda s: F.length(s["lowered"]) > 0,
+    flat = compact_sql("raw")
+    prepared = (
+        f"filter(transform({sentences_sql(text)}, raw -> "
+        + let("flat_", flat, f"named_struct('sentence', left(flat_, {options.sentence_chars}), 'lowered', lower(flat_))")
+        + "), p -> length(p.lowered) > 0)"
     )
-
-    def best(terms: Column) -> Column:
-        scored = F.transform(
-            prepared,
-            lambda s, i: F.struct(
-                (-F.size(F.filter(terms, lambda t: F.contains(s["lowered"], t)))).alias("back"),
-                i.alias("pos"),
-                s["sentence"].alias("sentence"),
-            ),
-        )
-        ranked = F.array_sort(F.filter(scored, lambda s: s["back"] < 0))
-        return F.transform(
-            F.slice(ranked, F.lit(1), F.lit(options.sentence_limit)),
-            lambda s: F.struct(
-                (-s["back"]).alias("score"), s["pos"].alias("pos"), s["sentence"].alias("sentence")
-            ),
-        )
-
-    return let(search_terms(question), best)
+    scored = (
+        f"transform({prepared}, (p, i) -> named_struct("
+        "'back', -size(filter(terms_, t -> contains(p.lowered, t))), 'pos', i, 'sentence', p.sentence))"
+    )
+    best = (
+        f"transform(slice(array_sort(filter({scored}, r -> r.back < 0)), 1, {options.sentence_limit}), "
+        "r -> named_struct('score', -r.back, 'pos', r.pos, 'sentence', r.sentence))"
+    )
+    return F.expr(let("terms_", search_terms_sql(question), best))
 
 
 def answer_questions(
@@ -117,14 +102,14 @@ def answer_questions(
         "_best",
         F.when(
             F.col("_route").isNull(),
-            relevant_sentences(F.col("question"), F.col("masked_text"), options),
+            relevant_sentences("question", "masked_text", options),
         ),
     ).withColumn(
         "route",
         F.coalesce("_route", F.when(F.size("_best") > 0, F.lit("sentences")), F.lit("default")),
     )
-    counts, score, level = F.col("counts"), F.col("risk_score"), F.col("risk_level")
-    found = F.transform("_best", lambda b: b["sentence"])
+    counts, score, level = "counts", F.col("risk_score"), F.col("risk_level")
+    found = F.col("_best.sentence")
     answer = (
         F.when(
             F.col("route") == "risk",

@@ -20,35 +20,27 @@ def chunk_text(docs: DataFrame, key: str = "doc_id", text: str = "text", options
     so that finding a chunk does not walk the whole text from its beginning each time.
     """
     step = options.chunk_size - options.chunk_overlap
-    n = F.col("_n")
+    wide = (WINDOW_CHUNKS - 1) * step + options.chunk_size
     counted = pinned(docs.select(key, F.col(text).alias("_text")), _n=chunk_count(F.col("_text"), options))
-    windows = F.transform(
-        F.sequence(F.lit(0), F.ceil(n / WINDOW_CHUNKS).cast("int") - 1),
-        lambda w: F.struct(
-            (w * WINDOW_CHUNKS).alias("first"),
-            F.least(F.lit(WINDOW_CHUNKS), n - w * WINDOW_CHUNKS).alias("many"),
-            F.substring(
-                F.col("_text"), w * (WINDOW_CHUNKS * step) + 1,
-                F.lit((WINDOW_CHUNKS - 1) * step + options.chunk_size),
-            ).alias("part"),
-        ),
+    windows = F.expr(
+        f"transform(sequence(0, cast(ceil(_n / {WINDOW_CHUNKS}) as int) - 1), w -> named_struct("
+        f"'first', w * {WINDOW_CHUNKS}, 'many', least({WINDOW_CHUNKS}, _n - w * {WINDOW_CHUNKS}), "
+        f"'part', substring(_text, w * {WINDOW_CHUNKS * step} + 1, {wide})))"
     )
-    parts = counted.where(n > 0).select(key, F.explode(windows).alias("_w"))
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.col("_w.many") - 1),
-        lambda i: F.struct(
-            (F.col("_w.first") + i).alias("chunk_no"),
-            ((F.col("_w.first") + i) * step).alias("start"),
-            F.substring(F.col("_w.part"), i * step + 1, F.lit(options.chunk_size)).alias("chunk"),
-        ),
+    parts = counted.where("_n > 0").select(key, F.explode(windows).alias("_w"))
+    chunks = F.expr(
+        "transform(sequence(0, _w.many - 1), i -> named_struct('chunk_no', _w.first + i, "
+        f"'start', (_w.first + i) * {step}, 'chunk', substring(_w.part, i * {step} + 1, {options.chunk_size})))"
     )
     return parts.select(key, F.explode(chunks).alias("_c")).select(key, "_c.chunk_no", "_c.start", "_c.chunk")
 
 
-def squared_l2(a: Column, b: Column) -> Column:
+def squared_l2(a: str, b: str) -> Column:
     """Squared Euclidean distance of two vectors, in double precision."""
-    squares = F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2)))
-    return F.aggregate(squares, F.lit(0.0), lambda acc, s: acc + s)
+    return F.expr(
+        f"aggregate(zip_with({a}, {b}, (x, y) -> pow(cast(x as double) - cast(y as double), 2)), "
+        "cast(0 as double), (acc, q) -> acc + q)"
+    )
 
 
 def nearest_chunks(
@@ -61,7 +53,7 @@ def nearest_chunks(
     shuffle, so a document with very many chunks sends only its best ones.
     """
     scored = chunks.join(questions, key).select(
-        "q_id", key, "chunk_no", squared_l2(F.col("vector"), F.col("q_vector")).alias("distance")
+        "q_id", key, "chunk_no", squared_l2("vector", "q_vector").alias("distance")
     )
     order = Window.partitionBy("q_id").orderBy("distance", "chunk_no")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -79,7 +71,7 @@ def question_context(nearest: DataFrame, chunks: DataFrame, key: str = "doc_id")
 
 def question_requests(contexts: DataFrame, questions: DataFrame) -> DataFrame:
     """Model request per question, with the sources it may cite."""
-    asked = questions.select("q_id", strip(F.col("question")).alias("question"))
+    asked = questions.select("q_id", strip("question").alias("question"))
     return contexts.join(asked, "q_id").select(
         "q_id",
         F.lit("question").alias("kind"),

@@ -33,14 +33,14 @@ def analyze(
         failed = F.coalesce(F.col("error"), failed)
     keep = [c for c in docs.columns if c != "error"]
     found = detect(docs.select(*keep, failed.alias("_error")), rules)
-    counted = pinned(found, counts=counts_map(F.col("findings")))
-    scored = pinned(counted, _risk=risk_of(F.col("counts"), rules, options))
+    counted = pinned(found, counts=counts_map("findings"))
+    scored = pinned(counted, _risk=risk_of("counts", rules, options))
     good = F.col("_error").isNull()
     return scored.select(
         *keep,
         "findings",
         "counts",
-        mask_text(F.col("text"), F.col("findings")).alias("masked_text"),
+        mask_text("text", "findings").alias("masked_text"),
         F.when(good, F.col("_risk.risk_level")).otherwise("Unknown").alias("risk_level"),
         F.when(good, F.col("_risk.risk_score")).otherwise(0).alias("risk_score"),
         F.when(good, F.col("_risk.risk_reason")).alias("risk_reason"),
@@ -62,7 +62,7 @@ def with_playbook(results: DataFrame) -> DataFrame:
     A ``summary`` or ``context`` column already present (say, written by a model) is
     used where it is not NULL; otherwise the deterministic texts are.
     """
-    cols = [F.col(c) for c in ("risk_level", "risk_score", "risk_reason", "counts")]
+    cols = [*map(F.col, ("risk_level", "risk_score", "risk_reason")), "counts"]
     summary = narrative.fallback_summary(*cols)
     context = F.lit(narrative.NO_CONTEXT)
     if "summary" in results.columns:
@@ -79,7 +79,7 @@ def with_report(books: DataFrame, timed: bool = False) -> DataFrame:
         "report",
         narrative.report(
             F.col("filename"), F.col("risk_level"), F.col("risk_score"), F.col("risk_reason"),
-            F.col("counts"), F.col("playbook"), F.col("processing_time") if timed else None,
+            "counts", F.col("playbook"), F.col("processing_time") if timed else None,
         ),
     )
 
@@ -90,7 +90,7 @@ def model_requests(results: DataFrame, key: str = "doc_id", options: Options = D
         F.struct(
             F.lit("summary").alias("kind"),
             narrative.summary_prompt(
-                F.col("risk_level"), F.col("risk_score"), F.col("risk_reason"), F.col("counts"),
+                F.col("risk_level"), F.col("risk_score"), F.col("risk_reason"), "counts",
                 F.col("masked_text"), options,
             ).alias("prompt"),
         ),
@@ -104,4 +104,4 @@ def model_requests(results: DataFrame, key: str = "doc_id", options: Options = D
 
 def totals(results: DataFrame) -> DataFrame:
     """Add ``total_findings``."""
-    return results.withColumn("total_findings", total(F.col("counts")))
+    return results.withColumn("total_findings", total("counts"))

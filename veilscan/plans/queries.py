@@ -106,9 +106,9 @@ def luhn_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every card-shaped run with the outcome of its check."""
     card = rules_named("Credit Card")[0]
     runs = C.documents(spark, sf_dir).select(
-        "doc_id", F.explode(rule_hits(F.col("text"), card)).alias("value")
+        "doc_id", F.explode(rule_hits("text", card)).alias("value")
     )
-    return runs.select("doc_id", "value", T.passes_luhn(F.col("value")).alias("is_card"))
+    return runs.select("doc_id", "value", T.passes_luhn("value").alias("is_card"))
 
 
 @query
@@ -156,7 +156,7 @@ def masked_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("concat(c_mktsegment, '.', c_custkey, '@mail', c_nationkey, '.example')").alias("value"),
     )
     return people.select(
-        "c_custkey", "category", mask_value(F.col("category"), F.col("value")).alias("masked_value")
+        "c_custkey", "category", mask_value("category", "value").alias("masked_value")
     )
 
 
@@ -249,7 +249,7 @@ def risk_theme(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def counts_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = F.col("counts")
+    counts = "counts"
     return analyze(C.mixed(spark, sf_dir)).select(
         "doc_id", counts_text(counts).alias("counts_text"), counts_json(counts).alias("counts_json")
     )
@@ -396,7 +396,7 @@ def audit_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("risk_level", "status").agg(
         F.count(F.lit(1)).alias("scans"),
         F.sum("risk_score").alias("total_score"),
-        F.sum(total(F.col("detection_counts"))).alias("findings"),
+        F.sum(total("detection_counts")).alias("findings"),
     )
 
 
@@ -441,8 +441,7 @@ def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a stream, each content once, read back from the result table."""
     out = work_dir(spark)
-    source = f"{sf_dir}/documents.parquet"
-    stream = stream_documents(spark, source, "doc_id long, text string")
+    stream = stream_documents(spark, sf_dir, "doc_id long, text string", "documents.parquet")
     scan_documents(stream, out).awaitTermination()
     return read_table(spark, out, "results").select("doc_id", "risk_level", "risk_score", "status")
 
@@ -494,13 +493,13 @@ def vector_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def question_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.user_turns(spark, sf_dir).select(
-        "q_id", F.array_join(F.array_sort(T.search_terms(F.col("question"))), " ").alias("terms")
+        "q_id", F.array_join(F.array_sort(T.search_terms("question")), " ").alias("terms")
     )
 
 
 @query
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = T.sentences(F.col("text"))
+    parts = T.sentences("text")
     return C.documents(spark, sf_dir).select("doc_id", F.posexplode(parts).alias("pos", "sentence")).where(
         ~T.is_blank(F.col("sentence"))
     ).groupBy("doc_id").agg(
@@ -524,7 +523,7 @@ def _asked(spark: SparkSession, sf_dir: str, questions: DataFrame, docs: DataFra
 def relevant_sentence_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = C.user_turns(spark, sf_dir)
     results = _asked(spark, sf_dir, questions, C.documents(spark, sf_dir))
-    best = relevant_sentences(F.col("question"), F.col("masked_text"))
+    best = relevant_sentences("question", "masked_text")
     return questions.join(results, "doc_id").select("q_id", F.posexplode(best).alias("pos", "_b")).select(
         "q_id", (F.col("pos") + 1).alias("rank"), "_b.score", "_b.sentence"
     )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Inputs at most this large are spread over all cores when the scan itself yields
 # too few partitions (one small file); anything larger keeps its scan partitions.
 SPREAD_LIMIT_BYTES = 1 << 30
-SPREAD_PART_BYTES = 1 << 20
+SPREAD_PART_BYTES = 1 << 17
 
 
 def local_session(cores: int | str = "*", app: str = "veilscan") -> SparkSession:

@@ -47,7 +47,7 @@ def audit_csv(audit: DataFrame) -> DataFrame:
         F.col("filename"),
         F.col("risk_level"),
         F.col("risk_score").cast("string"),
-        counts_json(F.col("detection_counts")),
+        counts_json("detection_counts"),
         F.format_string("%.3f", F.col("processing_time")),
         F.col("status"),
     )

@@ -26,7 +26,7 @@ def assemble_pages(
         key,
         F.floor(F.col(page) / pages_per_piece).alias("_piece"),
         F.col(page).alias("_page"),
-        F.coalesce(strip(F.col(text)), F.lit("")).alias("_text"),
+        F.coalesce(strip(text), F.lit("")).alias("_text"),
     )
     pieces = cleaned.groupBy(key, "_piece").agg(
         F.array_sort(F.collect_list(F.when(F.col("_text") != "", F.struct("_page", "_text")))).alias("_in"),

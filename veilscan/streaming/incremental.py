@@ -21,9 +21,16 @@ from veilscan.sources.audit import audit_rows
 from veilscan.sources.uploads import UPLOAD_SCHEMA, extract_uploads, rejected_uploads
 
 
-def stream_documents(spark: SparkSession, path: str, schema: str, max_files: int = 1000) -> DataFrame:
-    """Stream of document rows from parquet files that keep arriving."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def stream_documents(
+    spark: SparkSession, folder: str, schema: str, pattern: str = "*.parquet", max_files: int = 1000
+) -> DataFrame:
+    """Stream of document rows from parquet files that keep arriving in a folder."""
+    return (
+        spark.readStream.schema(schema)
+        .option("maxFilesPerTrigger", max_files)
+        .option("pathGlobFilter", pattern)
+        .parquet(folder)
+    )
 
 
 def stream_uploads(spark: SparkSession, folder: str, max_files: int = 10000) -> DataFrame:
