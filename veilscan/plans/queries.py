@@ -281,7 +281,7 @@ def playbook_with_model_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             "else text end"
         ),
         "context": F.expr(
-            "case when doc_id % 2 = 0 then text else concat('Trade Secret:\\n None  identified ', left(text, 100)) end"
+            "case when doc_id % 2 = 0 then text else concat('Trade Secret:\\n None  identified ', doc_id) end"
         ),
     })
     book = F.col("playbook")
