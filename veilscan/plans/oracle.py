@@ -38,7 +38,7 @@ WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{20
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 CARD = "[0-9]{13,19}"
 AADHAAR = r"(?:^|[^0-9])([0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{4})(?:[^0-9]|$)"
-PHONE = r"(?:^|[^0-9])((?:\+91 )?[6-9][0-9]{9})(?:[^0-9]|$)"
+PHONE = r"(?:^|[^0-9])((?:\+?91[\s-]?)?[6-9][0-9]{9})(?:[^0-9]|$)"
 PAN = r"\b[A-Z]{5}[0-9]{4}[A-Z]\b"
 BANK = r"(?i)\b(?:account(?:\s+number)?|acct(?:\s+no\.?)?)\s*[:#-]?\s*([0-9]{9,18})\b"
 API_KEY = r"""(?i)\b(?:api[_-]?key|secret[_-]?key|access[_-]?token|bearer)\s*[:=]\s*['"]?([A-Za-z0-9_\-]{20,})['"]?"""
@@ -118,36 +118,43 @@ BLANKS = (
 )
 
 
-def spans(column: str, category: str, pattern: str, source: str = "d", key: str = "doc_id") -> str:
-    """Matches of a pattern without groups, with start offsets in ``column``."""
-    p = lit(pattern)
-    return (
-        f"select {key}, '{category}' as category, ms[i] as value, "
-        f"(list_sum(list_transform(gs[1:i], lambda g: length(g))) + "
-        f"coalesce(list_sum(list_transform(ms[1:i - 1], lambda m: length(m))), 0))::int as start "
-        f"from (select {key}, ms, gs, unnest(range(1, len(ms) + 1)) as i from "
-        f"(select {key}, regexp_extract_all({column}, {p}) as ms, string_split_regex({column}, {p}) as gs from {source}))"
-    )
+def spans(column: str, category: str, pattern: str, group: int = 0, where: str = "first") -> str:
+    """Matches of a pattern with the start of their value in ``column``.
 
-
-def grouped(category: str, pattern: str, group: int = 1) -> str:
-    """Matches in the suffix part, located by the value (unique there)."""
+    Offsets are sums of the lengths of gaps and matches; inside its match the value is
+    the first or the last occurrence of itself.
+    """
+    p = lit(pattern)
+    inside = {
+        "first": "strpos(hit, value) - 1",
+        "last": "length(hit) - strpos(reverse(hit), reverse(value)) - length(value) + 1",
+    }[where]
     return (
-        f"select doc_id, '{category}' as category, v as value, "
-        f"(length(body) + strpos(tail, v) - 1)::int as start from "
-        f"(select doc_id, body, tail, unnest(regexp_extract_all(text, {lit(pattern)}, {group})) as v from d)"
+        f"select doc_id, '{category}' as category, value, (ofs + {inside})::int as start from "
+        f"(select doc_id, ofs, hit, vs[i] as value from "
+        f"(select doc_id, i, vs, ms[i] as hit, list_sum(list_transform(gs[1:i], lambda g: length(g))) + "
+        f"coalesce(list_sum(list_transform(ms[1:i - 1], lambda m: length(m))), 0) as ofs "
+        f"from (select doc_id, ms, vs, gs, unnest(range(1, len(ms) + 1)) as i from "
+        f"(select doc_id, regexp_extract_all({column}, {p}) as ms, regexp_extract_all({column}, {p}, {group}) as vs, "
+        f"string_split_regex({column}, {p}) as gs from d))))"
     )
 
 
 EMAIL_SPANS = spans("text", "Email", EMAIL)
 CARD_SPANS = f"select * from ({spans('body', 'Credit Card', CARD)}) where {luhn('value')}"
 ALL_SPANS = " union all ".join([
-    EMAIL_SPANS, CARD_SPANS, grouped("Aadhaar", AADHAAR), grouped("Phone", PHONE), grouped("PAN", PAN, 0),
-    grouped("Bank Account", BANK), grouped("API Key", API_KEY), grouped("Password", PASSWORD),
-    grouped("Employee ID", EMPLOYEE, 0),
+    EMAIL_SPANS,
+    CARD_SPANS,
+    spans("text", "Aadhaar", AADHAAR, 1),
+    spans("text", "Phone", PHONE, 1),
+    spans("text", "PAN", PAN),
+    spans("text", "Bank Account", BANK, 1, "last"),
+    spans("text", "API Key", API_KEY, 1, "last"),
+    spans("text", "Password", PASSWORD, 1, "last"),
+    spans("text", "Employee ID", EMPLOYEE),
 ])
 F_ALL = f"f as ({ALL_SPANS})"
-F_PLAIN = f"f as ({EMAIL_SPANS} union all {CARD_SPANS})"
+F_PAGES = f"f as ({EMAIL_SPANS} union all {CARD_SPANS})"
 MASKED_VALUE = mask("category", "value")
 FINDING = f"doc_id, category, value, {MASKED_VALUE} as masked_value, start, (start + length(value))::int as \"end\", 'High' as confidence"
 
@@ -183,20 +190,20 @@ def with_(*ctes: str) -> str:
     return "with " + ", ".join(ctes) + " "
 
 
-R_PLAIN = (PLAIN, F_PLAIN, DIM_SQL, CNT, LISTS, risk())
+R_PLAIN = (PLAIN, F_ALL, DIM_SQL, CNT, LISTS, risk())
 R_MIXED = (MIXED, F_ALL, DIM_SQL, CNT, LISTS, risk())
 R_MIXED_LANG = (MIXED_LANG, F_ALL, DIM_SQL, CNT, LISTS, risk(extra=", d.lang"))
-R_BLANKS = (BLANKS, F_PLAIN, DIM_SQL, CNT, LISTS, risk(blank=True, extra=", d.lang"))
+R_BLANKS = (BLANKS, F_ALL, DIM_SQL, CNT, LISTS, risk(blank=True, extra=", d.lang"))
 STATUS = "case when bad then 'Failure: The uploaded document does not contain readable text.' else 'Success' end"
 RISK_COLUMNS = "doc_id, items as total_findings, risk_level, score as risk_score, risk_reason"
 
-# Masked text: findings of these corpora do not overlap, so values can be replaced one by
-# one, in the body (emails, cards) and in the suffix (the rest) separately.
+# Masked text: where findings of these corpora overlap they share one span and one mask,
+# so values can be replaced one by one, in the body and in the suffix separately.
 MASKED = (
     "v as (select doc_id, list(struct_pack(value := value, mask := "
-    f"{MASKED_VALUE}) order by start) filter (category in ('Email', 'Credit Card')) as head, "
-    f"list(struct_pack(value := value, mask := {MASKED_VALUE}) order by start) "
-    "filter (category not in ('Email', 'Credit Card')) as rest from f group by doc_id), "
+    f"{MASKED_VALUE}) order by start, category) filter (start < length(body)) as head, "
+    f"list(struct_pack(value := value, mask := {MASKED_VALUE}) order by start, category) "
+    "filter (start >= length(body)) as rest from f join d using (doc_id) group by doc_id), "
     "mt as (select doc_id, "
     "list_reduce(coalesce(head, []), lambda a, e: struct_pack(value := replace(a.value, e.value, e.mask), mask := ''), "
     "struct_pack(value := body, mask := '')).value || "
@@ -319,14 +326,14 @@ VECTORS = (
     "from near qualify rank <= 4)"
 )
 CONTEXTS = (
-    f"{VECTORS}, {PLAIN}, {F_PLAIN}, {MASKED}, "
+    f"{VECTORS}, {PLAIN}, {F_ALL}, {MASKED}, "
     f"ctx as (select q_id, string_agg(masked, {NL} || {NL} order by rank) as context, count(*)::int as n_sources "
     "from top join mt on mt.doc_id = top.vec_id group by q_id)"
 )
 
 STEP, SIZE = 850, 1000
 CHUNKS = (
-    with_(PLAIN, F_PLAIN, MASKED).rstrip()
+    with_(PLAIN, F_ALL, MASKED).rstrip()
     + f", c as (select doc_id, masked, unnest(range(case when length(masked) <= {SIZE} then 1 "
     f"else ceil((length(masked) - 150) / {STEP})::bigint end)) as i from mt "
     f"where not regexp_full_match(masked, {lit(WS + '*')})) "
@@ -362,12 +369,12 @@ ORACLE: dict[str, str] = {
     "findings_sheet_all": with_(MIXED, F_ALL)
     + f"select doc_id, category as \"Category\", value as \"Value\", {MASKED_VALUE} as \"Masked Value\", "
     "start as \"Start\", (start + length(value))::int as \"End\", 'High' as \"Confidence\" from f",
-    "findings_pages": with_("d as (select page_id as doc_id, html as text, html as body, '' as tail from pages)", F_PLAIN)
+    "findings_pages": with_("d as (select page_id as doc_id, html as text, html as body, '' as tail from pages)", F_PAGES)
     + f"select {FINDING} from f",
     "luhn_candidates": f"select doc_id, v as value, {luhn('v')} as is_card from "
     f"(select doc_id, unnest(regexp_extract_all(text, '{CARD}')) as v from documents)",
     "custom_rules": with_(
-        PLAIN, F_PLAIN,
+        PLAIN, F_ALL,
         f"g as (select category, count(*) as n from f group by all union all "
         f"select 'US Phone', sum(len(regexp_extract_all(text, {lit(US_PHONE)}))) from d union all "
         f"select 'Quoted Token', sum(len(regexp_extract_all(text, {lit(TOKEN)}))) from d)", DIM_SQL)
@@ -381,7 +388,7 @@ ORACLE: dict[str, str] = {
     "masked_values": "select c_custkey, category, " + mask("category", "value") + " as masked_value from "
     "(select c_custkey, c_mktsegment || '.' || c_custkey || '@mail' || c_nationkey || '.example' as value, "
     "unnest([" + ", ".join(f"'{c}'" for c in STYLE) + "]) as category from customer)",
-    "masked_text": with_(PLAIN, F_PLAIN, MASKED) + MASKED_OUT,
+    "masked_text": with_(PLAIN, F_ALL, MASKED) + MASKED_OUT,
     "masked_text_augmented": with_(AUGMENTED, F_ALL, MASKED) + MASKED_OUT,
     "doc_category_counts": with_(MIXED, F_ALL, CNT) + "select * from cnt",
     "corpus_category_breakdown": with_(AUGMENTED, F_ALL, DIM_SQL, CNT) + BREAKDOWN.format(keys="", source="cnt"),
@@ -481,7 +488,7 @@ ORACLE: dict[str, str] = {
         "select doc_id, count(*) as n, sum(length(s))::bigint as chars from c where s <> '' group by doc_id"
     ),
     "question_route": with_(ROUTED) + f"select q_id, coalesce({ROUTE}, 'text') as route from q",
-    "relevant_sentence_rank": with_(PLAIN, F_PLAIN, MASKED, TURNS, best_sentences("t"))
+    "relevant_sentence_rank": with_(PLAIN, F_ALL, MASKED, TURNS, best_sentences("t"))
     + "select q_id, rank, score, sentence from best",
     "question_answers": QUESTION_ANSWERS,
 }
