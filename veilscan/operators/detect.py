@@ -72,7 +72,7 @@ def filter_categories_by(findings: DataFrame, selection: DataFrame) -> DataFrame
     chosen = selection.select("category").distinct()
     if chosen.isEmpty():
         return findings
-    return findings.join(F.broadcast(chosen), "category", "left_semi")
+    return findings.join(chosen, "category", "left_semi")
 
 
 def distinct_categories(findings: DataFrame) -> DataFrame:

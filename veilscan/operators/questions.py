@@ -86,14 +86,20 @@ def relevant_sentences(question: str, text: str, options: Options = DEFAULT_OPTI
 
 
 def answer_questions(
-    questions: DataFrame, results: DataFrame, key: str = "doc_id", options: Options = DEFAULT_OPTIONS
+    questions: DataFrame,
+    results: DataFrame,
+    key: str = "doc_id",
+    options: Options = DEFAULT_OPTIONS,
+    loaded: DataFrame | None = None,
 ) -> DataFrame:
     """``(q_id, key, route, answer, sources)`` for ``questions(q_id, key, question)``.
 
     ``results`` are successful results with their playbook.  Questions without a
     document get the fixed answer through an anti join on the key column alone, so that
     the wide result rows only take part in an inner join, in which Spark may broadcast
-    the question side when it is small.
+    the question side when it is small.  ``loaded`` may name the keys of the analysed
+    documents when ``results`` is not a stored table, so that asking for the keys does
+    not run the analysis again.
     """
     asked = questions.where(~is_blank(F.col("question")))
     empty = questions.where(is_blank(F.col("question")))
@@ -135,7 +141,8 @@ def answer_questions(
     )
     answered = matched.select("q_id", key, "route", answer.alias("answer"), sources.alias("sources"))
     nothing = F.expr("cast(array() as array<string>)").alias("sources")
-    orphaned = asked.join(results.select(key), key, "left_anti").select(
+    keys = (results if loaded is None else loaded).select(key)
+    orphaned = asked.join(keys, key, "left_anti").select(
         "q_id", key, F.lit("no_document").alias("route"), F.lit(ANSWER_NO_DOCUMENT).alias("answer"), nothing
     )
     unasked = empty.select("q_id", key, F.lit("blank").alias("route"), F.lit(ANSWER_BLANK).alias("answer"), nothing)

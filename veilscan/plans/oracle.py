@@ -470,6 +470,11 @@ ORACLE: dict[str, str] = {
     + "select '.txt' as extension, category, count(*) as n from f group by all union all "
     "select '.csv', 'Phone', count(*) from customer union all "
     "select '.json', 'Unsupported file type. Allowed types: .pdf, .txt, .csv.', 0",
+    "incremental_files": with_(MIXED, F_ALL)
+    + "select '.txt' as extension, category, count(*) as n from f group by all union all "
+    "select '.csv', 'Phone', count(*) from customer",
+    "report_table": with_(*R_MIXED)
+    + f"select 'compliance_playbook_doc_' || doc_id || '.txt.txt' as report_file, md5({REPORT}) as report_md5 from r",
     "incremental_scan": with_(*R_PLAIN)
     + f"select doc_id, risk_level, score as risk_score, {STATUS} as status from r "
     "where doc_id in (select min(doc_id) from documents group by text)",

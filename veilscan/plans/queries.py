@@ -47,12 +47,18 @@ from veilscan.plans.analysis import (
     with_report,
 )
 from veilscan.session import spread, work_dir
-from veilscan.settings import RULES, Rule, with_rules
-from veilscan.sources.audit import audit_csv, audit_rollup, audit_rows, read_audit_csv
+from veilscan.settings import RULES, Rule, category_dim, with_rules
+from veilscan.sources.audit import audit_csv, audit_rollup, audit_rows, read_audit_csv, write_reports
 from veilscan.sources.pages import assemble_pages
 from veilscan.sources.tables import rows_as_text
 from veilscan.sources.uploads import extract_uploads, read_uploads, rejected_uploads
-from veilscan.streaming.incremental import read_table, scan_documents, stream_documents
+from veilscan.streaming.incremental import (
+    read_table,
+    scan_documents,
+    scan_uploads,
+    stream_documents,
+    stream_uploads,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,8 +139,7 @@ def findings_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def findings_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selection as a table: the categories rated Critical."""
     findings = found_in(C.mixed(spark, sf_dir))
-    named = label_categories(findings.select("category").distinct())
-    kept = filter_categories_by(findings, named.where("severity = 'Critical'"))
+    kept = filter_categories_by(findings, category_dim(spark).where("severity = 'Critical'"))
     return kept.select("doc_id", "category", "value")
 
 
@@ -419,15 +424,41 @@ def table_row_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files derived from two tables, scanned as uploads: findings per file type."""
+def report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports written as a table of files and read back."""
+    folder = f"{work_dir(spark)}/reports"
+    named = analyze(C.mixed(spark, sf_dir)).withColumn("filename", F.expr("concat('doc ', doc_id, '.txt')"))
+    write_reports(with_report(with_playbook(named)), folder)
+    return spark.read.parquet(folder).select("report_file", F.md5("report").alias("report_md5"))
+
+
+def _derived_files(spark: SparkSession, sf_dir: str, csv_folders: tuple[str, ...] = ("csv",)) -> str:
+    """A folder of CSV, TXT and JSON files that Spark writes from three tables."""
     folder = work_dir(spark)
-    C.table(spark, sf_dir, "customer").select(
+    people = C.table(spark, sf_dir, "customer").select(
         "*", F.expr(f"concat('call +91 ', {C.phone_number('c_custkey')}, ', please')").alias("note")
-    ).write.option("maxRecordsPerFile", 20000).csv(f"{folder}/csv", header=True)
+    )
+    for name in csv_folders:
+        people.write.option("maxRecordsPerFile", 20000).csv(f"{folder}/{name}", header=True)
     C.mixed(spark, sf_dir).select("text").write.option("maxRecordsPerFile", 500).text(f"{folder}/txt")
     C.table(spark, sf_dir, "nation").write.json(f"{folder}/json")
-    uploads = read_uploads(spark, folder)
+    return folder
+
+
+@query
+def incremental_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived files as a stream; the CSV files exist twice and count once."""
+    folder = _derived_files(spark, sf_dir, ("csv", "again"))
+    out = work_dir(spark)
+    scan_uploads(stream_uploads(spark, folder), out).awaitTermination()
+    results = read_table(spark, out, "results").withColumn("extension", T.file_extension(F.col("path")))
+    return counts_long(results, "extension").groupBy("extension", "category").agg(F.sum("n").alias("n"))
+
+
+@query
+def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files derived from tables, scanned as uploads: findings per file type."""
+    uploads = read_uploads(spark, _derived_files(spark, sf_dir))
     good = extract_uploads(uploads).withColumn("extension", T.file_extension(F.col("path")))
     counts = counts_long(analyze(good), "extension")
     scanned = counts.groupBy("extension", "category").agg(F.sum("n").alias("n"))
@@ -514,7 +545,7 @@ def question_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _asked(spark: SparkSession, sf_dir: str, questions: DataFrame, docs: DataFrame) -> DataFrame:
+def _asked(questions: DataFrame, docs: DataFrame) -> DataFrame:
     """Results of the documents that have a question; others are not analysed."""
     return succeeded(analyze(docs.join(questions.select("doc_id"), "doc_id", "left_semi")))
 
@@ -522,7 +553,7 @@ def _asked(spark: SparkSession, sf_dir: str, questions: DataFrame, docs: DataFra
 @query
 def relevant_sentence_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = C.user_turns(spark, sf_dir)
-    results = _asked(spark, sf_dir, questions, C.documents(spark, sf_dir))
+    results = _asked(questions, C.documents(spark, sf_dir))
     best = relevant_sentences("question", "masked_text")
     return questions.join(results, "doc_id").select("q_id", F.posexplode(best).alias("pos", "_b")).select(
         "q_id", (F.col("pos") + 1).alias("rank"), "_b.score", "_b.sentence"
@@ -532,8 +563,9 @@ def relevant_sentence_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def question_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = C.routed_questions(spark, sf_dir)
-    results = with_playbook(_asked(spark, sf_dir, questions, C.mixed(spark, sf_dir)))
-    return answer_questions(questions, results).select(
+    docs = C.mixed(spark, sf_dir)
+    results = with_playbook(_asked(questions, docs))
+    return answer_questions(questions, results, loaded=docs.where(~T.is_blank(F.col("text")))).select(
         "q_id", "route", "answer", F.size("sources").alias("n_sources"),
         F.md5(F.array_join("sources", "\n")).alias("sources_md5"),
     )

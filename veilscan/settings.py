@@ -7,7 +7,7 @@ or the options as an argument.  No operator hard-codes a category.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -158,7 +158,6 @@ class Options:
     sentence_limit: int = 4
     sentence_chars: int = 600
     source_chars: int = 1600
-    broadcast_limit_bytes: int = field(default=64 * 1024 * 1024)
 
 
 DEFAULT_OPTIONS = Options()
@@ -185,6 +184,21 @@ def rule_from_row(row: dict) -> Rule:
     return replace(Rule(category=known["category"], body=known["body"]), **known)
 
 
+MAX_RULES = 1000
+
+
+def rules_from_table(table: DataFrame) -> tuple[Rule, ...]:
+    """Rules from a rule table, one per row, columns named as the fields of ``Rule``.
+
+    Rules shape the plan, so they are read at planning time; a table with more rows than
+    a rule set can have is refused rather than collected.
+    """
+    rows = table.limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"a rule table may hold at most {MAX_RULES} rules")
+    return tuple(sorted((rule_from_row(r.asDict()) for r in rows), key=lambda r: r.category))
+
+
 def category_dim(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per rule: category, weight, critical, label, severity."""
     rows = [(r.category, r.weight, r.critical, r.label or r.category, r.severity) for r in rules]
