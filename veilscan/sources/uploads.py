@@ -53,7 +53,9 @@ def csv_text(content: pd.Series) -> pd.DataFrame:
     All cells stay strings; a table without rows gives ''.
     """
 
-    def render(data: bytes) -> tuple[str | None, str | None]:
+    def render(data: bytes | None) -> tuple[str | None, str | None]:
+        if data is None:
+            return None, None
         try:
             table = pd.read_csv(io.BytesIO(data), dtype=str, keep_default_na=False)
         except (ValueError, csv.Error):
@@ -64,25 +66,25 @@ def csv_text(content: pd.Series) -> pd.DataFrame:
 
 
 def extract_uploads(uploads: DataFrame, options: Options = DEFAULT_OPTIONS) -> DataFrame:
-    """``(path, filename, content_hash, text, error)`` of the valid files.
+    """``(path, filename, content_hash, text, error)`` of the valid files, read once.
 
-    TXT files are decoded by column expressions.  CSV files go through one Arrow helper,
-    and only they do.  PDF files need a page table (see ``sources.pages``) and carry an
-    error here.
+    TXT files are decoded by column expressions; only the bytes of CSV files reach the
+    Arrow helper.  PDF files need a page table (see ``sources.pages``) and carry an error
+    here.
     """
-    valid = uploads.where(
-        (F.col("length") <= options.max_upload_mb * 1024 * 1024)
-        & file_extension(F.col("path")).isin(*options.allowed_extensions)
-    ).withColumn("_ext", file_extension(F.col("path")))
-    base = ["path", file_name(F.col("path")).alias("filename"), content_hash(F.col("content")).alias("content_hash")]
-    none = F.lit(None).cast("string")
-    txt = valid.where(F.col("_ext") == ".txt").select(
-        *base, decode_text(F.col("content")).alias("text"), none.alias("error")
+    extension, content = F.col("_ext"), F.col("content")
+    valid = uploads.withColumn("_ext", file_extension(F.col("path"))).where(
+        (F.col("length") <= options.max_upload_mb * 1024 * 1024) & extension.isin(*options.allowed_extensions)
     )
-    table = valid.where(F.col("_ext") == ".csv").select(
-        *base, csv_text(F.col("content")).alias("_csv")
-    ).select("path", "filename", "content_hash", "_csv.text", "_csv.error")
-    pdf = valid.where(F.col("_ext") == ".pdf").select(
-        *base, none.alias("text"), F.lit(PDF_MESSAGE).alias("error")
+    parsed = valid.withColumn("_csv", csv_text(F.when(extension == ".csv", content)))
+    return parsed.select(
+        "path",
+        file_name(F.col("path")).alias("filename"),
+        content_hash(content).alias("content_hash"),
+        F.when(extension == ".csv", F.col("_csv.text"))
+        .when(extension != ".pdf", decode_text(content))
+        .alias("text"),
+        F.when(extension == ".csv", F.col("_csv.error"))
+        .when(extension == ".pdf", F.lit(PDF_MESSAGE))
+        .alias("error"),
     )
-    return txt.unionByName(table).unionByName(pdf)

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from veilscan.functions.text import content_hash, upload_error
 from veilscan.operators.detect import explode_findings
 from veilscan.plans.analysis import analyze
+from veilscan.session import spread
 from veilscan.settings import DEFAULT_OPTIONS, RULES, Options, Rule
 from veilscan.sources.audit import audit_rows
 from veilscan.sources.uploads import UPLOAD_SCHEMA, extract_uploads, rejected_uploads
@@ -102,7 +103,7 @@ def scan_documents(
 
     def work(batch: DataFrame, batch_id: int) -> None:
         fresh = _fresh(batch, key, "text", out, batch_id)
-        docs = batch.join(fresh.select(F.col("key").alias(key)), key, "left_semi")
+        docs = spread(batch.join(fresh.select(F.col("key").alias(key)), key, "left_semi"))
         if "filename" not in docs.columns:
             docs = docs.withColumn("filename", F.col(key).cast("string"))
         scan_batch(docs, key, out, batch_id, rules, options)
