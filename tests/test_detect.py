@@ -52,7 +52,7 @@ GOLDEN_MASKS = [
 ]
 
 ATOMS = (
-    "account|acct|acct no.|ACCOUNT NUMBER|paſsword|password|pwd|passwd|api_key|api-key|APİ_KEY|apı_key|"
+    "            |pwd          |account|acct|acct no.|ACCOUNT NUMBER|paſsword|password|pwd|passwd|api_key|api-key|APİ_KEY|apı_key|"
     "secretkey|acceſſ_token|bearer|toKen|EMP|emp|Employee ID|employeeid|ABCDE1234F|XYZAB0000Z|foo|bar.|@|"
     "x.com|mail.co.in|user+tag|4111111111111111|4111-1111-1111-1111|4111 1111 1111 1111|5500000000000004|"
     "1234 5678 9012|987654321012|919876543210|+91-9876543210|6123456789|123456789|hunter22|'|\"|:|=|#|-| |  |\n|\t|"

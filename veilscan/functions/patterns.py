@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilscan.functions.arrays import let, running_state
 from veilscan.functions.masking import mask_sql
 from veilscan.functions.text import LUHN_SQL, sql_text, strip_sql
-from veilscan.settings import Rule
+from veilscan.settings import Gate, Rule
 
 NO_TEXT = "cast(array() as array<string>)"
 
@@ -17,17 +17,31 @@ def all_matches(text: str, rule: Rule, group: int = 0) -> str:
     return f"regexp_extract_all({text}, {sql_text(rule.pattern)}, {group})"
 
 
-def hits_sql(text: str, rule: Rule, prefilter: bool = True) -> str:
-    """Every leftmost, non-overlapping match; an empty array when there is none."""
+def gate_sql(text: str, gates: list[Gate]) -> str:
+    """True when the text may have a match of a rule with one of the gates."""
+    first = "".join(dict.fromkeys(g.first for g in gates))
+    union = f"(?=[{first}])(?:" + "|".join(dict.fromkeys(g.pattern for g in gates)) + ")"
+    return f"coalesce({text} rlike {sql_text(union)}, false)"
+
+
+def hits_sql(text: str, rule: Rule, possible: list[str]) -> str:
+    """Every leftmost, non-overlapping match; an empty array when there is none.
+
+    The pattern is only tried when all ``possible`` conditions hold.
+    """
     hits = f"coalesce({all_matches(text, rule)}, {NO_TEXT})"
-    if prefilter and rule.needs:
-        possible = " or ".join(f"contains({text}, {sql_text(literal)})" for literal in rule.needs)
-        hits = f"case when {possible} then {hits} else {NO_TEXT} end"
-    return hits
+    if not possible:
+        return hits
+    return f"case when {' and '.join(possible)} then {hits} else {NO_TEXT} end"
 
 
-def rule_hits(text: str, rule: Rule, prefilter: bool = True) -> Column:
-    return F.expr(hits_sql(text, rule, prefilter))
+def rule_hits(text: str, rule: Rule, prefilter: bool = True, gate: str | None = None) -> Column:
+    """Matches of a rule; ``gate`` names a column that says whether to try."""
+    possible = [gate] if gate else []
+    if prefilter and rule.needs:
+        found = " or ".join(f"contains({text}, {sql_text(literal)})" for literal in rule.needs)
+        possible.append(f"({found})")
+    return F.expr(hits_sql(text, rule, possible))
 
 
 def parts_sql(text: str, rule: Rule, hits: str) -> str:

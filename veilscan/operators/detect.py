@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.functions.patterns import parts_sql, rule_hits, spans_sql
+from veilscan.functions.patterns import gate_sql, parts_sql, rule_hits, spans_sql
 from veilscan.operators.pin import pinned
-from veilscan.settings import RULES, Rule
+from veilscan.settings import RULES, Gate, Rule
 
 FINDING_FIELDS = ("category", "value", "masked_value", "start", "end", "confidence")
 SPAN_TYPE = "array<struct<start:int,category:string,end:int,value:string,masked_value:string>>"
@@ -29,7 +29,15 @@ def detect(
     once, so every pattern runs once per text.  Overlaps between categories are kept.
     """
     hit = {r: f"_hits_{i}" for i, r in enumerate(rules)}
-    scanned = docs.select("*", *[rule_hits(text, r, prefilter).alias(hit[r]) for r in rules])
+    gates: dict[str, list[Gate]] = {}
+    for r in rules:
+        if prefilter and r.gate:
+            gates.setdefault(f"_gate_{r.gate.group}", []).append(r.gate)
+    gate_of = {r: f"_gate_{r.gate.group}" for r in rules if prefilter and r.gate}
+    opened = docs.select("*", *[F.expr(gate_sql(text, g)).alias(name) for name, g in gates.items()])
+    scanned = opened.select(
+        *docs.columns, *[rule_hits(text, r, prefilter, gate_of.get(r)).alias(hit[r]) for r in rules]
+    )
     matched = ", ".join(parts_sql(text, r, hit[r]) for r in rules)
     parted = scanned.select(
         *docs.columns, F.expr(f"filter(array({matched}), p -> size(p.parts) > 0)").alias("_matched")

@@ -24,17 +24,42 @@ WORD_END = f"(?![{WORD}])"
 DIGIT_START = "(?<![" + DIGIT + "\U0001d7ce])"
 DIGIT_END = f"(?!{DIGIT})"
 
+@dataclass(frozen=True)
+class Gate:
+    """A cheap pattern found in every text that has a match of the gated rule.
+
+    ``first`` is the class of its possible first characters.  Gates of one ``group`` are
+    tested together in one walk over the text.  Must not contain capturing groups.
+    """
+
+    group: str
+    first: str
+    pattern: str
+
+
+# Eight digits with nothing but spaces and hyphens between them.
+DIGIT_RUN = Gate("shapes", DIGIT, f"{DIGIT}(?:[{SPACE}-]*{DIGIT}){{7}}")
+CAPITALS = Gate("shapes", "A-Z", "[A-Z]{5}[0-9]")
+AT_SIGN = Gate("shapes", "@", "@")
+# A separator behind a secret's keyword and few spaces, or behind many spaces.
+SECRET_WORD = Gate(
+    "words", ":=",
+    "[:=](?<=(?:[kK\u212a][eE][yY]|[tT][oO][kK\u212a][eE][nN]|[bB][eE][aA][rR][eE][rR]|[wW](?:[oO][rR])?[dD])"
+    f"[{SPACE}]{{0,9}}[:=]|[{SPACE}]{{10}}[:=])",
+)
+EMP_WORD = Gate("words", "eE", "[eE][mM](?<![a-zA-Z0-9_][eE][mM])[pP]")
+
 
 @dataclass(frozen=True)
 class Rule:
     """One detection category.
 
     The pattern is ``before + body + after``; the finding is the body.  Look-arounds
-    may sit anywhere, capturing groups nowhere.  Two optional hints make a scan cheap
+    may sit anywhere, capturing groups nowhere.  Three optional hints make a scan cheap
     and never change its result: ``first`` is a character class that every match starts
-    with (tested before any look-behind), and ``needs`` lists literals of which a text
-    must contain at least one.  ``mask`` picks the masking style, ``check`` an extra
-    filter.
+    with (tested before any look-behind), ``needs`` lists literals of which a text must
+    contain at least one, and ``gate`` is a pattern that a text with a match contains.
+    ``mask`` picks the masking style, ``check`` an extra filter.
     """
 
     category: str
@@ -44,6 +69,7 @@ class Rule:
     ignore_case: bool = False
     first: str = ""
     needs: tuple[str, ...] = ()
+    gate: Gate | None = None
     check: str | None = None
     mask: str = "edges"
     weight: int = 1
@@ -70,12 +96,12 @@ RULES: tuple[Rule, ...] = (
     Rule(
         "Aadhaar",
         body=f"{DIGIT_START}{DIGIT}{{4}}[{SPACE}-]?{DIGIT}{{4}}[{SPACE}-]?{DIGIT}{{4}}{DIGIT_END}",
-        first=DIGIT, mask="digits", weight=4, severity="Elevated", label="Aadhaar IDs",
+        first=DIGIT, gate=DIGIT_RUN, mask="digits", weight=4, severity="Elevated", label="Aadhaar IDs",
     ),
     Rule(
         "PAN",
         body=f"{WORD_START}[A-Z]{{5}}[0-9]{{4}}[A-Z]{WORD_END}",
-        first="A-Z", mask="pan", weight=3, severity="Elevated", label="PAN Numbers",
+        first="A-Z", gate=CAPITALS, mask="pan", weight=3, severity="Elevated", label="PAN Numbers",
     ),
     Rule(
         "Email",
@@ -83,17 +109,17 @@ RULES: tuple[Rule, ...] = (
             f"(?:(?=[A-Za-z0-9_]){WORD_START}|(?=[.%+-])(?<=[{WORD}]))"
             f"[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}{WORD_END}"
         ),
-        needs=("@",), mask="email", weight=1, label="Emails",
+        needs=("@",), gate=AT_SIGN, mask="email", weight=1, label="Emails",
     ),
     Rule(
         "Phone",
         body=f"{DIGIT_START}(?:\\+?91[{SPACE}-]?)?[6-9]{DIGIT}{{9}}{DIGIT_END}",
-        first="+6-9", mask="digits", weight=1, label="Phone Numbers",
+        first="+6-9", gate=DIGIT_RUN, mask="digits", weight=1, label="Phone Numbers",
     ),
     Rule(
         "Credit Card",
         body=f"{DIGIT_START}(?:{DIGIT}[ -]*?){{13,19}}{DIGIT_END}",
-        first=DIGIT, check="luhn", mask="digits", weight=5, critical=True, severity="Critical", label="Credit Cards",
+        first=DIGIT, gate=DIGIT_RUN, check="luhn", mask="digits", weight=5, critical=True, severity="Critical", label="Credit Cards",
     ),
     Rule(
         "Bank Account",
@@ -102,7 +128,8 @@ RULES: tuple[Rule, ...] = (
             f"[{SPACE}]*[:#-]?[{SPACE}]*"
         ),
         body=f"{DIGIT}{{9,18}}{WORD_END}",
-        ignore_case=True, first="aA", mask="digits", weight=5, severity="Critical", label="Bank Accounts",
+        ignore_case=True, first="aA", gate=DIGIT_RUN, mask="digits", weight=5, severity="Critical",
+        label="Bank Accounts",
     ),
     Rule(
         "API Key",
@@ -112,21 +139,21 @@ RULES: tuple[Rule, ...] = (
         ),
         body=r"[A-Za-z0-9_\-]{20,}",
         after="['\"]?",
-        ignore_case=True, first="aAbBsS\u017f", needs=(":", "="), mask="secret", weight=5, critical=True,
-        severity="Critical", label="API Keys",
+        ignore_case=True, first="aAbBsS\u017f", needs=(":", "="), gate=SECRET_WORD, mask="secret",
+        weight=5, critical=True, severity="Critical", label="API Keys",
     ),
     Rule(
         "Password",
         before=f"{WORD_START}(?:password|passwd|pwd)[{SPACE}]*[:=][{SPACE}]*['\"]?",
         body=f"[^{SPACE},'\"]{{6,}}",
         after="['\"]?",
-        ignore_case=True, first="pP", needs=(":", "="), mask="secret", weight=5, severity="Critical",
-        label="Passwords",
+        ignore_case=True, first="pP", needs=(":", "="), gate=SECRET_WORD, mask="secret", weight=5,
+        severity="Critical", label="Passwords",
     ),
     Rule(
         "Employee ID",
         body=f"{WORD_START}(?:EMP|Employee ID|EmployeeID)[{SPACE}:-]*[A-Za-z0-9]{{3,12}}{WORD_END}",
-        ignore_case=True, first="eE", mask="edges", weight=2, severity="Elevated", label="Employee IDs",
+        ignore_case=True, first="eE", gate=EMP_WORD, mask="edges", weight=2, severity="Elevated", label="Employee IDs",
     ),
 )
 
