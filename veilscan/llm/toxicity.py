@@ -36,10 +36,12 @@ SAMPLE = 20_000
 MIN_DOCS = 5
 #: Weight of the prior in documents, and the z value from which log-odds are significant.
 PRIOR, SIGNIFICANT = 200.0, 3.0
+#: Least log-odds, up or down, that a word scores with: weaker words tell a text's topic or language.
+EFFECT = 1.0
 #: What every word costs; the expected score of a word is then below zero.
-DRIFT = 0.05
+DRIFT = 0.1
 #: Segments with a smaller expected number of chance occurrences count.
-CHANCE = 0.1
+CHANCE = 0.001
 
 
 @dataclass
@@ -181,11 +183,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     odds = lambda c, n: np.log((c + prior) / (n + PRIOR - c - prior + 1))
     delta = odds(pos, n_pos) - odds(neg, n_neg)
     z = delta / np.sqrt(1 / (pos + prior) + 1 / (neg + prior))
-    use = np.abs(z) >= SIGNIFICANT
+    use = (np.abs(z) >= SIGNIFICANT) & (np.abs(delta) >= EFFECT)
     values = np.where(use, delta, 0.0) - DRIFT
     model = Model({w[0]: float(v) for w, v, u in zip(words, values, use) if u})
-    # shares of the words' occurrences: each counted once per document, against all words
-    shares = corpus[:-2][use] / n_words
+    # chance is what other documents do: shares of the words there, each counted once per document
+    shares = (neg[use] + prior[use] / PRIOR) / n_neg * (n_docs / n_words)
     if not (values[use] > 0).any():
         return Model()
     model.lambda_ = _lambda(np.append(values[use], -DRIFT), np.append(shares, max(0.0, 1 - shares.sum())))
