@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilscan.llm import (
     decontaminate,
+    jaccard,
     packing,
     secrets,
     token_files,
@@ -24,6 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"), jaccard.Rule(words=3, num=90, den=100))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -52,6 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_toxicity": op4_toxicity,
     "op6_token_files": op6_token_files,
     "op7_decontamination": op7_decontamination,
@@ -61,6 +67,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_ngram_jaccard_join": r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') w from documents),
+grams as (
+  select distinct doc_id, array_to_string(w[i:i + 2], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) as i from words where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from grams group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as k from grams a join grams b on a.s = b.s and a.doc_id < b.doc_id group by all),
+pairs as (
+  select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  where 100 * k >= 90 * (x.n + y.n - k)),
+links as (select a, b from pairs union all select b, a from pairs),
+reach as (
+  select doc_id, doc_id as r from documents
+  union
+  select reach.doc_id, links.b from reach join links on reach.r = links.a)
+select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, min(r) as component_id
+from reach left join sizes using (doc_id) group by doc_id, n
+""",
     "op7_decontamination": r"""
 with words as (
   select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
