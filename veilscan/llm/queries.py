@@ -12,6 +12,7 @@ from veilscan.llm import (
     neighbours,
     packing,
     secrets,
+    surrogates,
     templates,
     token_files,
     toxicity,
@@ -45,6 +46,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model)
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymised(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(table(spark, sf_dir, "documents"), default_tokenizer(), FILE_END)
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_toxicity": op4_toxicity,
+    "op5_surrogates": op5_surrogates,
     "op6_token_files": op6_token_files,
     "op7_decontamination": op7_decontamination,
     "op8_warc": op8_warc,
