@@ -54,6 +54,11 @@ def blobs(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
+def strings(column: pa.Array) -> list[str]:
+    """Values of a string column; null is empty."""
+    return [t or "" for t in column.to_pylist()]
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, size):

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilscan.llm.common import blobs, pick, slices, stored
+from veilscan.llm.common import pick, slices, stored, strings
 from veilscan.llm.tokens import Encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, block long, nth long"
@@ -50,7 +50,7 @@ def token_pieces(
         block, seen = TaskContext.get().partitionId(), Counter()
         for batch in slices(batches):
             out: list[list] = [[] for _ in range(8)]
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(blobs(batch.column(1)))):
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(strings(batch.column(1)))):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[at : at + 4 * capacity]

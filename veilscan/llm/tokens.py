@@ -28,6 +28,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def is_safe(text: str) -> bool:
+    return not ("'" in text or "<|" in text) if text.isascii() else not UNSAFE.search(text)
+
+
 class Encoder:
     """Encodes whole texts; equal to the library's encode(text, add_special_tokens=False).ids.
 
@@ -44,8 +48,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        #: Bytes that an id needs in a file.
+        self.width = 2 if len(self.ends) <= 1 << 16 else 4
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.runs: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pieces: dict[bytes, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[list[int]]:
@@ -71,21 +78,23 @@ class Encoder:
                 self.runs[run] = raw[start:stop]
                 start = stop
 
-    def _by_pieces(self, text: bytes) -> bytes:
+    def _by_pieces(self, text: str) -> bytes:
         if len(self.pieces) > MEMO_WORDS:
             self.pieces.clear()
-        cut = text.split()
+        cut = text.encode().split()
         if need := list({p for p in cut if p not in self.pieces}):
             for piece, ids in zip(need, self._library([p.decode() for p in need])):
                 self.pieces[piece] = array("I", ids).tobytes()
         return b"".join(map(self.pieces.__getitem__, cut))
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, given in UTF-8."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
         if len(self.runs) > MEMO_WORDS:
-            self.runs.clear()
-        cut = [None if UNSAFE.search(t) else RUN.findall(t.lower()) for t in (b.decode() for b in texts)]
+            self.runs, self.older = {}, self.runs
+        cut = [RUN.findall(t.lower()) if is_safe(t) else None for t in texts]
         if need := set().union(*(c for c in cut if c)).difference(self.runs):
-            self._learn(list(need))
+            known = need & self.older.keys()
+            self.runs.update((r, self.older[r]) for r in known)
+            self._learn(list(need - known))
         get = self.runs.__getitem__
-        return [self._by_pieces(b) if c is None else b"".join(map(get, c)) for b, c in zip(texts, cut)]
+        return [self._by_pieces(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
