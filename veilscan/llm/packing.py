@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilscan.llm.common import pick, slices, stored, strings
-from veilscan.llm.tokens import Encoder
+from veilscan.llm.tokens import encoder_for
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, block long, nth long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -46,7 +46,7 @@ def token_pieces(
     """Every document's ids and end id, cut after each `capacity` ids; keep_ids adds them as binary `ids`."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_for(tokenizer), np.array([end_id], "<u4").tobytes()
         block, seen = TaskContext.get().partitionId(), Counter()
         for batch in slices(batches):
             out: list[list] = [[] for _ in range(8)]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilscan.llm.common import pick, shared_dir, slices, strings
-from veilscan.llm.tokens import Encoder
+from veilscan.llm.tokens import encoder_for
 
 NULL_ID = -(2**63)
 MANIFEST = "part string, first_id long, n_docs long, n_tokens long, width int, place int"
@@ -44,7 +44,7 @@ def write_token_files(
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_for(tokenizer), np.array([end_id], "<u4").tobytes()
         files = None
         docs_seen = tokens = 0
         first = place = None

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from functools import lru_cache
 
 import numpy as np
 
@@ -98,3 +99,9 @@ class Encoder:
             self._learn(list(need - known))
         get = self.runs.__getitem__
         return [self._by_pieces(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+
+
+@lru_cache(maxsize=1)
+def encoder_for(path: str) -> Encoder:
+    """One encoder a worker process, so that a task goes on with the words that earlier ones have met."""
+    return Encoder(path)
