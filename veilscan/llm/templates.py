@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm.common import pick
+from veilscan.llm.common import pick, stored
 
 #: A template token is on this share of its host's pages, and on so many pages at least.
 SHARE, PAGES = 0.6, 4
@@ -257,7 +257,8 @@ def extracted(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
     templates = host_templates(occurrences(pages))
     constant = F.flatten(F.transform("classes", lambda c: F.filter(F.transform(c["tokens"], lambda t: t["token"]), lambda t: t.isNotNull())))
-    known = templates.select("host", F.coalesce(constant, F.array().cast("array<long>")).alias("boilerplate"), "main")
+    # a table of its own, so that Spark sees its size and can split a hot host's pages in the join
+    known = stored(templates.select("host", F.coalesce(constant, F.array().cast("array<long>")).alias("boilerplate"), "main"), "templates")
     id_, url, html = pick(pages, "page_id", "url", "html")
     rows = pages.select(id_.cast("long").alias("page_id"), url.cast("string").alias("url"), html.cast("string").alias("html"), host_of(pages).alias("host"))
 
