@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veilscan.llm import decontaminate, jaccard, packing, secrets, toxicity
-from veilscan.llm.common import stored
+from veilscan.llm.common import bounded, stored
 from veilscan.llm.queries import CAPACITY, PACK_END, table
 from veilscan.llm.tokens import default_tokenizer
 
@@ -18,27 +18,27 @@ NEAR = jaccard.Rule(words=5, num=80, den=100)
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on labels that are not held out, takes for toxic go."""
-    return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return toxicity.without_toxic(bounded(docs), toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by near-equal word n-grams, directly or through others, the smallest doc_id stays."""
-    return jaccard.one_of_each(docs, NEAR)
+    return jaccard.one_of_each(bounded(docs), NEAR)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows of benchmark items go; documents of which half the words are hit go whole."""
-    return decontaminate.cleaned(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.cleaned(bounded(docs), table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets become [SECRET]."""
-    return secrets.redacted(docs)
+    return secrets.redacted(bounded(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their place in sequences of CAPACITY tokens."""
-    return packing.pack_documents(docs, default_tokenizer(), PACK_END, CAPACITY)
+    return packing.pack_documents(bounded(docs), default_tokenizer(), PACK_END, CAPACITY)
 
 
 STAGES = [

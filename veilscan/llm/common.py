@@ -18,6 +18,16 @@ MEMO_WORDS = 300_000
 SLICE = 256
 
 
+#: Bytes of an Arrow batch that a Python task gets at once; by default only rows are counted, and texts can be long.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are bounded by bytes."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir; where that is unset, below the session's warehouse.
 

@@ -40,7 +40,7 @@ BLOCK_SETS, BLOCK_ELEMENTS = 256, 2_000_000
 #: Bits of the filter that says which documents may be needed again (2 MB, whatever the input).
 FILTER_BITS = 1 << 24
 #: Keys of a partition that are sorted at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Elements compared between two looks at the bound.
 STRIDE = 64
 U = np.uint64
@@ -139,7 +139,7 @@ def candidate_edges(docs: DataFrame, rule: Rule) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, seen = Memo(), set()
-        for part in slices(batches, 1024):
+        for part in slices(batches):
             keys, nodes, owner = [], [], []
             for text in blobs(part.column(0)):
                 values = word_set(text, memo, rule.words)

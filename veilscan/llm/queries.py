@@ -18,6 +18,7 @@ from veilscan.llm import (
     toxicity,
     warc,
 )
+from veilscan.llm.common import bounded
 from veilscan.llm.tokens import default_tokenizer
 
 #: Longest sequence, and the ids that end a document, of the two tokenizing queries.
@@ -25,7 +26,7 @@ CAPACITY, PACK_END, FILE_END = 2048, 0, 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
