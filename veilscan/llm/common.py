@@ -43,6 +43,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
+    # Spark removes shuffle files when the driver's JVM finds their plan gone, which may take it half an hour;
+    # what the write has shuffled is not needed any more
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

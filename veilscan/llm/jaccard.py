@@ -11,8 +11,9 @@ Sets of n-grams are kept as 64-bit hashes in one global order (the hash). The jo
    equal beginnings once. Each set walks down the trie with the overlap so far shared by all sets below;
    a subtree is left when the elements that remain can't bring the overlap up to what is needed, or when all
    its sets are known to be in the same component.
-3. Components. Links of all blocks are joined to components (large and small stars). Stars that had to be
-   split and still have several components meet again, sets of other components against all blocks.
+   At first each set meets only its largest star.
+3. Components. Links of all blocks are joined to components (large and small stars). Stars whose sets are still
+   in several components meet again, sets of other components than the hub's against all blocks of the star.
 
 Documents with equal sets are one set from the start. No pairs of a group are listed.
 
@@ -40,7 +41,7 @@ BLOCK_SETS, BLOCK_ELEMENTS = 256, 2_000_000
 #: Bits of the filter that says which documents may be needed again (2 MB, whatever the input).
 FILTER_BITS = 1 << 24
 #: Keys of a partition that are sorted at once.
-CHUNK = 1 << 18
+CHUNK = 1 << 19
 #: Elements compared between two looks at the bound.
 STRIDE = 64
 U = np.uint64
@@ -411,30 +412,31 @@ def set_links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame | No
     sets = stored(wanted_sets(docs, classes, nodes, rule), "sets")
     sizes = sets.select("node", "n")
     # a star holds its hub too
-    members = edges.unionByName(edges.select("hub", F.col("hub").alias("node")).distinct())
-    members = members.join(sizes, "node")
-    stars = members.groupBy("hub").agg(F.count("*").alias("sets"), F.sum("n").alias("elements"))
-    stars = stored(stars.select("hub", _blocks(F.col("sets"), F.col("elements")).alias("blocks")), "stars")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
-    placed = members.join(stars, "hub").select("hub", "node", F.explode(F.when(F.col("hub") == F.col("node"), everywhere).otherwise(F.array(own))).alias("block"))
-    filled = placed.join(sets, "node").select("hub", "block", "node", F.lit(None).cast("binary").alias("label"), "values")
+    members = edges.unionByName(edges.select("hub", F.col("hub").alias("node")).distinct()).join(sizes, "node")
+    counts = members.groupBy("hub").agg(F.count("*").alias("sets"), F.sum("n").alias("elements"))
+    stars = stored(counts.select("hub", "sets", _blocks(F.col("sets"), F.col("elements")).alias("blocks")), "stars")
+    members = stored(members.join(stars, "hub"), "members")
+
+    # first each set meets its largest star only, in one block of it, with the hub
+    home = members.groupBy("node").agg(F.max_by(F.struct("hub", "blocks"), F.struct("sets", "hub")).alias("home")).select("node", "home.*")
+    placed = home.select("hub", "node", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
+    hubs = placed.select("hub", F.col("hub").alias("node"), "block").distinct()
+    filled = placed.unionByName(hubs).distinct().join(sets.select("node", "values"), "node").withColumn("label", F.lit(None).cast("binary"))
     links = stored(tree_join(filled, rule, "hub", "block"), "links")
     labels = stored(components(links), "labels")
 
-    # stars in several blocks whose sets aren't all connected: what isn't with the hub meets all blocks
-    split = members.join(stars.where("blocks > 1"), "hub").join(labels, "node", "left")
-    split = split.select("hub", "node", "n", "blocks", F.coalesce("label", "node").alias("label"))
+    # then stars whose sets aren't all connected: what isn't with the hub meets all blocks of the star
+    split = members.join(labels, "node", "left").select("hub", "node", "n", "blocks", F.coalesce("label", "node").alias("label"))
     main = split.where("hub = node").select("hub", F.col("label").alias("main"))
     split = stored(split.join(main, "hub").withColumn("apart", F.col("label") != F.col("main")), "split")
     if split.where("apart").isEmpty():
         return labels
     apart = split.where("apart").groupBy("hub").agg(_blocks(F.count("*"), F.sum("n")).alias("others"))
     split = split.join(apart, "hub")
-    a, b = F.pmod(F.xxhash64("node"), F.col("others")).cast("int"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    as_stored = split.select("hub", "node", "label", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("a"), b.alias("b"))
-    as_asked = split.where("apart").select("hub", "node", "label", a.alias("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
-    crossed = as_stored.unionByName(as_asked).join(sets.select("node", "values"), "node")
+    split = split.withColumn("a", F.pmod(F.xxhash64("node"), "others").cast("int")).withColumn("b", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    as_stored = split.select("hub", "node", "label", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("a"), "b")
+    as_asked = split.where("apart").select("hub", "node", "label", "a", F.col("b").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+    crossed = as_stored.unionByName(as_asked.where("b != own").drop("own")).join(sets.select("node", "values"), "node")
     more = tree_join(crossed, rule, "hub", "a", "b")
     return stored(components(links.unionByName(more)), "labels")
 
