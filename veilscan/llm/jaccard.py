@@ -4,7 +4,7 @@ Sets of n-grams are kept as 64-bit hashes in one global order (the hash). The jo
 
 1. Blocking. Sets with Jaccard similarity t or more differ in at most d elements, d following from their
    sizes. The hash range is cut into m > d parts, so some part of both holds the same elements; its digest is a
-   blocking key. Empty parts are keys only for sets with more empty parts than m - d - 1 leaves out.
+   blocking key. Empty parts are keys only for sets with more than m - d - 1 of them.
    Keys are dealt out as packed arrays; each key's first set is its hub, and every later set of the key
    yields an edge (hub, set). A key that a third of all sets have is one entry and a stream of edges.
 2. Prefix trees. The sets of a hub's star meet in blocks of bounded size. A block stores its sets in a trie,
@@ -37,7 +37,7 @@ from pyspark.sql.types import BinaryType, BooleanType, DataType, StructField, St
 from veilscan.llm.common import Memo, blobs, fresh, mixed, pick, slices, stored
 
 #: A block of a star holds about so many sets and so many elements.
-BLOCK_SETS, BLOCK_ELEMENTS = 256, 2_000_000
+BLOCK_SETS, BLOCK_ELEMENTS = 1024, 2_000_000
 #: Bits of the filter that says which documents may be needed again (2 MB, whatever the input).
 FILTER_BITS = 1 << 24
 #: Keys of a partition that are sorted at once.
@@ -102,7 +102,11 @@ def _lows(rule: Rule) -> np.ndarray:
 
 
 def blocking_keys(values: np.ndarray, rule: Rule) -> np.ndarray:
-    """Keys of which linked sets share one: digests of parts, for the set's own range of sizes and the next."""
+    """Keys of which linked sets share one, for the set's own range of sizes and the next.
+
+    At least 1 + spare of d + 1 + spare parts agree; parts without elements are left out unless more than
+    spare of the set's are.
+    """
     own = int(np.searchsorted(_lows(rule), len(values), "right")) - 1
     sums = np.concatenate([[U(0)], np.cumsum(mixed(values ^ U(0x5851F42D4C957F2D)), dtype=U)])
     keys = []
@@ -113,7 +117,8 @@ def blocking_keys(values: np.ndarray, rule: Rule) -> np.ndarray:
         bounds = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(U)
         cuts = np.concatenate([[0], np.searchsorted(values, bounds), [len(values)]])
         sizes, part = np.diff(cuts), np.arange(m, dtype=U)
-        digest = mixed(sums[cuts[1:]] - sums[cuts[:-1]] + part * U(0x9E3779B97F4A7C15) + U(c * 0xC2B2AE3D27D4EB4F % 2**64) + sizes.astype(U))
+        name = part * U(0x9E3779B97F4A7C15) + U(c * 0xC2B2AE3D27D4EB4F % 2**64) + sizes.astype(U)
+        digest = mixed(sums[cuts[1:]] - sums[cuts[:-1]] + name)
         keys.append(digest if (sizes == 0).sum() > spare else digest[sizes > 0])
     return np.concatenate(keys)
 
@@ -153,13 +158,15 @@ def candidate_edges(docs: DataFrame, rule: Rule) -> DataFrame:
                 seen.add(node)
                 own = blocking_keys(values, rule)
                 keys.append(own)
-                owner.append(np.full(len(own), len(nodes), np.uint16))
+                owner.append(np.full(len(own), len(nodes), np.uint8))
                 nodes.append(node)
             if not nodes:
                 continue
             keys, owner = np.concatenate(keys), np.concatenate(owner)
             table = np.frombuffer(b"".join(nodes), U).reshape(-1, 2)
-            place = (keys >> U(33)) % U(parts)
+            place = (keys >> U(40)) % U(parts)
+            # 48 bits tell keys of one part apart well enough; a chance meeting costs a comparison
+            short = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
             order = np.argsort(place, kind="stable")
             ends = np.searchsorted(place[order], np.arange(parts + 1, dtype=U))
             rows = []
@@ -167,7 +174,7 @@ def candidate_edges(docs: DataFrame, rule: Rule) -> DataFrame:
                 at = order[ends[p] : ends[p + 1]]
                 if len(at):
                     used, index = np.unique(owner[at], return_inverse=True)
-                    rows.append((p, keys[at].tobytes(), index.astype(np.uint16).tobytes(), table[used].tobytes()))
+                    rows.append((p, short[at].tobytes(), index.astype(np.uint8).tobytes(), table[used].tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=["part", "keys", "index", "nodes"]
             )
@@ -204,8 +211,10 @@ def candidate_edges(docs: DataFrame, rule: Rule) -> DataFrame:
         held = 0
         for batch in batches:
             for keys, index, nodes in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                keys = np.frombuffer(keys, U)
-                waiting.append((keys, np.frombuffer(nodes, U).reshape(-1, 2)[np.frombuffer(index, np.uint16)]))
+                wide = np.zeros((len(keys) // 6, 8), np.uint8)
+                wide[:, :6] = np.frombuffer(keys, np.uint8).reshape(-1, 6)
+                keys = wide.view("<u8").reshape(-1)
+                waiting.append((keys, np.frombuffer(nodes, U).reshape(-1, 2)[np.frombuffer(index, np.uint8)]))
                 held += len(keys)
                 if held >= CHUNK:
                     yield settle()
