@@ -2,7 +2,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tests import brute
 from tests.conftest import plan_of
 from veilscan.functions.text import STOP_WORDS
 from veilscan.operators.questions import answer_questions, relevant_sentences, route_by_words
@@ -43,17 +42,6 @@ def test_answers(spark):
     assert got[7].sources == got[9].sources == []
 
 
-def test_relevant_sentences_match_brute_force(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("question"))
-    pairs = items.join(docs, items.item_id == docs.doc_id)
-    best = relevant_sentences("question", "text")
-    rows = pairs.select("question", "text", best.alias("best")).collect()
-    assert len(rows) > 30
-    for r in rows:
-        assert [b.sentence for b in r.best] == brute.best_sentences(r.question, r.text, STOP_WORDS)
-
-
 def test_chunks_rebuild_the_text(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     long = spark.createDataFrame([(-1, "éab" * 50000), (-2, "  "), (-3, "x" * 1000), (-4, "x" * 1001)], "doc_id long, text string")

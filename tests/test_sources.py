@@ -8,7 +8,7 @@ from tests.conftest import plan_of
 from veilscan.functions import text as T
 from veilscan.operators.dedupe import copies, first_copies
 from veilscan.plans.analysis import analyze, with_playbook, with_report
-from veilscan.session import spread, work_dir
+from veilscan.session import work_dir
 from veilscan.sources.audit import append_audit, audit_csv, audit_rollup, audit_rows, export_csv, read_audit_csv, write_reports
 from veilscan.sources.pages import assemble_pages
 from veilscan.sources.tables import read_csv_table, rows_as_text
@@ -176,12 +176,6 @@ def test_retried_batch_replaces_its_rows(spark, sf_dir, tmp_path):
     assert read_table(spark, str(tmp_path), "results").count() == docs.count()
 
 
-def test_spread_keeps_large_inputs_in_place(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    assert "RoundRobin" in plan_of(spread(docs))
-    assert spread(docs, size_hint=1 << 40) is docs
-
-
 def test_work_dir_follows_the_session(spark):
     shared = spark.conf.get("spark.checkpoint.dir", None)
     first, second = work_dir(spark), work_dir(spark)

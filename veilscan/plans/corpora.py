@@ -13,7 +13,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     """``(doc_id, text)`` and further columns; only these reach the scan."""
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *extra))
+    return table(spark, sf_dir, "documents").select("doc_id", "text", *extra)
 
 
 def phone_number(doc_id: str = "doc_id", shift: int = 0) -> str:

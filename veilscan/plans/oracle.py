@@ -369,7 +369,7 @@ ORACLE: dict[str, str] = {
     "findings_sheet_all": with_(MIXED, F_ALL)
     + f"select doc_id, category as \"Category\", value as \"Value\", {MASKED_VALUE} as \"Masked Value\", "
     "start as \"Start\", (start + length(value))::int as \"End\", 'High' as \"Confidence\" from f",
-    "findings_pages": with_("d as (select page_id as doc_id, html as text, html as body, '' as tail from pages)", F_PAGES)
+    "findings_pages": with_("d as (select page_id as doc_id, html as text, html as body, '' as tail from pages)", F_ALL)
     + f"select {FINDING} from f",
     "luhn_candidates": f"select doc_id, v as value, {luhn('v')} as is_card from "
     f"(select doc_id, unnest(regexp_extract_all(text, '{CARD}')) as v from documents)",
@@ -397,7 +397,7 @@ ORACLE: dict[str, str] = {
     + BREAKDOWN.format(keys="lang, ", source="cnt join d using (doc_id)"),
     "doc_risk": with_(*R_PLAIN) + f"select {RISK_COLUMNS} from r",
     "doc_risk_mixed": with_(*R_MIXED) + f"select {RISK_COLUMNS} from r",
-    "risk_from_findings": with_(*R_MIXED) + f"select {RISK_COLUMNS} from r where items > 0",
+    "risk_from_findings": with_(*R_MIXED) + f"select {RISK_COLUMNS} from r",
     "risk_mix": with_(*R_PLAIN)
     + "select risk_level, count(*) as documents, sum(score)::bigint as total_score, max(score) as max_score from r group by 1",
     "risk_mix_mixed": with_(*R_MIXED_LANG)

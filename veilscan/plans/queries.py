@@ -46,7 +46,7 @@ from veilscan.plans.analysis import (
     with_playbook,
     with_report,
 )
-from veilscan.session import spread, work_dir
+from veilscan.session import work_dir
 from veilscan.settings import RULES, Rule, category_dim, with_rules
 from veilscan.sources.audit import audit_csv, audit_rollup, audit_rows, read_audit_csv, write_reports
 from veilscan.sources.pages import assemble_pages
@@ -103,8 +103,8 @@ def findings_sheet_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def findings_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw web pages as documents."""
-    pages = spread(C.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
-    return found_in(pages, *rules_named("Email", "Credit Card"))
+    pages = C.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    return found_in(pages)
 
 
 @query
@@ -223,8 +223,11 @@ def doc_risk_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def risk_from_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risk from the stored long findings table instead of the nested array."""
-    counts = category_counts(found_in(C.mixed(spark, sf_dir)), "doc_id")
-    return risk_from_counts(counts, "doc_id")
+    docs = C.mixed(spark, sf_dir)
+    counts = category_counts(found_in(docs), "doc_id")
+    # documents without findings are Low with score 0
+    every = docs.select("doc_id").join(counts, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return risk_from_counts(every, "doc_id")
 
 
 @query
@@ -415,7 +418,7 @@ def page_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def table_row_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with contact columns, scanned row by row."""
-    people = spread(C.table(spark, sf_dir, "customer")).withColumns({
+    people = C.table(spark, sf_dir, "customer").withColumns({
         "phone": F.expr(f"concat('+91 ', {C.phone_number('c_custkey')})"),
         "pan": F.expr(f"concat('ABCDE', {C.padded('c_custkey', 4)}, 'F')"),
         "mail": F.expr("concat('user', c_custkey, '@mail.example')"),

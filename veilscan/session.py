@@ -1,16 +1,10 @@
-"""Session helpers: defaults for tests, the shared work folder, input spreading."""
+"""Session helpers: defaults for tests, the shared work folder."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-
-# Inputs at most this large are spread over all cores when the scan itself yields
-# too few partitions (one small file); anything larger keeps its scan partitions.
-SPREAD_LIMIT_BYTES = 1 << 30
-SPREAD_PART_BYTES = 1 << 17
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "veilscan") -> SparkSession:
@@ -22,6 +16,7 @@ def local_session(cores: int | str = "*", app: str = "veilscan") -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.files.maxPartitionBytes", "1m")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
@@ -30,32 +25,8 @@ def local_session(cores: int | str = "*", app: str = "veilscan") -> SparkSession
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder for intermediate tables, in the cluster's shared folder.
 
-    The folder is the one named by ``spark.checkpoint.dir``.  Only a local session
-    may go without it; then a temporary folder of this machine is used.
+    The folder is the one named by ``spark.checkpoint.dir``; where that is unset, the
+    session's warehouse, which a cluster's executors share too.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        shared = tempfile.mkdtemp(prefix="veilscan-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared.rstrip('/')}/veilscan-{uuid.uuid4().hex}"
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (file sizes for plain scans)."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
-def spread(df: DataFrame, size_hint: int | None = None) -> DataFrame:
-    """Use all cores for a small input that sits in too few scan partitions.
-
-    The size is checked: beyond ``SPREAD_LIMIT_BYTES`` the rows stay where the scan
-    put them, because at that size the scan has enough splits and moving the text
-    would cost a full shuffle.
-    """
-    size = estimated_bytes(df) if size_hint is None else size_hint
-    if size > SPREAD_LIMIT_BYTES:
-        return df
-    wanted = min(df.sparkSession.sparkContext.defaultParallelism, max(1, size // SPREAD_PART_BYTES))
-    return df.repartition(wanted) if wanted > 1 else df
