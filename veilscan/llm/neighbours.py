@@ -31,8 +31,9 @@ SAMPLE = 16_384
 TREES = 6
 #: Share of true neighbours that must lie in the leaves visited, measured within the sample on PROBES queries.
 TARGET, PROBES = 0.96, 200
-#: Vectors that a leaf holds on average, until the sample can't be split further, and sample points it needs.
-LEAF, LEAF_SAMPLE = 384, 6
+#: Vectors that a leaf holds on average: so many at least, and this multiple of the square root of all, since a
+#: query's answers from all its leaves are gathered. Sample points that a leaf needs.
+LEAF, ROOTS, LEAF_SAMPLE = 384, 10, 6
 #: Vectors that a block of a leaf holds at most, on average.
 BLOCK = 4096
 
@@ -77,10 +78,14 @@ class Forest:
         return out
 
 
+def leaf_size(count: int) -> int:
+    return max(LEAF, int(ROOTS * count**0.5))
+
+
 def fit(sample: np.ndarray, count: int, trees: int = TREES, seed: int = 7) -> Forest:
     """Trees over unit vectors of the sample, for `count` vectors in all."""
     random = np.random.default_rng(seed)
-    size = max(LEAF_SAMPLE, int(len(sample) * LEAF / max(count, 1)))
+    size = max(LEAF_SAMPLE, int(len(sample) * leaf_size(count) / max(count, 1)))
     directions, thresholds, children, roots = [], [], [], []
     for _ in range(trees):
         leaf = 0
@@ -191,7 +196,7 @@ def nearest(table: DataFrame, every: int = 50, k: int = 5, id_column: str = "vec
     forest = fit(units, count)
     visits = needed_visits(forest, units, k) if sample.num_rows else TREES
     sent = spark.sparkContext.broadcast(forest)
-    leaves = max(1, min(count // LEAF, SAMPLE // LEAF_SAMPLE))
+    leaves = max(1, min(count // leaf_size(count), SAMPLE // LEAF_SAMPLE))
     split = max(1, -(-count // (leaves * BLOCK)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
