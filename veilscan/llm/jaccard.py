@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DataType, StructField, StructType
 
-from veilscan.llm.common import Memo, blobs, fresh, mixed, pick, slices, stored
+from veilscan.llm.common import Memo, blobs, bucketed, fresh, mixed, pick, slices, stored
 
 #: A block of a star holds about so many sets and so many elements.
 BLOCK_SETS, BLOCK_ELEMENTS = 1024, 2_000_000
@@ -428,7 +428,7 @@ def set_links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame | No
     if edges.isEmpty():
         return None
     nodes = edges.select("node").unionByName(edges.select(F.col("hub").alias("node"))).distinct()
-    sets = stored(wanted_sets(docs, classes, nodes, rule), "sets")
+    sets = bucketed(wanted_sets(docs, classes, nodes, rule), "sets", "node")
     sizes = sets.select("node", "n")
     # a star holds its hub too
     members = edges.unionByName(edges.select("hub", F.col("hub").alias("node")).distinct()).join(sizes, "node")
