@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import plan_of
 from veilscan.functions.masking import mask_text, mask_value
-from veilscan.operators.detect import detect, explode_findings, filter_categories, filter_categories_by, findings_sheet
+from veilscan.operators.detect import detect, detect_counts, explode_findings, filter_categories, filter_categories_by, findings_sheet
 from veilscan.settings import RULES, Rule, rule_from_row, rules_from_table, with_rules
 
 GOLDEN_TEXTS = [
@@ -180,3 +180,16 @@ def test_rules_from_a_table(spark):
     assert [(r.category, r.weight, r.critical) for r in rules] == [("Badge", 1, False), ("Ticket", 3, True)]
     docs = spark.createDataFrame([(1, "T-42 and B1234")], "doc_id long, text string")
     assert [f.value for f in detect(docs, rules).first().findings] == ["T-42", "B1234"]
+
+
+def test_counts_equal_those_of_findings(spark):
+    texts = [*(t for t, _ in GOLDEN_TEXTS), "4111 1111 1111 1111 and 4111 1111 1111 1112, a@b.example", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counted = {r.doc_id: r.counts for r in detect_counts(docs).collect()}
+    for row in detect(docs).collect():
+        want = {}
+        for f in row.findings:
+            want[f.category] = want.get(f.category, 0) + 1
+        assert counted[row.doc_id] == want
+    plan = detect_counts(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "masked_value" not in plan and "array_sort" not in plan

@@ -7,7 +7,14 @@ from tests.conftest import plan_of
 from veilscan.functions.counts import counts_json, counts_map, counts_text, total
 from veilscan.functions.narrative import context_sentence, summary_risk
 from veilscan.functions.risk import risk_of
-from veilscan.operators.risk import category_breakdown, category_counts, label_categories, risk_from_counts, with_theme
+from veilscan.operators.risk import (
+    category_breakdown,
+    category_counts,
+    label_categories,
+    ordered_breakdown,
+    risk_from_counts,
+    with_theme,
+)
 from veilscan.plans.analysis import analyze, model_requests, with_playbook, with_report
 
 GOLDEN_RISKS = [
@@ -55,7 +62,7 @@ def test_count_formats(spark):
 
 def test_breakdown_orders_and_drops_zero(spark):
     rows = spark.createDataFrame([(1, "PAN", 2), (1, "Email", 2), (2, "Phone", 0), (2, "Mine", 3)], "doc_id long, category string, n int")
-    got = [(r.category, r.label, r.occurrences, r.severity) for r in category_breakdown(rows).collect()]
+    got = [(r.category, r.label, r.occurrences, r.severity) for r in ordered_breakdown(category_breakdown(rows)).collect()]
     assert got == [
         ("Mine", "Mine", 3, "Standard"), ("Email", "Emails", 2, "Standard"), ("PAN", "PAN Numbers", 2, "Elevated"),
     ]

@@ -65,6 +65,20 @@ def parts_sql(text: str, rule: Rule, hits: str) -> str:
     return f"named_struct('category', {sql_text(rule.category)}, 'parts', case when size({hits}) > 0 then {parts} end)"
 
 
+def number_sql(text: str, rule: Rule, hits: str) -> str:
+    """Number of findings among the matches of a rule."""
+    known_check(rule)
+    if rule.check is None:
+        return f"size({hits})"
+    values = f"case when size({hits}) > 0 then {all_matches(text, rule, 2)} else {hits} end" if rule.grouped else hits
+    return f"size(filter({values}, v_ -> {LUHN_SQL.format(v='v_')}))"
+
+
+def known_check(rule: Rule) -> None:
+    if rule.check not in (None, "luhn"):
+        raise ValueError(f"unknown check {rule.check!r}")
+
+
 def spans_sql(matched: str, rules: tuple[Rule, ...]) -> str:
     """All findings from an array of ``parts_sql`` structs that have parts."""
     span = let(
@@ -74,9 +88,8 @@ def spans_sql(matched: str, rules: tuple[Rule, ...]) -> str:
     )
     placed = f"zip_with(m.parts, {running_state('m.parts', 's + x.gap + x.hit')}, (part, at) -> named_struct('part', part, 'at', at))"
     spans = f"flatten(transform({matched}, m -> transform({placed}, w -> {span})))"
-    unknown = {r.check for r in rules} - {None, "luhn"}
-    if unknown:
-        raise ValueError(f"unknown checks {sorted(unknown)}")
+    for r in rules:
+        known_check(r)
     checked = [sql_text(r.category) for r in rules if r.check == "luhn"]
     if not checked:
         return spans

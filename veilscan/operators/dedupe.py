@@ -21,9 +21,18 @@ def copies(docs: DataFrame, key: str = "doc_id", content: str = "text") -> DataF
     )
 
 
+def first_keys(docs: DataFrame, key: str = "doc_id", content: str = "text") -> DataFrame:
+    """Keys of the documents that are the first of their content; no text is moved.
+
+    Join what is needed of the documents (lengths, paths) to these; ``first_copies`` joins
+    whole rows.
+    """
+    return copies(docs, key, content).select(key)
+
+
 def first_copies(docs: DataFrame, key: str = "doc_id", content: str = "text") -> DataFrame:
     """Documents that are the first of their content (smallest key).
 
     The semi join is on the unique key, never on the possibly hot hash.
     """
-    return docs.join(copies(docs, key, content).select(key), key, "left_semi")
+    return docs.join(first_keys(docs, key, content), key, "left_semi")

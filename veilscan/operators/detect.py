@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.functions.patterns import gate_sql, parts_sql, rule_hits, spans_sql
+from veilscan.functions.patterns import gate_sql, number_sql, parts_sql, rule_hits, spans_sql
+from veilscan.functions.text import sql_text
 from veilscan.operators.pin import pinned
 from veilscan.settings import RULES, Gate, Rule
 
@@ -15,6 +16,41 @@ SPAN_TYPE = "array<struct<start:int,category:string,end:int,value:string,masked_
 CONFIDENCE = "High"
 
 
+def scan_hits(
+    docs: DataFrame, rules: tuple[Rule, ...], text: str, prefilter: bool
+) -> tuple[DataFrame, dict[Rule, str]]:
+    """docs with one column of matches per rule, and the names of these columns."""
+    hit = {r: f"_hits_{i}" for i, r in enumerate(rules)}
+    gates: dict[str, list[Gate]] = {}
+    for r in rules:
+        if prefilter and r.gate:
+            gates.setdefault(f"_gate_{r.gate.group}", []).append(r.gate)
+    gate_of = {r: f"_gate_{r.gate.group}" for r in rules if prefilter and r.gate}
+    opened = docs.select("*", *[F.expr(gate_sql(text, g)).alias(name) for name, g in gates.items()])
+    scanned = opened.select(
+        *docs.columns, *[rule_hits(text, r, prefilter, gate_of.get(r)).alias(hit[r]) for r in rules]
+    )
+    return scanned, hit
+
+
+def detect_counts(
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", prefilter: bool = True
+) -> DataFrame:
+    """Add ``counts``: ``map<category,count>`` without zero entries, keys sorted.
+
+    Counts come from the matches themselves: no spans, masks or sorting are computed.
+    """
+    scanned, hit = scan_hits(docs, rules, text, prefilter)
+    numbers: dict[str, list[str]] = {}
+    for r in rules:
+        numbers.setdefault(r.category, []).append(number_sql(text, r, hit[r]))
+    entries = ", ".join(
+        f"named_struct('key', {sql_text(c)}, 'value', {' + '.join(n)})" for c, n in sorted(numbers.items())
+    )
+    counts = f"map_from_entries(filter(array({entries}), e -> e.value > 0))" if numbers else "cast(map() as map<string,int>)"
+    return pinned(scanned, counts=F.expr(counts)).select(*docs.columns, "counts")
+
+
 def detect(
     docs: DataFrame,
     rules: tuple[Rule, ...] = RULES,
@@ -28,16 +64,7 @@ def detect(
     projections because Catalyst keeps an expensive column that is used more than
     once, so every pattern runs once per text.  Overlaps between categories are kept.
     """
-    hit = {r: f"_hits_{i}" for i, r in enumerate(rules)}
-    gates: dict[str, list[Gate]] = {}
-    for r in rules:
-        if prefilter and r.gate:
-            gates.setdefault(f"_gate_{r.gate.group}", []).append(r.gate)
-    gate_of = {r: f"_gate_{r.gate.group}" for r in rules if prefilter and r.gate}
-    opened = docs.select("*", *[F.expr(gate_sql(text, g)).alias(name) for name, g in gates.items()])
-    scanned = opened.select(
-        *docs.columns, *[rule_hits(text, r, prefilter, gate_of.get(r)).alias(hit[r]) for r in rules]
-    )
+    scanned, hit = scan_hits(docs, rules, text, prefilter)
     matched = ", ".join(parts_sql(text, r, hit[r]) for r in rules)
     parted = scanned.select(
         *docs.columns, F.expr(f"filter(array({matched}), p -> size(p.parts) > 0)").alias("_matched")
@@ -75,12 +102,19 @@ def filter_categories(findings: DataFrame, selected: list[str]) -> DataFrame:
     return findings.where(F.col("category").isin(*selected)) if selected else findings
 
 
-def filter_categories_by(findings: DataFrame, selection: DataFrame) -> DataFrame:
-    """Same with the selection as a table: semi join, or all rows when it is empty."""
-    chosen = selection.select("category").distinct()
-    if chosen.isEmpty():
-        return findings
-    return findings.join(chosen, "category", "left_semi")
+def filter_categories_by(
+    findings: DataFrame, selection: DataFrame, rules: tuple[Rule, ...] = RULES
+) -> DataFrame:
+    """Same with the selection as a table, in one plan; an empty selection keeps everything.
+
+    Of the selection, only categories of ``rules`` are sent to the tasks, so the broadcast
+    is never larger than the rule set; ``rules`` are those that made the findings.
+    """
+    names = [r.category for r in rules]
+    chosen = selection.where(F.col("category").isin(*names)).select("category").distinct()
+    nothing = selection.agg(F.count(F.lit(1)) == 0).scalar()
+    marked = findings.join(F.broadcast(chosen.withColumn("_chosen", F.lit(True))), "category", "left")
+    return marked.where(F.col("_chosen").isNotNull() | nothing).select(*findings.columns)
 
 
 def distinct_categories(findings: DataFrame) -> DataFrame:

@@ -41,14 +41,17 @@ def label_categories(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
 def category_breakdown(counts: DataFrame, *keys: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Label, occurrences and severity per category; corpus-wide without keys.
 
-    Takes ``(keys, category, n)``; zero counts are dropped; most frequent first, ties
-    by category.
+    Takes ``(keys, category, n)``; zero counts are dropped.  Rows have no order, see
+    ``ordered_breakdown``.
     """
     summed = counts.groupBy(*keys, "category").agg(F.sum("n").alias("occurrences")).where("occurrences > 0")
     named = label_categories(summed, rules)
-    return named.select(*keys, "category", "label", "occurrences", "severity").orderBy(
-        *keys, F.desc("occurrences"), "category"
-    )
+    return named.select(*keys, "category", "label", "occurrences", "severity")
+
+
+def ordered_breakdown(breakdown: DataFrame, *keys: str) -> DataFrame:
+    """The breakdown for display: per key most frequent first, ties by category."""
+    return breakdown.orderBy(*keys, F.desc("occurrences"), "category")
 
 
 def risk_from_counts(

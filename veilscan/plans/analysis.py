@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.functions import narrative
@@ -10,7 +10,7 @@ from veilscan.functions.counts import counts_map, total
 from veilscan.functions.masking import mask_text
 from veilscan.functions.risk import risk_of
 from veilscan.functions.text import BLANK_MESSAGE, is_blank
-from veilscan.operators.detect import detect
+from veilscan.operators.detect import detect, detect_counts
 from veilscan.operators.pin import pinned
 from veilscan.settings import DEFAULT_OPTIONS, RULES, Options, Rule
 
@@ -28,19 +28,30 @@ def analyze(
     ``findings, counts, masked_text, risk_level, risk_score, risk_reason, status``.
     A blank or failed document is a row with status Failure, level Unknown and score 0.
     """
+    keep, error = _readable(docs)
+    found = detect(docs.select(*keep, error), rules)
+    counted = pinned(found, counts=counts_map("findings"))
+    masked = mask_text("text", "findings").alias("masked_text")
+    return _rated(counted, [*keep, "findings"], [masked], rules, options)
+
+
+def _readable(docs: DataFrame) -> tuple[list[str], Column]:
+    """Columns kept, and why a document can't be analysed (``_error``, null if it can)."""
     failed = F.when(is_blank(F.col("text")), F.lit(BLANK_MESSAGE))
     if "error" in docs.columns:
         failed = F.coalesce(F.col("error"), failed)
-    keep = [c for c in docs.columns if c != "error"]
-    found = detect(docs.select(*keep, failed.alias("_error")), rules)
-    counted = pinned(found, counts=counts_map("findings"))
+    return [c for c in docs.columns if c != "error"], failed.alias("_error")
+
+
+def _rated(
+    counted: DataFrame, keep: list[str], extra: list[Column], rules: tuple[Rule, ...], options: Options
+) -> DataFrame:
     scored = pinned(counted, _risk=risk_of("counts", rules, options))
     good = F.col("_error").isNull()
     return scored.select(
         *keep,
-        "findings",
         "counts",
-        mask_text("text", "findings").alias("masked_text"),
+        *extra,
         F.when(good, F.col("_risk.risk_level")).otherwise("Unknown").alias("risk_level"),
         F.when(good, F.col("_risk.risk_score")).otherwise(0).alias("risk_score"),
         F.when(good, F.col("_risk.risk_reason")).alias("risk_reason"),
@@ -48,6 +59,14 @@ def analyze(
     )
 
 
+def assess(
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, options: Options = DEFAULT_OPTIONS
+) -> DataFrame:
+    """``analyze`` without ``findings`` and ``masked_text``, for reports on counts and risk only."""
+    keep, error = _readable(docs)
+    return _rated(detect_counts(docs.select(*keep, error), rules), keep, [], rules, options)
+
+
 def succeeded(results: DataFrame) -> DataFrame:
     return results.where(F.col("status") == SUCCESS)
 

@@ -380,6 +380,7 @@ ORACLE: dict[str, str] = {
         f"select 'Quoted Token', sum(len(regexp_extract_all(text, {lit(TOKEN)}))) from d)", DIM_SQL)
     + "select category, coalesce(label, category) as label, n::bigint as occurrences, "
     "coalesce(severity, 'Standard') as severity from g left join dim using (category) where n > 0",
+    "findings_none_selected": with_(MIXED, F_ALL) + "select doc_id, category, value from f",
     "findings_filtered": with_(AUGMENTED, F_ALL)
     + f"select doc_id, category, {MASKED_VALUE} as masked_value from f where category in ('PAN', 'Password')",
     "findings_selected": with_(MIXED, F_ALL, DIM_SQL)
@@ -392,6 +393,7 @@ ORACLE: dict[str, str] = {
     "masked_text_augmented": with_(AUGMENTED, F_ALL, MASKED) + MASKED_OUT,
     "doc_category_counts": with_(MIXED, F_ALL, CNT) + "select * from cnt",
     "corpus_category_breakdown": with_(AUGMENTED, F_ALL, DIM_SQL, CNT) + BREAKDOWN.format(keys="", source="cnt"),
+    "breakdown_zero_counts": with_(MIXED, F_ALL, DIM_SQL, CNT) + BREAKDOWN.format(keys="doc_id, ", source="cnt"),
     "doc_category_breakdown": with_(MIXED, F_ALL, DIM_SQL, CNT) + BREAKDOWN.format(keys="doc_id, ", source="cnt"),
     "lang_category_breakdown": with_(MIXED_LANG, F_ALL, DIM_SQL, CNT)
     + BREAKDOWN.format(keys="lang, ", source="cnt join d using (doc_id)"),
@@ -479,6 +481,13 @@ ORACLE: dict[str, str] = {
     + f"select doc_id, risk_level, score as risk_score, {STATUS} as status from r "
     "where doc_id in (select min(doc_id) from documents group by text)",
     "chunks": CHUNKS,
+    "chunks_blank": (
+        "with n as (select doc_id, length(text) as k from documents "
+        f"where not regexp_full_match(text, {lit(WS + '*')})), "
+        f"c as (select doc_id, k, unnest(range(case when k <= {SIZE} then 1 else ceil((k - 150) / {STEP})::bigint end)) as i from n) "
+        f"select doc_id, count(*) as n, sum(least({SIZE}, k - i * {STEP}))::bigint as chars from c group by doc_id"
+    ),
+    "constant_context": with_(MIXED) + f"select doc_id, {lit(N.NO_CONTEXT)} as context from d",
     "vector_topk": with_(VECTORS) + "select q_id, rank, vec_id, round(distance, 5) as distance from top",
     "vector_context": with_(CONTEXTS) + "select q_id, md5(context) as context_md5, n_sources from ctx",
     "vector_requests": with_(
@@ -497,3 +506,4 @@ ORACLE: dict[str, str] = {
     + "select q_id, rank, score, sentence from best",
     "question_answers": QUESTION_ANSWERS,
 }
+ORACLE["custom_rules_table"] = ORACLE["custom_rules"]

@@ -11,9 +11,10 @@ from veilscan.functions import text as T
 from veilscan.functions.counts import counts_json, counts_text, total
 from veilscan.functions.masking import mask_value
 from veilscan.functions.patterns import rule_hits
-from veilscan.operators.dedupe import copies, first_copies
+from veilscan.operators.dedupe import copies, first_keys
 from veilscan.operators.detect import (
     detect,
+    detect_counts,
     distinct_categories,
     explode_findings,
     filter_categories,
@@ -39,6 +40,7 @@ from veilscan.operators.risk import (
 from veilscan.plans import corpora as C
 from veilscan.plans.analysis import (
     analyze,
+    assess,
     failed,
     model_requests,
     succeeded,
@@ -47,7 +49,7 @@ from veilscan.plans.analysis import (
     with_report,
 )
 from veilscan.session import work_dir
-from veilscan.settings import RULES, Rule, category_dim, with_rules
+from veilscan.settings import RULES, Rule, category_dim, rules_from_table, with_rules
 from veilscan.sources.audit import audit_csv, audit_rollup, audit_rows, read_audit_csv, write_reports
 from veilscan.sources.pages import assemble_pages
 from veilscan.sources.tables import rows_as_text
@@ -125,8 +127,23 @@ def custom_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         Rule("Quoted Token", before='token = "', body="[^\"]+", after='"', needs=("token",), mask="secret", weight=5),
     )
     rules = with_rules(*extra)
-    results = analyze(C.documents(spark, sf_dir), rules)
-    return category_breakdown(counts_long(results, "doc_id"), rules=rules)
+    counts = counts_long(detect_counts(C.documents(spark, sf_dir), rules), "doc_id")
+    return category_breakdown(counts, rules=rules)
+
+
+@query
+def custom_rules_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same user rules, loaded from a rule table."""
+    table = spark.createDataFrame(
+        [
+            ("US Phone", None, r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", None, ["+1"], "digits", 2),
+            ("Quoted Token", 'token = "', "[^\"]+", '"', ["token"], "secret", 5),
+        ],
+        "category string, before string, body string, after string, needs array<string>, mask string, weight int",
+    )
+    rules = with_rules(*rules_from_table(table))
+    counts = counts_long(detect_counts(C.documents(spark, sf_dir), rules), "doc_id")
+    return category_breakdown(counts, rules=rules)
 
 
 @query
@@ -143,6 +160,14 @@ def findings_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "category", "value")
 
 
+@query
+def findings_none_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An empty selection keeps everything."""
+    findings = found_in(C.mixed(spark, sf_dir))
+    kept = filter_categories_by(findings, category_dim(spark).where("severity = 'Unheard of'"))
+    return kept.select("doc_id", "category", "value")
+
+
 @query
 def distinct_category_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_categories(found_in(C.augmented(spark, sf_dir)))
@@ -186,36 +211,45 @@ def masked_text_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def doc_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return category_counts(found_in(C.mixed(spark, sf_dir)), "doc_id")
+    return counts_long(detect_counts(C.mixed(spark, sf_dir)), "doc_id")
 
 
 @query
 def corpus_category_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus-wide breakdown."""
-    return category_breakdown(category_counts(found_in(C.augmented(spark, sf_dir))))
+    return category_breakdown(counts_long(detect_counts(C.augmented(spark, sf_dir)), "doc_id"))
 
 
 @query
 def doc_category_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return category_breakdown(counts_long(analyze(C.mixed(spark, sf_dir)), "doc_id"), "doc_id")
+    return category_breakdown(counts_long(detect_counts(C.mixed(spark, sf_dir)), "doc_id"), "doc_id")
+
+
+@query
+def breakdown_zero_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A counts table with a row for every rule; those that count nothing are left out."""
+    names = F.array(*[F.lit(r.category) for r in RULES])
+    every = detect_counts(C.mixed(spark, sf_dir)).select("doc_id", "counts", F.explode(names).alias("category"))
+    counts = every.select("doc_id", "category", F.expr("coalesce(counts[category], 0)").alias("n"))
+    return category_breakdown(counts, "doc_id")
 
 
 @query
 def lang_category_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = analyze(C.mixed(spark, sf_dir, "lang"))
+    results = detect_counts(C.mixed(spark, sf_dir, "lang"))
     return category_breakdown(counts_long(results, "lang"), "lang")
 
 
 @query
 def doc_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return totals(analyze(C.documents(spark, sf_dir))).select(
+    return totals(assess(C.documents(spark, sf_dir))).select(
         "doc_id", "total_findings", "risk_level", "risk_score", "risk_reason"
     )
 
 
 @query
 def doc_risk_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return totals(analyze(C.mixed(spark, sf_dir))).select(
+    return totals(assess(C.mixed(spark, sf_dir))).select(
         "doc_id", "total_findings", "risk_level", "risk_score", "risk_reason"
     )
 
@@ -232,12 +266,12 @@ def risk_from_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def risk_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk_level_mix(analyze(C.documents(spark, sf_dir)))
+    return risk_level_mix(assess(C.documents(spark, sf_dir)))
 
 
 @query
 def risk_mix_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk_level_mix(analyze(C.mixed(spark, sf_dir, "lang")), "lang")
+    return risk_level_mix(assess(C.mixed(spark, sf_dir, "lang")), "lang")
 
 
 @query
@@ -248,7 +282,7 @@ def severity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def risk_theme(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = analyze(C.with_blanks(spark, sf_dir))
+    results = assess(C.with_blanks(spark, sf_dir))
     return with_theme(results).select("doc_id", "risk_level", "level_label", "tone")
 
 
@@ -258,7 +292,7 @@ def risk_theme(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def counts_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = "counts"
-    return analyze(C.mixed(spark, sf_dir)).select(
+    return detect_counts(C.mixed(spark, sf_dir)).select(
         "doc_id", counts_text(counts).alias("counts_text"), counts_json(counts).alias("counts_json")
     )
 
@@ -268,6 +302,11 @@ def fallback_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_playbook(analyze(C.mixed(spark, sf_dir))).select("doc_id", "summary")
 
 
+@query
+def constant_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_playbook(assess(C.mixed(spark, sf_dir))).select("doc_id", "context")
+
+
 @query
 def playbook(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = F.col("playbook")
@@ -363,17 +402,18 @@ def content_hash_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def first_copy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_copies(C.documents(spark, sf_dir)).select("doc_id", F.length("text").alias("chars"))
+    docs = C.documents(spark, sf_dir)
+    return docs.select("doc_id", F.length("text").alias("chars")).join(first_keys(docs), "doc_id", "left_semi")
 
 
 @query
 def blank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return failed(analyze(C.with_blanks(spark, sf_dir))).select("doc_id", "status", "risk_level", "risk_score")
+    return failed(assess(C.with_blanks(spark, sf_dir))).select("doc_id", "status", "risk_level", "risk_score")
 
 
 def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = C.with_blanks(spark, sf_dir).withColumn("filename", F.expr("concat('doc-', doc_id, '.txt')"))
-    return audit_rows(analyze(named), "lang")
+    return audit_rows(assess(named), "lang")
 
 
 @query
@@ -491,6 +531,14 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def chunks_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank documents have no chunk."""
+    return chunk_text(C.with_blanks(spark, sf_dir)).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("chunk")).alias("chars")
+    )
+
+
 @query
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = nearest_chunks(C.vector_questions(spark, sf_dir), C.vector_rows(spark, sf_dir))
