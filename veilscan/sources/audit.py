@@ -21,7 +21,10 @@ TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 def audit_rows(
     results: DataFrame, *keys: str, ts: Column | None = None, processing_time: Column | None = None
 ) -> DataFrame:
-    """One audit row per result; failures carry level Unknown, score 0 and no counts."""
+    """One audit row per result; failures carry level Unknown, score 0 and no counts.
+
+    ``processing_time`` is NULL unless the caller has measured it.
+    """
     return results.select(
         *keys,
         (F.current_timestamp() if ts is None else ts).alias("ts"),
@@ -29,7 +32,7 @@ def audit_rows(
         "risk_level",
         "risk_score",
         F.col("counts").alias("detection_counts"),
-        (F.lit(0.0) if processing_time is None else processing_time).cast("double").alias("processing_time"),
+        (F.lit(None) if processing_time is None else processing_time).cast("double").alias("processing_time"),
         "status",
     )
 
@@ -48,7 +51,7 @@ def audit_csv(audit: DataFrame) -> DataFrame:
         F.col("risk_level"),
         F.col("risk_score").cast("string"),
         counts_json("detection_counts"),
-        F.format_string("%.3f", F.col("processing_time")),
+        F.when(F.col("processing_time").isNotNull(), F.format_string("%.3f", F.col("processing_time"))),
         F.col("status"),
     )
     return audit.select(*[v.alias(name) for v, name in zip(values, CSV_COLUMNS)])
