@@ -209,6 +209,17 @@ def test_main_text_without_menus_and_comments(spark):
     assert all(got[10 + i] == f"Body {i} words {i} here." for i in range(6))
 
 
+def test_templates_choose_text_inside_marked_elements(spark):
+    page = '<body><article><h1>Title {0}</h1><div class="c7"><p>Same note</p></div><p>Own text number {0} of this page.</p></article></body>'
+    lead = f"<body><main><h1>Head</h1><p>Lead.</p><article><p>{'long ' * 60}</p></article></main><article><p>Short one.</p></article></body>"
+    copies = "<body><article><p>The same article on all pages.</p></article><p>{0}</p></body>"
+    rows = [(i, f"http://a/{i}", page.format(i)) for i in range(6)] + [(50, "http://b/", lead)] + [(60 + i, f"http://c/{i}", copies.format(i)) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in templates.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i} Own text number {i} of this page." for i in range(6))
+    assert got[50].startswith("Head Lead. long") and got[50].endswith("Short one.")
+    assert all(got[60 + i] == "The same article on all pages." for i in range(6))
+
+
 def test_surrogates_are_consistent_and_distinct(spark):
     rows = [
         (1, "Mail Bob.Lee@mail5.example.com or bob.lee@mail5.example.com, call +1 (499) 555-6503."), (2, "bob.lee@mail5.example.com / +1 499 555 6503 / 10.20.30.40"),

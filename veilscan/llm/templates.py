@@ -4,8 +4,9 @@ Pages are cut into tokens: tags with the path of elements they stand in, and run
 occurrence vector says how often it is on each page of its host. Tokens with the same vector form an
 equivalence class; classes of at least two tokens on enough pages are valid, and nest by their paths: this is the
 host's template. What lies between template tokens are slots. Text that is itself a template token is
-boilerplate; the slots whose container holds most text over the host's pages, or that HTML marks as main,
-are the page's main text, without parts whose element or class says that they serve another end.
+boilerplate, on pages with marked main elements too; the slots whose container holds most text over the host's
+pages are the page's main text, or those in elements that HTML marks as main, all of an outer one, unless the host's
+main slot lies elsewhere and holds more. Parts whose element or class says that they serve another end stay out.
 
 Vectors are never collected: a token is reduced to the number of its pages, its count and the exclusive or
 of hashes of (page, count), summed within each task first. A host's template holds only tokens of a given
@@ -85,7 +86,7 @@ def _element(name: str, attributes: str) -> tuple[str, bool, bool]:
 
 def blocks(html: str) -> Iterator[tuple[str, str, bool, int]]:
     """The page's tokens in order: (path of elements, text or "" for a tag, serves another end, number of the
-    innermost element marked as main or 0). Texts of inline elements join their block."""
+    outermost element marked as main or 0). Texts of inline elements join their block."""
     stack: list[tuple[str, str, str, bool, int]] = []  # element, label, path, other, main
     path, other, main, mains = "", False, 0, 0
     text: list[str] = []
@@ -130,9 +131,9 @@ def blocks(html: str) -> Iterator[tuple[str, str, bool, int]]:
                 stack[:] = [e for e in stack if e[0] == "html"]
             above = stack[-1] if stack else ("", "", "", False, 0)
             if name not in VOID:
-                if is_main:
+                if is_main and not above[4]:
                     mains += 1
-                stack.append((name, label, f"{above[2]}/{label}", above[3] or is_other, mains if is_main else above[4]))
+                stack.append((name, label, f"{above[2]}/{label}", above[3] or is_other, above[4] or (mains if is_main else 0)))
                 yield stack[-1][2], "", stack[-1][3], stack[-1][4]
         path, other, main = stack[-1][2:] if stack else ("", False, 0)
     if text:
@@ -233,24 +234,22 @@ def host_templates(tokens: DataFrame, share: float = SHARE, least: int = PAGES)
 
 def main_text(html: str, boilerplate: set[int], main: str | None) -> str:
     """The text of the page's main slots; boilerplate: text tokens of the host's template."""
-    found = list(blocks(html))
-    texts = [(path, text, other, inside) for path, text, other, inside in found if text]
-    marked: Counter = Counter()
-    for path, text, other, inside in texts:
-        if inside and not other:
-            marked[inside] += len(text)
+    texts = [(path, text, inside) for path, text, other, inside in blocks(html) if text and not other]
+    slots = [(path, text, inside) for path, text, inside in texts if _hash(f"{path}\n{text}") not in boilerplate]
+    # a page that the template would leave nothing of is a copy of others, not an instance of the template
+    slots = slots or texts
+    size = lambda part: sum(len(text) for _, text, _ in part)
+    whole, marked = [x for x in texts if x[2]], [x for x in slots if x[2]]
+    if 2 * size(marked) < size(whole):
+        # so is one that would lose most of its marked text
+        marked = whole
+    under = [x for x in slots if main and f"{container(x[0])}/".startswith(f"{main}/")]
     if marked:
-        # the longest marked element, and those nested in others count with the innermost
-        best = max(marked, key=lambda k: (marked[k], -k))
-        share = 0.25 * marked[best]
-        chosen = [text for path, text, other, inside in texts if not other and inside and marked[inside] >= share]
-        return " ".join(chosen)
-    slots = [(path, text) for path, text, other, _ in texts if not other and _hash(f"{path}\n{text}") not in boilerplate]
-    if main and any(container(path).startswith(main) for path, _ in slots):
-        inside = [(path, text) for path, text in slots if f"{container(path)}/".startswith(f"{main}/")]
-        if sum(len(t) for _, t in inside) * 2 >= sum(len(t) for _, t in slots):
-            slots = inside
-    return " ".join(text for _, text in slots)
+        # marked elements are a hint: the host's main slot outweighs them if it lies elsewhere and holds more
+        slots = under if not any(x[2] for x in under) and size(under) > size(marked) else marked
+    elif under and size(under) * 2 >= size(slots):
+        slots = under
+    return " ".join(text for _, text, _ in slots)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
