@@ -220,6 +220,17 @@ def test_templates_choose_text_inside_marked_elements(spark):
     assert all(got[60 + i] == "The same article on all pages." for i in range(6))
 
 
+def test_each_layout_of_a_host_has_a_template(spark):
+    first = '<body><div class="m"><span class="i">Menu one</span><span class="i">Menu two</span></div><div class="t"><p>First own text {0} here.</p></div></body>'
+    second = '<body><div class="n">Notice of this part</div><div class="t"><p>Second own text {0} here.</p></div></body>'
+    shared = '<body><div class="t"><p>A passage that some articles share.</p><p>Third own text {0} here.</p></div></body>'
+    rows = [(k * 100 + i, f"http://a/{k}/{i}", page.format(i)) for k, page in enumerate((first, second)) for i in range(10)]
+    rows += [(200 + i, f"http://a/s/{i}", shared.format(i)) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in templates.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"First own text {i} here." and got[100 + i] == f"Second own text {i} here." for i in range(10))
+    assert all(got[200 + i] == f"A passage that some articles share. Third own text {i} here." for i in range(4))
+
+
 def test_surrogates_are_consistent_and_distinct(spark):
     rows = [
         (1, "Mail Bob.Lee@mail5.example.com or bob.lee@mail5.example.com, call +1 (499) 555-6503."), (2, "bob.lee@mail5.example.com / +1 499 555 6503 / 10.20.30.40"),

@@ -2,15 +2,15 @@
 
 Pages are cut into tokens: tags with the path of elements they stand in, and runs of text. A token's
 occurrence vector says how often it is on each page of its host. Tokens with the same vector form an
-equivalence class; classes of at least two tokens on enough pages are valid, and nest by their paths: this is the
-host's template. What lies between template tokens are slots. Text that is itself a template token is
+equivalence class; classes on enough pages are valid, however small their share of the host is, so that each of a
+host's page layouts has its own. They nest by the elements that their tokens stand in: this is the host's template.
+What lies between template tokens are slots. Text that is itself a template token is
 boilerplate, on pages with marked main elements too; the slots whose container holds most text over the host's
 pages are the page's main text, or those in elements that HTML marks as main, all of an outer one, unless the host's
 main slot lies elsewhere and holds more. Parts whose element or class says that they serve another end stay out.
 
 Vectors are never collected: a token is reduced to the number of its pages, its count and the exclusive or
-of hashes of (page, count), summed within each task first. A host's template holds only tokens of a given
-share of its pages, so it is no longer than some pages, however many pages the host has.
+of hashes of (page, count), summed within each task first. A host's template holds the tokens of all its layouts.
 
 Defined results: a null or empty html gives an empty text; pages with a null url, or one without a host, form
 one host of their own; a page alone on its host has no template and is judged by its elements; repeated
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from veilscan.llm.common import pick, stored
 
-#: A template token is on this share of its host's pages, and on so many pages at least.
-SHARE, PAGES = 0.6, 4
+#: A template token is on so many pages of its host at least.
+PAGES = 4
 
 #: Comment or declaration; raw element with all that it holds; tag; text.
 PARTS = re.compile(
@@ -210,26 +210,31 @@ def occurrences(pages: DataFrame) -> DataFrame:
     )
 
 
-def host_templates(tokens: DataFrame, share: float = SHARE, least: int = PAGES) -> DataFrame:
-    """Per host: n_pages, classes (pages, total, parent, paths and text tokens of each valid class, outer ones
-    first), main (container with most text). Built from occurrences()."""
+def host_templates(tokens: DataFrame, least: int = PAGES) -> DataFrame:
+    """Per host: n_pages, classes (pages, total, paths and text tokens of each valid class, outer ones first),
+    main (container with most text). Built from occurrences().
+
+    A class is valid on enough pages, if it has two tokens or more, or a text where texts hardly vary. The texts of
+    an element vary if a quarter of them or more are on fewer pages than a class needs: these are slots. Repeated
+    text there is the template's if it is on half the element's pages; else it is what some pages' articles share.
+    """
     sizes = tokens.where((F.col("path") == "") & ~F.col("text") & (F.col("pages") > 0)).select("host", F.col("pages").alias("n_pages"))
     heaviest = tokens.where("chars > 0").groupBy("host").agg(F.max_by("path", F.struct("chars", "path")).alias("main"))
-    common = tokens.where((F.col("pages") >= least) & (F.col("path") != "")).join(sizes, "host").where(F.col("pages") >= share * F.col("n_pages"))
-    member = F.struct(F.length("path").alias("depth"), "path", F.when(F.col("text"), F.col("token")).alias("token"))
+    seen = tokens.where((F.col("path") != "") & (F.col("pages") > 0))
+    rare = F.when(F.col("text") & (F.col("pages") < least), F.col("total")).otherwise(0)
+    elements = seen.groupBy("host", "path").agg(
+        (F.sum(rare) * 4 >= F.sum(F.when(F.col("text"), F.col("total")).otherwise(0))).alias("slot"), F.max(F.when(~F.col("text"), F.col("pages"))).alias("around"), F.max("pages").alias("most")
+    )
+    # the elements of repeated tokens only
+    common = seen.where(F.col("pages") >= least).join(elements.where(F.col("most") >= least), ["host", "path"])
+    member = F.struct(F.length("path").alias("depth"), "path", F.when(F.col("text"), F.col("token")).alias("token"), "slot", (F.col("pages") * 2 >= F.coalesce("around", "pages")).alias("usual"))
     classes = common.groupBy("host", "pages", "total", "vector").agg(F.array_sort(F.collect_list(member)).alias("tokens"))
-    # one token alone shows no structure, unless it is a text: the same words on most pages are boilerplate
-    valid = classes.where((F.size("tokens") >= 2) | F.col("tokens")[0]["token"].isNotNull())
+    several = F.size("tokens") >= 2
+    kept = F.filter("tokens", lambda t: t["token"].isNull() | ~t["slot"] | several & t["usual"])
+    valid = classes.withColumn("tokens", kept).where(F.exists("tokens", lambda t: t["token"].isNotNull()) | (F.size("tokens") >= 2))
     entry = F.struct(F.col("tokens")[0]["depth"].alias("depth"), F.col("tokens")[0]["path"].alias("top"), "pages", "total", "tokens")
-    nested = valid.groupBy("host").agg(F.array_sort(F.collect_list(entry)).alias("found"))
-    def parent(x):
-        """Top of the innermost class, once per page, that x stands in."""
-        around = F.filter("found", lambda y: (y["depth"] < x["depth"]) & (y["total"] == y["pages"]) & F.startswith(x["top"], F.concat(y["top"], F.lit("/"))))
-        return F.try_element_at(F.transform(around, lambda y: y["top"]), F.lit(-1))
-
-    members = F.transform("found", lambda x: F.struct(x["pages"].alias("pages"), x["total"].alias("total"), parent(x).alias("parent"), x["tokens"].alias("tokens")))
-    nested = nested.withColumn("classes", members)
-    return sizes.join(nested.select("host", "classes"), "host", "left").join(heaviest, "host", "left")
+    nested = valid.groupBy("host").agg(F.array_sort(F.collect_list(entry)).alias("classes"))
+    return sizes.join(nested, "host", "left").join(heaviest, "host", "left")
 
 
 def main_text(html: str, boilerplate: set[int], main: str | None) -> str:
@@ -254,7 +259,7 @@ def main_text(html: str, boilerplate: set[int], main: str | None) -> str:
 
 def extracted(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
-    templates = host_templates(occurrences(pages))
+    templates = host_templates(stored(occurrences(pages), "tokens"))
     constant = F.flatten(F.transform("classes", lambda c: F.filter(F.transform(c["tokens"], lambda t: t["token"]), lambda t: t.isNotNull())))
     # a table of its own, so that Spark sees its size and can split a hot host's pages in the join
     known = stored(templates.select("host", F.coalesce(constant, F.array().cast("array<long>")).alias("boilerplate"), "main"), "templates")
