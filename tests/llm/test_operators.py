@@ -159,6 +159,18 @@ def test_secret_spans(spark, docs):
     assert "AKIA" not in {r["doc_id"]: r["text"] for r in secrets.redacted(docs).collect()}[3]
 
 
+def test_credential_values_are_found_whole(spark):
+    spans = lambda text: secrets.spans_of(text.encode())[1]
+    assert spans("password=abcdef!G#12xyz9") == [(0, 0, 15), (9, 3, 24)]
+    long = "".join(chr(33 + (i * i * 7 + i * 13) % 90) for i in range(300)).translate({ord(c): "x" for c in "\"'`<>,;.!?)]}"})
+    assert spans(f"passphrase: {long} end") == [(12, 3, 12 + len(long))]
+    assert spans("pwd: wkrjqhzpvmtx") == [(5, 3, 17)] and spans("db_pwd = xK9#vQ2!mZ7p") == [(9, 3, 21)]
+    assert spans("Authorization: Bearer q7Zk+R2v/Lm9w") == [(22, 3, 35)]
+    assert spans("password is required") == spans("pwd: " + "_" * 100_000) == spans("pwd: " + "xyxy" * 20_000) == []
+    frame = spark.createDataFrame([(1, "password=abcdef!G#12xyz9 ok")], "doc_id long, text string")
+    assert secrets.redacted(frame).first()["text"] == "[SECRET] ok"
+
+
 def test_toxicity_learns_words_and_handles_empty_tables(spark):
     random = np.random.default_rng(3)
     rows = [(i, " ".join(f"w{x}" for x in random.integers(0, 60, 30)) + (" vile scum" if i % 5 == 0 else "")) for i in range(400)]

@@ -33,7 +33,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"akia", b"pin", b"credential", b"login", b"auth", b"bearer")
 HEX_BYTES = re.compile(rb"[0-9a-f]{24}")
 CONTEXT = re.compile(
-    r"""(?ai:\b(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[ _-]?key|credentials?|login|auth|bearer))["']?(?:[ \t]{0,4}(?::=|=>|->|[:=])[ \t]{0,4}|[ \t]+(?:is|was)[ \t:]+)["'`]?([^\s"'`<>,;]{6,128})"""
+    r"""(?ai:(?<![A-Za-z0-9])(?:(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[ _-]?key|credentials?|login|auth|bearer)["']?(?:[ \t]*(?::=|=>|->|[:=])[ \t]*|[ \t]+(?:is|was)[ \t:]+)(?:bearer[ \t]+)?|bearer[ \t]+))["'`]?([^\s"'`<>,;]{6,})"""
 )
 #: Guesses (as a power of ten) from which on a value is taken for a secret.
 GUESSES = 9.0
@@ -44,7 +44,8 @@ COMMON = (
     "changeme default example sample demo temp monkey dragon football baseball iloveyou sunshine princess shadow "
     "superman batman trustno hello freedom whatever michael jordan summer winter spring autumn google amazon server "
     "database public private access system manager service account backup oracle mysql postgres redis docker none "
-    "null true false undefined your here value string placeholder redacted hidden enter insert foo bar baz qux"
+    "null true false undefined your here value string placeholder redacted hidden enter insert foo bar baz qux "
+    "required invalid incorrect correct expired missing needed wrong stored encrypted generated changed optional valid always never"
 ).split()
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 LEET = str.maketrans("4@01!35$7", "aaoiiesst")
@@ -65,46 +66,58 @@ def _capitals(piece: str) -> float:
 
 
 @lru_cache(maxsize=10_000)
-def guess_cost(value: str) -> float:
-    """Power of ten of the guesses in the cheapest segmentation."""
+def guess_cost(value: str, most: float = float("inf")) -> float:
+    """Power of ten of the guesses in the cheapest segmentation; any number from most on if it is not below most.
+
+    No segmentation goes on from a place that costs most or more, so long values of many guesses end early.
+    """
     low, n = value.lower(), len(value)
     leet = low.translate(LEET)
     best = [0.0] + [float("inf")] * n
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        if m := DATE.match(low, i):
-            dates.setdefault(i, []).append(m.end())
+    # how a place was reached: the block's length of a repeat, -1 for a walk
+    way = [0] * (n + 1)
+
+    def reach(j: int, cost: float, by: int = 0) -> bool:
+        """Whether to go on: a walk or repeat that began before and is no dearer here stays so to its end."""
+        if cost < best[j]:
+            best[j], way[j] = cost, by
+            return True
+        return not by or not way[j] or way[j] > 0 and (by < 0 or by % way[j] > 0)
+
     for i in range(n):
         here = best[i] + (0.3 if i else 0.0)  # one more segment to arrange
+        if here >= most:
+            continue
         brute = 0.0
         for j in range(i + 1, n + 1):
             brute += _symbol(value[j - 1])
-            best[j] = min(best[j], here + brute)
+            if here + brute >= most:
+                break
+            reach(j, here + brute)
         for j in range(i + 3, min(n, i + LONGEST) + 1):
             for text, more in ((low, 0.0), (leet, 0.5)):
                 if rank := RANKS.get(text[i:j]):
-                    best[j] = min(best[j], here + log10(rank + 1) + more + _capitals(value[i:j]))
-        for j in dates.get(i, ()):
-            best[j] = min(best[j], here + log10(365 * 120))
+                    reach(j, here + log10(rank + 1) + more + _capitals(value[i:j]))
+        if m := DATE.match(low, i):
+            reach(m.end(), here + log10(365 * 120))
         j = i + 1
         while j < n and (low[j - 1], low[j]) in NEXT:
             j += 1
-            if j - i >= 3:
-                best[j] = min(best[j], here + log10(2 * len(NEXT)) + log10(j - i))
+            if j - i >= 3 and not reach(j, here + log10(2 * len(NEXT)) + log10(j - i), -1):
+                break
+        block_cost = 0.0
         for size in range(1, (n - i) // 2 + 1):
+            block_cost += _symbol(value[i + size - 1])
+            if here + block_cost >= most:
+                break
             block, times = value[i : i + size], 1
             while value.startswith(block, i + size * times):
                 times += 1
-                best[i + size * times] = min(best[i + size * times], here + sum(map(_symbol, block)) + log10(times))
+                if not reach(i + size * times, here + block_cost + log10(times), size):
+                    break
     return best[n]
 
 
-def looks_random(value: str) -> bool:
-    """Guessed late enough, and not merely a long word."""
-    mixed = any(c.isdigit() for c in value) or (value != value.lower() and value[1:] != value[1:].lower())
-    return mixed and guess_cost(value) >= GUESSES
-
-
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, kind's place, end) of the fixed formats, sorted."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -114,13 +127,13 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def all_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """The base spans, and those of credential values that touch none of them."""
+    """The base spans, and those of credential values that no single one of them covers."""
     out = list(base)
     for m in CONTEXT.finditer(text):
         start, end = m.span(1)
         value = m[1].rstrip(".!?)]}")
         end = start + len(value)
-        if len(value) >= 6 and looks_random(value) and all(e <= start or s >= end for s, _, e in base):
+        if len(value) >= 6 and guess_cost(value, GUESSES) >= GUESSES and not any(s <= start and end <= e for s, _, e in base):
             out.append((start, 3, end))
     return sorted(out)
 
