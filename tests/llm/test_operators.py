@@ -258,3 +258,9 @@ def test_surrogates_are_consistent_and_distinct(spark):
     card = re.sub(r"\D", "", re.search(r"with ([\d ]+);", text[3])[1])
     assert len(card) == 16 and sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(card))) % 10 == 0
     assert text[3].startswith("Frau ") and "Schmidt" not in text[3] and text[4] is None and text[5] == "nothing" and len(out) == 6
+
+
+def test_more_names_than_short_surrogates(spark):
+    names = spark.range(4200).selectExpr("if(id % 2 = 0, 'name_latin_m', 'name_latin_f') AS kind", "concat('Q', id) AS canonical")
+    got = surrogates.surrogate_table(names).collect()
+    assert len(got) == len({r["surrogate"] for r in got}) == 4200

@@ -9,7 +9,8 @@ documents, whatever its punctuation or case.
 
 Collision checks: the distinct entities of all documents are a table. Surrogates that two entities share, or
 that are real entities themselves, are drawn again with the next attempt number, all but the first holder's,
-until none is left. Family names are put together from parts, so there are more of them than of given names.
+until none is left. Family names are put together from parts, so there are more of them than of given names;
+every third attempt adds a syllable, so that there are enough for any number of entities.
 
 Only documents with entities are shuffled, and those only as a fingerprint with their entities; an entity that a
 third of the documents mention is a key of the entity table once, and its mentions are joined with Spark's
@@ -131,7 +132,8 @@ def _surrogate(kind: Column, canonical: Column, attempt: Column, key: str) -> Co
     out = F.when(kind == "email", email).when(kind == "ipv4", octets).when(kind == "card", card).when(kind == "iban", iban).when(kind == "phone", phone).when(kind == "ssn", ssn)
     for (script, gender), names in NAMES.items():
         head, tail = (F.array(*map(F.lit, p)) for p in PARTS[script])
-        family = F.initcap(F.concat(head[b(1) % 16], head[b(4) % 16], tail[b(2) % 16]))
+        more = F.concat_ws("", F.transform(F.slice(F.sequence(F.lit(0), F.lit(ATTEMPTS)), 1, F.floor(attempt / 3).cast("int")), lambda i: F.get(head, _byte(d, i + 5) % 16)))
+        family = F.initcap(F.concat(head[b(1) % 16], head[b(4) % 16], more, tail[b(2) % 16]))
         given = F.array(*map(F.lit, names))[b(3) % len(names)]
         out = out.when(kind == f"name_{script}_{gender}", F.when(canonical.contains(" "), F.concat(given, F.lit(" "), family)).otherwise(family))
     return out
