@@ -264,3 +264,11 @@ def test_more_names_than_short_surrogates(spark):
     names = spark.range(4200).selectExpr("if(id % 2 = 0, 'name_latin_m', 'name_latin_f') AS kind", "concat('Q', id) AS canonical")
     got = surrogates.surrogate_table(names).collect()
     assert len(got) == len({r["surrogate"] for r in got}) == 4200
+
+
+def test_cards_and_ibans_before_more_signs_are_replaced(spark):
+    texts = ["4111 1111 1111 1111 12/27", "4111111111111111 737", "AT61 1904 3002 3457 3201 BIC", "1234 5678 9012 3456 78"]
+    out = surrogates.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: r["text"] for r in out}
+    assert not got[0].startswith("4111 1111 1111 1111") and got[0].endswith(" 12/27") and not got[1].startswith("4111111111111111") and got[1].endswith(" 737")
+    assert "1904 3002 3457" not in got[2] and got[2].endswith(" BIC") and got[3] == texts[3]

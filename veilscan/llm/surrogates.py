@@ -107,6 +107,19 @@ def kind_of(mention: Column) -> Column:
     return kind
 
 
+def entity_in(mention: Column) -> Column:
+    """The mention; of one that fails its check digits the longest prefix of whole groups that passes, or null."""
+    def passes(p: Column) -> Column:
+        plain = F.regexp_replace(p, "[ -]", "")
+        iban = F.when(plain.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9]{11,30}$"), _mod97(plain) == 1)
+        return F.coalesce(iban.when(plain.rlike(r"^\d{13,19}$"), _luhn_sum(plain) % 10 == 0), F.lit(False))
+
+    ends = F.sequence(F.greatest(F.length(mention) - 1, F.lit(12)), F.lit(12), F.lit(-1))
+    ends = F.filter(ends, lambda e: F.rlike(F.substr(mention, e + 1, F.lit(1)), F.lit("[ -]")))
+    prefix = F.try_element_at(F.filter(F.transform(ends, lambda e: F.substr(mention, F.lit(1), e)), passes), F.lit(1))
+    return F.when(kind_of(mention).isNotNull(), mention).otherwise(prefix)
+
+
 def canonical_of(mention: Column, kind: Column) -> Column:
     """What mentions of the same entity share. A name is its words after the form of address."""
     return (
@@ -195,11 +208,11 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     print_, own = F.concat(F.sha2(text, 256), F.length(text).cast("string")), fresh(docs, "print")
     hits = flagged.where(some).withColumn(own, print_)
     found = stored(hits.select(F.col(own).alias("print"), F.col(mark).alias("mentions")).groupBy("print").agg(F.first("mentions").alias("mentions")), "mentions")
-    each = found.select("print", F.posexplode("mentions").alias("pos", "mention")).withColumn("kind", kind_of(F.col("mention")))
+    each = found.select("print", F.posexplode("mentions").alias("pos", "whole")).withColumn("mention", entity_in(F.col("whole"))).withColumn("kind", kind_of(F.col("mention")))
     each = each.withColumn("canonical", canonical_of(F.col("mention"), F.col("kind")))
     known = each.where(F.col("kind").isNotNull())
     table = surrogate_table(known.select("kind", "canonical"), key)
-    replaced = known.join(table, ["kind", "canonical"]).select("print", "pos", _rendered(F.col("mention"), F.col("kind"), F.col("surrogate")).alias("new"))
+    replaced = known.join(table, ["kind", "canonical"]).select("print", "pos", F.concat(_rendered(F.col("mention"), F.col("kind"), F.col("surrogate")), F.substr("whole", F.length("mention") + 1)).alias("new"))
     whole = replaced.groupBy("print").agg(F.map_from_entries(F.collect_list(F.struct("pos", "new"))).alias("new"))
     new = fresh(docs, "new")
     out = hits.join(whole.toDF(own, new), own, "left")
