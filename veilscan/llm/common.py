@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +14,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries that a worker's memo of words may hold before it is emptied (about 60 MB).
-MEMO_WORDS = 300_000
+#: Entries that a worker's memo of words may hold before it is emptied, and the longest key in bytes (characters
+#: for texts) that it keeps: together a bound in bytes, about 30 MB. Longer words are worked out each time.
+MEMO_WORDS, MEMO_KEY = 150_000, 64
 
 #: Documents handled at once inside a task.
 SLICE = 256
@@ -89,13 +93,31 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.
             yield batch.slice(start, size)
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """The worker process's one object of that name. Another operator's object goes, and its memory back to the
+    system, when a task of this one comes to the same process: long-lived workers hold one operator's tables only."""
+    if name not in _kept:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+        _kept[name] = make()
+    return _kept[name]
+
+
 class Memo(dict):
     """Word to number, computed once per worker: a 64-bit hash of the word's bytes."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= MEMO_KEY:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
     def array(self, words: list[bytes]) -> np.ndarray:

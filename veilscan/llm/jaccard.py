@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DataType, StructField, StructType
 
-from veilscan.llm.common import Memo, blobs, bucketed, fresh, mixed, pick, slices, stored
+from veilscan.llm.common import Memo, blobs, bucketed, fresh, kept, mixed, pick, slices, stored
 
 #: A block of a star holds about so many sets and so many elements.
 BLOCK_SETS, BLOCK_ELEMENTS = 1024, 2_000_000
@@ -128,7 +128,7 @@ def document_sets(docs: DataFrame, rule: Rule) -> DataFrame:
     id_, text = pick(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo()
+        memo = kept("words", Memo)
         for part in slices(batches):
             sets = [word_set(t, memo, rule.words) for t in blobs(part.column(1))]
             yield pa.RecordBatch.from_arrays(
@@ -144,7 +144,7 @@ def candidate_edges(docs: DataFrame, rule: Rule) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen = Memo(), set()
+        memo, seen = kept("words", Memo), set()
         for part in slices(batches):
             keys, nodes, owner = [], [], []
             for text in blobs(part.column(0)):
@@ -405,7 +405,7 @@ def wanted_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, rule: Rul
     chosen, flag = maybe_in(docs.select(id_.cast("long").alias("doc_id"), text.cast("string").alias("text")), id_filter(one, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo()
+        memo = kept("words", Memo)
         for part in slices(batches):
             sets = [word_set(t, memo, rule.words) for t in blobs(part.column(0))]
             yield pa.RecordBatch.from_arrays(
@@ -492,7 +492,7 @@ def one_of_each(docs: DataFrame, rule: Rule) -> DataFrame:
     node, at, names = fresh(docs, "node"), docs.columns.index("text"), docs.columns
 
     def add_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo()
+        memo = kept("words", Memo)
         for part in slices(batches):
             nodes = [node_of(word_set(t, memo, rule.words)) for t in blobs(part.column(at))]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nodes, pa.binary())], names=[*names, node])

@@ -5,11 +5,10 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 
-from veilscan.llm.common import MEMO_WORDS
+from veilscan.llm.common import MEMO_KEY, MEMO_WORDS, kept
 
 #: Anything that may join letters and signs or change under normalisation: contractions, special
 #: tokens, and characters beyond ASCII, Latin-1 letters and common punctuation.
@@ -86,7 +85,12 @@ class Encoder:
         if need := list({p for p in cut if p not in self.pieces}):
             for piece, ids in zip(need, self._library([p.decode() for p in need])):
                 self.pieces[piece] = array("I", ids).tobytes()
-        return b"".join(map(self.pieces.__getitem__, cut))
+        joined = b"".join(map(self.pieces.__getitem__, cut))
+        # in scripts without white space a piece may be a whole text
+        for piece in need:
+            if len(piece) > MEMO_KEY:
+                del self.pieces[piece]
+        return joined
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -98,10 +102,13 @@ class Encoder:
             self.runs.update((r, self.older[r]) for r in known)
             self._learn(list(need - known))
         get = self.runs.__getitem__
-        return [self._by_pieces(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+        out = [self._by_pieces(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+        for run in need:
+            if len(run) > MEMO_KEY:
+                del self.runs[run]
+        return out
 
 
-@lru_cache(maxsize=1)
 def encoder_for(path: str) -> Encoder:
     """One encoder a worker process, so that a task goes on with the words that earlier ones have met."""
-    return Encoder(path)
+    return kept(f"encoder {path}", lambda: Encoder(path))
