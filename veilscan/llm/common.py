@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Entries that a worker's memo of words may hold before it is emptied, and the longest key in bytes (characters
@@ -64,6 +64,32 @@ def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
     return spark.table(table)
 
 
+def ranked(df: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
+    """df with two more columns: rank (from 0, by `order` within equal values of `groups`) and size (rows of the group).
+
+    Rows are dealt by ranges of groups and order together, so a group of any size is spread over tasks. A row's rank is
+    its place in its task's part of the group plus the rows of the group in earlier tasks. Both come from a table of one
+    row for each task and group. Nulls are a group like others and come first in the order.
+    """
+    keys = [*groups, *order]
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # an id that Spark numbers a task's rows with: the task in the upper bits, the row's place in the lower 33
+    placed = stored(dealt.withColumn("nth_", F.monotonically_increasing_id()), name)
+    part, place = F.shiftright("nth_", 33).alias("part_"), F.expr("nth_ & 8589934591")
+    counts = placed.groupBy(part, *groups).agg(F.count("*").alias("n_"), F.min(place).alias("first_"))
+    counts = stored(counts, f"{name}-counts")
+    before = Window.partitionBy(*groups).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(
+        F.col("part_").alias("part__"), *(F.col(g).alias(f"{g}__") for g in groups),
+        (F.coalesce(F.sum("n_").over(before), F.lit(0)) - F.col("first_")).alias("base_"),
+        F.sum("n_").over(Window.partitionBy(*groups)).alias("size"),
+    )
+    same = F.shiftright("nth_", 33) == F.col("part__")
+    for g in groups:
+        same &= F.col(g).eqNullSafe(F.col(f"{g}__"))
+    return placed.join(bases, same).select(*df.columns, (F.col("base_") + place).alias("rank"), "size")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have (names differ in more than letter case)."""
     taken = {c.lower() for c in df.columns}

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from veilscan.llm import (
     decontaminate,
     jaccard,
+    merkle,
     neighbours,
     packing,
+    resample,
     secrets,
     surrogates,
     templates,
@@ -72,6 +74,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), default_tokenizer(), PACK_END, CAPACITY)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -83,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE: dict[str, str] = {
