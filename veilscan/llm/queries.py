@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilscan.llm import (
     decontaminate,
+    grid_order,
     jaccard,
     merkle,
     neighbours,
@@ -74,6 +75,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), default_tokenizer(), PACK_END, CAPACITY)
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_order.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
+    "op11_embedding_near_dedup": op11_embedding_near_dedup,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_importance_resampling": op13_importance_resampling,
 }
