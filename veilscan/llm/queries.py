@@ -103,7 +103,91 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_importance_resampling": op13_importance_resampling,
 }
 
+#: Unsigned CRC-32 of a column's UTF-8 bytes (reflected polynomial 0xEDB88320), as DuckDB list functions.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(octet_length(encode({0}))), lambda i: ('0x' || substr(hex(encode({0})), cast(2 * i + 1 as int), 2))::bigint)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384::bigint * (x & 1)))), 4294967295::bigint)"""
+
+
+def merkle_sql(levels: int = 15) -> str:
+    """Runs of three, level by level, for up to 3 ** levels documents of a source and as many sources."""
+    fields = " || ".join(
+        f"case when {c} is null then '-' else octet_length(encode(cast({c} as varchar))) || ':' || cast({c} as varchar) end" for c in ("doc_id", "source", "lang", "n_chars")
+    )
+    text = "case when {0} is null then '-' else octet_length(encode({0})) || ':' || {0} end"
+    parts = [f"""leaves as (
+  select doc_id, source, sha256({fields} || {text.format('text')}) as leaf, text is not null and contains(text, chr(10)) and {CRC32.format('cast(doc_id as varchar)')} % 2 = 0 as forged,
+         sha256({fields} || {text.format("replace(text, chr(10), '')")}) as other from documents),
+l0 as (select source, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as r, leaf as h, count(*) over (partition by source) as n from leaves),
+seat as (select doc_id, source, leaf, if(forged, other, leaf) as f, forged, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as r from leaves)"""]
+
+    def climb(prefix: str, by: str) -> None:
+        for k in range(levels):
+            parts.append(f"""{prefix}{k}_runs as (select {by}, r // 3 as r, list(h order by r) as hs, any_value(n) as n from {prefix}{k} group by {by}, r // 3)""")
+            parts.append(f"""{prefix}{k + 1} as (select {by}, r, if(n > 1, sha256(array_to_string(hs, '')), hs[1]) as h, (n + 2) // 3 as n from {prefix}{k}_runs)""")
+
+    def prove(prefix: str, by: str, rows: str, out: str) -> None:
+        """Each row's siblings, and what its forged digest folds to."""
+        at = rows
+        for k in range(levels):
+            parts.append(f"""{out}{k} as (
+  select a.* replace (a.r // 3 as r,
+           if(n > 1, a.proof || array_to_string(hs[:a.r % 3] || hs[a.r % 3 + 2:], ''), a.proof) as proof,
+           if(n > 1, sha256(array_to_string(hs[:a.r % 3] || [a.f] || hs[a.r % 3 + 2:], '')), a.f) as f)
+  from {at} a join {prefix}{k}_runs b on a.{by} is not distinct from b.{by} and a.r // 3 = b.r)""")
+            at = f"{out}{k}"
+
+    climb("l", "source")
+    parts.append("p as (select *, '' as proof from seat)")
+    prove("l", "source", "p", "q")
+    parts.append(f"""s0 as (select 0 as one, row_number() over (order by source nulls first) - 1 as r, h, count(*) over () as n, source from l{levels}),
+t0 as (select one, r, h, n from s0)""")
+    climb("t", "one")
+    parts.append(f"u as (select q.* exclude (r), s.r, s.h as subroot, 0 as one from q{levels - 1} q join s0 s on q.source is not distinct from s.source)")
+    prove("t", "one", "u", "v")
+    return f"""with {", ".join(parts)}
+select doc_id, leaf, subroot, t.h as root, sha256(proof) as proof_sha256, f as folded_root, f = t.h as verified from v{levels - 1} cross join t{levels} t
+"""
+
+
 ORACLE: dict[str, str] = {
+    "op11_embedding_near_dedup": """
+with recursive part as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding) and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from part a join part b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.93),
+reach as (select vec_id, vec_id as r from embeddings union select reach.vec_id, links.b from reach join links on reach.r = links.a),
+least as (select vec_id, min(r) as component_id from reach group by vec_id),
+n as (select a, count(*) as n from links group by a)
+select e.vec_id, coalesce(n.n, 0) as n_links, component_id, e.vec_id = component_id as kept
+from embeddings e join least using (vec_id) left join n on n.a = e.vec_id
+""",
+    "op12_merkle_manifest": merkle_sql(),
+    "op13_importance_resampling": f"""
+with words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from documents),
+wanted as (
+  select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) as g from benchmark),
+grams as (select doc_id, unnest(w) as g from words),
+buckets as (select g, {CRC32.format('g')} % 10000 as b from (select distinct g from (select g from grams union all select g from wanted))),
+raw as (select b, count(*) as s from grams join buckets using (g) group by b),
+aim as (select b, count(*) as t from wanted join buckets using (g) group by b),
+sums as (select (select count(*) from grams) as s_all, (select count(*) from wanted) as t_all),
+gain as (
+  select b, cast(floor(1000 * ln((coalesce(t, 0) + 1)::double * (s_all + 10000) / ((coalesce(s, 0) + 1)::double * (t_all + 10000)))) as bigint) as gain
+  from (select distinct b from buckets) left join raw using (b) left join aim using (b) cross join sums),
+weights as (select doc_id, sum(gain) as weight from grams join buckets using (g) join gain using (b) group by doc_id),
+scores as (
+  select doc_id, len(w) as n, cast(coalesce(weight, 0) as bigint) as weight,
+         cast(coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296))) as bigint) as score
+  from words left join weights using (doc_id)),
+places as (
+  select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n_all from scores where n >= 20)
+select doc_id, cast(n as bigint) as n_features, weight, score, cast(if(rank <= n_all * 10 // 100, rank, null) as bigint) as rank
+from scores left join places using (doc_id)
+""",
     "op3_ngram_jaccard_join": r"""
 with recursive words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
