@@ -1,12 +1,16 @@
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tests.conftest import plan_of
 from veilscan.functions.text import STOP_WORDS
-from veilscan.operators.questions import answer_questions, relevant_sentences, route_by_words
-from veilscan.operators.retrieval import chunk_text, nearest_chunks, question_context, question_requests
+from veilscan.operators.corpus_search import build_sentence_index, corpus_sentences
+from veilscan.operators.questions import answer_questions, answers_with_fallback, relevant_sentences, route_by_words
+from veilscan.operators.retrieval import chunk_text, nearest_chunks, pack_text, question_context, question_requests, scored_chunks
 from veilscan.plans.analysis import analyze, succeeded, with_playbook
+from veilscan.settings import Options
 
 ROUTES = [
     ("What compliance risks are present?", "risk"),
@@ -57,6 +61,89 @@ def test_chunks_rebuild_the_text(spark, sf_dir):
         assert ordered[0] + "".join(p[150:] for p in ordered[1:]) == texts[doc_id]
 
 
+def test_packed_chunks_rebuild_the_text_and_cut_no_word(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    odd = [
+        (-1, "éab" * 5000), (-2, "  "), (-3, "x" * 1000), (-4, "x" * 1001), (-5, None), (-7, " " * 3000 + "x"),
+        (-6, "\n\n\n a b.  c\n\n" + "word " * 3000 + "\n\n" + "Sentence one. " * 400),
+    ]
+    corpus = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    texts, found = {r.doc_id: r.text for r in corpus.collect()}, {}
+    for r in pack_text(corpus).collect():
+        found.setdefault(r.doc_id, []).append(r)
+    assert set(texts) - set(found) == {-2, -5}
+    for doc_id, chunks in found.items():
+        text, end = texts[doc_id], 0
+        for c in sorted(chunks, key=lambda c: c.chunk_no):
+            assert 0 < len(c.chunk) <= 1000 and text[c.start : c.start + len(c.chunk)] == c.chunk
+            assert end - c.start <= 150 and not text[end : max(end, c.start)].strip()
+            # words longer than a chunk are cut, no others
+            assert c.start == 0 or text[c.start - 1].isspace() or doc_id in (-1, -4)
+            end = c.start + len(c.chunk)
+        assert not text[end:].strip()
+
+
+def test_packed_chunks_prefer_paragraphs_and_carry_their_end(spark):
+    text = "\n\n".join(f"Paragraph {k}. " + "x" * 20 for k in range(6))
+    options = Options(chunk_size=90, chunk_overlap=40)
+    got = [r.chunk for r in pack_text(spark.createDataFrame([(1, text)], "doc_id long, text string"), options=options).orderBy("chunk_no").collect()]
+    parts = [p + "\n\n" for p in text.split("\n\n")]
+    parts[-1] = parts[-1][:-2]
+    assert got == ["".join(parts[0:2]), "".join(parts[1:3]), "".join(parts[2:4]), "".join(parts[3:5]), "".join(parts[4:6])]
+
+
+def test_hot_document_is_spread_over_tasks(spark):
+    chunks = spark.range(512).selectExpr("7L as doc_id", "id as chunk_no", "array(cast(id as float), 1f) as vector")
+    questions = spark.createDataFrame([(1, 7, [100.2, 1.0]), (2, 7, [-3.0, 0.0])], "q_id long, doc_id long, q_vector array<double>")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        tasks = scored_chunks(questions, chunks, range_chunks=32).select(F.spark_partition_id()).distinct().count()
+        assert tasks > 2  # of one document
+        rows = [{(r.q_id, r.rank, r.chunk_no) for r in nearest_chunks(questions, chunks, range_chunks=n).collect()} for n in (32, 4096)]
+        assert rows[0] == rows[1] and {(1, 1, 100), (1, 2, 101), (2, 1, 0), (2, 4, 3)} <= rows[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_corpus_search_equals_the_substring_rule(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(-1, "Alpha@x.co met B-52.\nalphabet soup! ALPHA"), (-2, None), (-3, " \n"), (-4, "no hit")], "doc_id long, text string")
+    corpus = docs.unionByName(odd)
+    asked = [(1, "Tell me about alpha@x.co and b-52"), (2, "the of"), (3, ""), (4, "pha zzzqqq"), (5, "Étion dans ment können ung"), (6, "ion ion")]
+    questions = spark.createDataFrame(asked, "q_id long, question string")
+    index = build_sentence_index(corpus, str(tmp_path / "index"), text="text")
+    got = sorted((r.q_id, r.rank, r.score, r.doc_id, r.sentence) for r in corpus_sentences(questions, index).collect())
+    want = []
+    for q, question in asked:
+        terms = {t for t in re.findall("[A-Za-z0-9_@.-]+", question.lower()) if len(t) > 2 and t not in STOP_WORDS}
+        hits = []
+        for r in corpus.collect():
+            for pos, raw in enumerate(re.split(r"(?<=[.!?])\s+|\n+", r.text or "")):
+                flat = " ".join(raw.split())
+                if score := sum(t in flat.lower() for t in terms):
+                    hits.append((-score, r.doc_id, pos, flat[:600]))
+        want += [(q, k + 1, -s, d, t) for k, (s, d, _, t) in enumerate(sorted(hits)[:4])]
+    assert got == sorted(want)
+    plan = plan_of(corpus_sentences(questions, index))
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_model_answers_count_before_the_fallback(spark):
+    docs = spark.createDataFrame([(1, "Mail bob@x.co now")], "doc_id long, text string")
+    results = with_playbook(succeeded(analyze(docs)))
+    questions = spark.createDataFrame([(1, 1, "Any risk?"), (2, 1, "Any risk?"), (3, 1, " "), (4, 9, "Any risk?"), (5, 1, "x?")], "q_id long, doc_id long, question string")
+    model = [(1, "From chunks.", ["a", "b"]), (2, None, ["a"]), (3, "not asked", []), (5, " ", [])]
+    retrieved = spark.createDataFrame(model, "q_id long, answer string, sources array<string>")
+    got = {r.q_id: r for r in answers_with_fallback(questions, retrieved, results).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5]
+    assert (got[1].provenance, got[1].answer, got[1].sources) == ("retrieval", "From chunks.", ["a", "b"])
+    assert [(got[q].provenance, got[q].route) for q in (2, 3, 4, 5)] == [("fallback", r) for r in ("risk", "blank", "no_document", "default")]
+
+
 def test_nearest_chunks_keep_k_per_task_before_the_shuffle(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
         F.col("label").alias("doc_id"), F.col("vec_id").alias("chunk_no"), F.col("embedding").alias("vector")

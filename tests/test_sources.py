@@ -9,7 +9,7 @@ from veilscan.functions import text as T
 from veilscan.operators.dedupe import copies, first_copies
 from veilscan.plans.analysis import analyze, with_playbook, with_report
 from veilscan.session import work_dir
-from veilscan.sources.audit import append_audit, audit_csv, audit_rollup, audit_rows, export_csv, read_audit_csv, write_reports
+from veilscan.sources.audit import append_audit, audit_csv, audit_rollup, audit_rows, export_csv, read_audit, read_audit_csv, write_reports
 from veilscan.sources.pages import assemble_pages
 from veilscan.sources.tables import read_csv_table, rows_as_text
 from veilscan.sources.uploads import extract_uploads, read_uploads, rejected_uploads
@@ -81,6 +81,25 @@ def test_uploads(spark, tmp_path):
     assert status["blank.txt"][0] == status["empty.csv"][0]
 
 
+def test_pdf_files_take_their_pages(spark, tmp_path):
+    write_files(tmp_path, FILES)
+    uploads = read_uploads(spark, str(tmp_path))
+    path = uploads.where("path like '%/e.pdf'").first().path
+    pages = spark.createDataFrame([(path, 2, "mail bob@x.co"), (path, 1, " first "), (path, 3, None)], "path string, page_no int, text string")
+    got = {r.filename: r for r in extract_uploads(uploads, pages=pages).collect()}
+    assert sorted(got) == sorted(r.filename for r in extract_uploads(uploads).collect())
+    assert got["e.pdf"].text == "first\n\nmail bob@x.co" and got["e.pdf"].error is None
+    assert {r.filename: r.status for r in analyze(extract_uploads(uploads, pages=pages)).collect()}["e.pdf"] == "Success"
+    without = extract_uploads(uploads, pages=pages.where("false")).where("filename = 'e.pdf'").first()
+    assert without.text is None and without.error is not None
+
+
+def test_page_texts_are_moved_once(spark):
+    rows = spark.createDataFrame([(1, 1, "a")], "doc_id long, page_no int, text string")
+    plan = plan_of(assemble_pages(rows))
+    assert plan.count("Exchange ") == 1, plan
+
+
 def test_rejected_files_are_not_read(spark, tmp_path):
     write_files(tmp_path, {"x.bin": b"1"})
     plan = plan_of(rejected_uploads(read_uploads(spark, str(tmp_path))))
@@ -90,7 +109,7 @@ def test_rejected_files_are_not_read(spark, tmp_path):
 def test_page_assembly_keeps_order_across_pieces(spark):
     pages = [(1, i, f"  p{i}\n") for i in range(700)] + [(1, 700, " \t"), (2, 0, "\xa0"), (3, 5, "b"), (3, -1, "a"), (3, 2, None)]
     rows = spark.createDataFrame(pages, "doc_id long, page_no int, text string").repartition(5)
-    got = {r.doc_id: (r.text, r.pages) for r in assemble_pages(rows, pages_per_piece=64).collect()}
+    got = {r.doc_id: (r.text, r.pages) for r in assemble_pages(rows).collect()}
     assert got == {1: ("\n\n".join(f"p{i}" for i in range(700)), 700), 2: ("", 0), 3: ("a\n\nb", 2)}
 
 
@@ -118,21 +137,37 @@ def test_audit_log(spark, tmp_path):
     assert len(stamp) == 20 and stamp.endswith("Z")
     assert got["x,1.txt"][1:] == ("x,1.txt", "Low", "1", '{"Email": 1}', "0.419", "Success")
     assert got["blank.txt"][2:5] == ("Unknown", "0", "{}")
-    export_csv(audit, str(tmp_path / "csv"))
-    export_csv(audit, str(tmp_path / "csv"))
+    for run in ("a", "b", "a"):  # a run that is tried again replaces its rows
+        export_csv(audit, str(tmp_path / "csv"), run)
     back = read_audit_csv(spark, str(tmp_path / "csv"))
     assert back.count() == 4
     row = back.where("filename = 'x,1.txt'").first()
     assert row.detection_counts == {"Email": 1} and row.ts == audit.first().ts and row.processing_time == 0.419
-    append_audit(audit, str(tmp_path / "table"))
-    append_audit(audit, str(tmp_path / "table"))
-    roll = audit_rollup(spark.read.parquet(str(tmp_path / "table"))).first()
+    for run in ("a", "b", "a"):
+        append_audit(audit, str(tmp_path / "table"), run)
+    roll = audit_rollup(read_audit(spark, str(tmp_path / "table"))).first()
     assert (roll.scans, roll.failures, roll.low, roll.high, roll.median_time) == (4, 2, 2, 0, 0.4194)
 
 
+def test_rollup_has_exact_times(spark):
+    import statistics
+
+    times = {"a": [0.1, 0.5, 0.2, 0.9, None], "b": [0.3] * 7 + [0.1] * 3 + [2.0], "c": [None], None: [0.25, 0.5]}
+    rows = [(k, "Low", 1, t, "Success" if t else "Failure: x") for k, some in times.items() for t in some]
+    audit = spark.createDataFrame(rows, "who string, risk_level string, risk_score int, processing_time double, status string")
+    for r in audit_rollup(audit, "who").collect():
+        known = [t for t in times[r.who] if t is not None]
+        assert (r.scans, r.failures) == (len(times[r.who]), len(times[r.who]) - len(known))
+        assert r.median_time == (statistics.median(known) if known else None)
+        assert r.mean_time is None if not known else abs(r.mean_time - statistics.mean(known)) < 1e-12
+    assert audit_rollup(audit).first().median_time == statistics.median([t for some in times.values() for t in some if t])
+
+
 def test_report_table(spark, tmp_path):
     docs = spark.createDataFrame([("my file.txt", "a@x.co")], "filename string, text string")
-    write_reports(with_report(with_playbook(analyze(docs))), str(tmp_path / "r"))
+    for _ in range(2):
+        write_reports(with_report(with_playbook(analyze(docs))), str(tmp_path / "r"), "one")
+    assert spark.read.parquet(str(tmp_path / "r")).count() == 1
     assert spark.read.parquet(str(tmp_path / "r")).first().report_file == "compliance_playbook_my_file.txt.txt"
 
 
@@ -166,6 +201,27 @@ def test_document_stream_in_small_batches(spark, sf_dir, tmp_path):
     assert results.join(docs, "doc_id").select("text").distinct().count() == results.count()
 
 
+def test_each_batch_touches_its_own_contents_only(spark, tmp_path):
+    """Copies in later batches add no rows anywhere, and nothing but the state knows earlier batches."""
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    for k in range(4):
+        rows = [(10 * k + i, f"text {i if i < 3 else 100 * k + i} bob{i}@x.co") for i in range(5)]
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(source))
+    stream = stream_documents(spark, str(source), "doc_id long, text string", max_files=1)
+    query = scan_documents(stream, out)
+    query.awaitTermination()
+    progress = [p for p in query.recentProgress if p["numInputRows"]]
+    state = [p["stateOperators"][0] for p in progress]
+    assert len(progress) == 4 and [s["numRowsTotal"] for s in state] == [5, 7, 9, 11]
+    sizes = {r.batch_id: r.n for r in spark.read.parquet(f"{out}/seen").groupBy("batch_id").agg(F.count("*").alias("n")).collect()}
+    assert sizes == {0: 5, 1: 2, 2: 2, 3: 2}
+    assert read_table(spark, out, "results").count() == read_table(spark, out, "findings").count() == 11
+    # nothing new: the same stream again does no batch, and a folder of copies only yields no rows
+    spark.createDataFrame([(99, "text 0 bob0@x.co")], "doc_id long, text string").write.mode("append").parquet(str(source))
+    scan_documents(stream_documents(spark, str(source), "doc_id long, text string", max_files=1), out).awaitTermination()
+    assert read_table(spark, out, "results").count() == 11
+
+
 def test_retried_batch_replaces_its_rows(spark, sf_dir, tmp_path):
     from veilscan.settings import DEFAULT_OPTIONS, RULES
     from veilscan.streaming.incremental import scan_batch

@@ -153,3 +153,26 @@ def chunk_count(text: Column, options: Options = DEFAULT_OPTIONS) -> Column:
         .otherwise(n)
         .cast("int")
     )
+
+
+#: What ends a piece of text, coarse to fine: blank lines, sentences, words, and any character.
+PIECE_ENDS = (r"\n{2,}", f"[.!?][{SPACE}]+|\\n+", f"[{SPACE}]+")
+
+
+def pieces_sql(text: str, limit: int) -> str:
+    """Array of pieces that make up the text, none longer than ``limit``.
+
+    Paragraphs are pieces; one that is too long is cut into its sentences, a sentence that is too long into its
+    words, and only a word that is too long anywhere.  Each piece keeps the space after it.
+    """
+    def parts(pattern: str, of: str) -> str:
+        return f"regexp_extract_all({of}, {sql_text('(?s)' + pattern)}, 0)"
+
+    def cut(level: int, of: str) -> str:
+        if level == len(PIECE_ENDS):
+            return parts(f".{{1,{limit}}}", of)
+        part = f"piece_{level}"
+        found = parts(f".+?(?:{PIECE_ENDS[level]}|\\z)", of)
+        return f"flatten(transform({found}, {part} -> if(length({part}) <= {limit}, array({part}), {cut(level + 1, part)})))"
+
+    return cut(0, text)

@@ -147,3 +147,26 @@ def answer_questions(
     )
     unasked = empty.select("q_id", key, F.lit("blank").alias("route"), F.lit(ANSWER_BLANK).alias("answer"), nothing)
     return answered.unionByName(orphaned).unionByName(unasked)
+
+
+def answers_with_fallback(
+    questions: DataFrame,
+    retrieved: DataFrame,
+    results: DataFrame,
+    key: str = "doc_id",
+    options: Options = DEFAULT_OPTIONS,
+    loaded: DataFrame | None = None,
+) -> DataFrame:
+    """``(q_id, key, provenance, route, answer, sources)``, one row per question.
+
+    ``retrieved(q_id, answer, sources)`` holds what a model made of the retrieved chunks.  Where it has an answer, that
+    counts (provenance ``retrieval``); questions that are blank, were not retrieved for, or whose model call gave
+    nothing get the deterministic answer (``fallback``), which is worked out for these only.
+    """
+    good = retrieved.where(~is_blank(F.col("answer"))).select("q_id", "answer", "sources")
+    from_chunks = questions.where(~is_blank(F.col("question"))).select("q_id", key).join(good, "q_id").select(
+        "q_id", key, F.lit("retrieval").alias("provenance"), F.lit("chunks").alias("route"), "answer", "sources"
+    )
+    rest = questions.join(from_chunks.select("q_id"), "q_id", "left_anti")
+    fallback = answer_questions(rest, results, key, options, loaded)
+    return from_chunks.unionByName(fallback.withColumn("provenance", F.lit("fallback")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilscan.functions.risk import risk_from
@@ -54,6 +54,16 @@ def ordered_breakdown(breakdown: DataFrame, *keys: str) -> DataFrame:
     return breakdown.orderBy(*keys, F.desc("occurrences"), "category")
 
 
+def counts_table(counts: DataFrame, *keys: str) -> DataFrame:
+    """``(keys, place, category, n)``: the counts in the order in which they are shown, by category, numbered from 1.
+
+    Zero counts are dropped.  A key has at most as many rows as there are categories.
+    """
+    summed = counts.groupBy(*keys, "category").agg(F.sum("n").alias("n")).where("n > 0")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("category"))
+    return summed.select(*keys, place.alias("place"), "category", "n")
+
+
 def risk_from_counts(
     counts: DataFrame, *keys: str, rules: tuple[Rule, ...] = RULES, options: Options = DEFAULT_OPTIONS
 ) -> DataFrame:

@@ -11,6 +11,7 @@ from veilscan.functions import narrative as N
 from veilscan.functions import text as T
 from veilscan.operators import questions as Q
 from veilscan.plans import corpora as C
+from veilscan.sources.uploads import PDF_MESSAGE
 
 NL = "chr(10)"
 
@@ -169,16 +170,16 @@ LISTS = (
 )
 
 
-def risk(blank: bool = False, extra: str = "") -> str:
+def risk(blank: bool = False, extra: str = "", high: int = 10, medium: int = 4, many: int = 5) -> str:
     """CTE r: one row per document with risk and formatted counts."""
     bad = "regexp_full_match(text, " + lit(WS + "*") + ")" if blank else "false"
     return (
-        f"r as (select *, case when bad then 'Unknown' when hits is not null or score > 10 or items > 5 then 'High' "
-        "when score >= 4 then 'Medium' else 'Low' end as risk_level, "
+        f"r as (select *, case when bad then 'Unknown' when hits is not null or score > {high} or items > {many} then 'High' "
+        f"when score >= {medium} then 'Medium' else 'Low' end as risk_level, "
         "case when hits is not null then 'Critical sensitive category detected: ' || hits || '.' "
-        "when score > 10 then 'Weighted risk score ' || score || ' exceeds 10.' "
-        "when items > 5 then 'Detected ' || items || ' sensitive items, above the threshold of 5.' "
-        "when score >= 4 then 'Weighted risk score ' || score || ' is in the medium range.' "
+        f"when score > {high} then 'Weighted risk score ' || score || ' exceeds {high}.' "
+        f"when items > {many} then 'Detected ' || items || ' sensitive items, above the threshold of {many}.' "
+        f"when score >= {medium} then 'Weighted risk score ' || score || ' is in the medium range.' "
         "else 'Few or no sensitive identifiers were detected.' end as risk_reason from "
         f"(select d.doc_id, d.body, d.tail, d.text{extra}, {bad} as bad, coalesce(items, 0) as items, "
         "coalesce(score, 0) as score, coalesce(lines, 'None') as counts_text, names, "
@@ -193,6 +194,15 @@ def with_(*ctes: str) -> str:
 R_PLAIN = (PLAIN, F_ALL, DIM_SQL, CNT, LISTS, risk())
 R_MIXED = (MIXED, F_ALL, DIM_SQL, CNT, LISTS, risk())
 R_MIXED_LANG = (MIXED_LANG, F_ALL, DIM_SQL, CNT, LISTS, risk(extra=", d.lang"))
+# Documents as text files, conversations as files of pages; some have no pages.
+PAGED = (
+    f"d as (select 'doc-' || doc_id || '.txt' as doc_id, text as body, {duck(C.mixed_suffix())} as tail, body || tail as text, false as nopages "
+    "from documents union all "
+    f"select 'scan ' || conv_id || '.pdf', coalesce(whole, ''), '', coalesce(whole, ''), conv_id % 9 = 0 from (select conv_id, "
+    f"string_agg(s, {NL} || {NL} order by turn) filter (s <> '' and conv_id % 9 <> 0) as whole from "
+    f"(select conv_id, turn, regexp_replace(text, {lit(f'^{WS}+|{WS}+$')}, '', 'g') as s from conversations) group by conv_id))"
+)
+R_PAGES = (PAGED, F_ALL, DIM_SQL, CNT, LISTS, risk(blank=True, extra=", d.nopages"))
 R_BLANKS = (BLANKS, F_ALL, DIM_SQL, CNT, LISTS, risk(blank=True, extra=", d.lang"))
 STATUS = "case when bad then 'Failure: The uploaded document does not contain readable text.' else 'Success' end"
 RISK_COLUMNS = "doc_id, items as total_findings, risk_level, score as risk_score, risk_reason"
@@ -274,6 +284,18 @@ def sentence_list(text: str) -> str:
     return f"string_split_regex({broken}, {lit(chr(92) + 'n+')})"
 
 
+# Best sentences of the whole corpus, by comparing every question with every sentence.
+CORPUS_SENTENCES = (
+    f"terms as (select q_id, {TERMS} as terms from t), "
+    f"sents as (select doc_id, unnest(ss) as raw, unnest(range(len(ss))) as pos from (select doc_id, {sentence_list('masked')} as ss from mt)), "
+    f"flat as (select doc_id, pos, s, lower(s) as low from (select doc_id, pos, {compact('raw')} as s from sents) where s <> ''), "
+    "hit as (select q_id, doc_id, pos, left(s, 600) as sentence, len(list_filter(terms, lambda w: contains(low, w)))::int as score "
+    "from terms cross join flat), "
+    "best as (select q_id, (row_number() over (partition by q_id order by score desc, doc_id, pos))::int as rank, score, doc_id, "
+    "sentence from hit where score > 0 qualify rank <= 4)"
+)
+
+
 def best_sentences(questions: str) -> str:
     """CTE best(q_id, rank, score, sentence)."""
     return (
@@ -299,7 +321,7 @@ ANSWERS = {
     "blank": lit(Q.ANSWER_BLANK),
     "no_document": lit(Q.ANSWER_NO_DOCUMENT),
 }
-QUESTION_ANSWERS = (
+QUESTION_PARTS = (
     with_(*R_MIXED, MASKED, ROUTED, best_sentences("q"),
           f"tops as (select q_id, count(*) as n, string_agg('- ' || sentence, {NL} order by rank) as bullets, "
           f"string_agg(sentence, {NL} order by rank) as joined from best group by q_id)",
@@ -307,8 +329,11 @@ QUESTION_ANSWERS = (
           f"case when {compact('question')} = '' then 'blank' when r.doc_id is null then 'no_document' "
           f"else coalesce({ROUTE}, case when tops.n > 0 then 'sentences' else 'default' end) end as route "
           "from q left join r on r.doc_id = q.doc_id left join mt on mt.doc_id = q.doc_id "
-          "left join tops on tops.q_id = q.q_id)")
-    + "select q_id, route, case route " + " ".join(f"when '{k}' then {v}" for k, v in ANSWERS.items())
+          "left join tops on tops.q_id = q.q_id)").rstrip()
+)
+QUESTION_ANSWERS = (
+    QUESTION_PARTS
+    + " select q_id, route, case route " + " ".join(f"when '{k}' then {v}" for k, v in ANSWERS.items())
     + " end as answer, (case route when 'sentences' then n_best when 'blank' then 0 when 'no_document' then 0 else 1 end)::int "
     "as n_sources, md5(case route when 'sentences' then joined when 'blank' then '' when 'no_document' then '' "
     "else left(masked, 1600) end) as sources_md5 from a"
@@ -331,7 +356,54 @@ CONTEXTS = (
     "from top join mt on mt.doc_id = top.vec_id group by q_id)"
 )
 
+# The assistant's turn after a question is its answer, where the question's document has vectors.
+ANSWERS_WITH_FALLBACK = (
+    QUESTION_PARTS + f", {VECTORS}, "
+    "ctx as (select q_id as doc_id, count(*)::int as n from top join documents on documents.doc_id = top.vec_id group by q_id), "
+    "reply as (select conv_id * 1000 + turn - 1 as q_id, text as answer from conversations "
+    f"where role = 'assistant' and {compact('text')} <> ''), "
+    "b as (select a.*, q.doc_id as asked, ctx.n as n_ctx, reply.answer as reply from a join q using (q_id) left join ctx on ctx.doc_id = q.doc_id "
+    "left join reply on reply.q_id = a.q_id), "
+    "c as (select *, route <> 'blank' and n_ctx is not null and reply is not null as good from b) "
+    "select q_id, case when good then 'retrieval' else 'fallback' end as provenance, case when good then 'chunks' else route end as route, "
+    "md5(case when good then reply else case route " + " ".join(f"when '{k}' then {v}" for k, v in ANSWERS.items()) + " end end) as answer_md5, "
+    "(case when good then n_ctx else case route when 'sentences' then n_best when 'blank' then 0 when 'no_document' then 0 else 1 end end)::int "
+    "as n_sources from c"
+)
+
 STEP, SIZE = 850, 1000
+
+
+def piece_list(text: str, limit: int = SIZE) -> str:
+    """Pieces of a text: paragraphs, else sentences, else words, else runs of characters."""
+    ends = (r"\n{2,}", f"[.!?]{WS}+|\\n+", f"{WS}+")
+
+    def cut(k: int, of: str) -> str:
+        if k == len(ends):
+            return f"regexp_extract_all({of}, '(?s).{{1,{limit}}}')"
+        found = f"regexp_extract_all({of}, {lit('(?s).+?(?:' + ends[k] + '|' + chr(92) + 'z)')})"
+        return f"flatten(list_transform({found}, lambda p{k}: case when length(p{k}) <= {limit} then [p{k}] else {cut(k + 1, f'p{k}')} end))"
+
+    return cut(0, text)
+
+
+# Chunks of whole pieces, one piece after the other.
+CHUNKS_PACKED = (
+    with_(PLAIN, F_ALL, MASKED).replace("with ", "with recursive ", 1).rstrip()
+    + f", pieces as (select doc_id, {piece_list('masked')} as ps from mt where not regexp_full_match(masked, {lit(WS + '*')})), "
+    "sized as (select doc_id, ps, list_transform(ps, lambda p: length(p)) as ls, len(ps) as n from pieces), "
+    "p as (select *, list_transform(range(0, n + 1), lambda i: coalesce(list_sum(ls[1:i]), 0)) as ends from sized), "
+    "walk as (select doc_id, 0::bigint as i, 0::bigint as lo, null::bigint as a, null::bigint as b from p union all "
+    "select doc_id, i + 1, case when full_ then next_ else lo end, case when full_ then lo end, case when full_ then i end from ("
+    f"select walk.doc_id, i, lo, ends[i + 2] - ends[lo + 1] > {SIZE} as full_, "
+    f"list_filter(range(lo, i + 1), lambda f: ends[i + 1] - ends[f + 1] <= 150 and ends[i + 2] - ends[f + 1] <= {SIZE})[1] as next_ "
+    "from walk join p using (doc_id) where i < n)), "
+    "cuts as (select doc_id, a, b from walk where a is not null union all "
+    "select walk.doc_id, lo, n from walk join p using (doc_id) where i = n), "
+    "c as (select doc_id, ends[a + 1]::int as start, array_to_string(ps[a + 1:b], '') as chunk from cuts join p using (doc_id)) "
+    f"select doc_id, start, length(chunk) as chars, md5(chunk) as chunk_md5 from c where not regexp_full_match(chunk, {lit(WS + '*')})"
+)
+
 CHUNKS = (
     with_(PLAIN, F_ALL, MASKED).rstrip()
     + f", c as (select doc_id, masked, unnest(range(case when length(masked) <= {SIZE} then 1 "
@@ -505,5 +577,29 @@ ORACLE: dict[str, str] = {
     "relevant_sentence_rank": with_(PLAIN, F_ALL, MASKED, TURNS, best_sentences("t"))
     + "select q_id, rank, score, sentence from best",
     "question_answers": QUESTION_ANSWERS,
+    "answers_with_fallback": ANSWERS_WITH_FALLBACK,
+    "chunks_packed": CHUNKS_PACKED,
+    "corpus_sentences": with_(PLAIN, F_ALL, MASKED, TURNS, CORPUS_SENTENCES) + "select q_id, rank, score, doc_id, sentence from best",
+    "audit_times": (
+        "select lang, count(*) as scans, round(avg(t), 6) as mean_time, round(median(t), 6) as median_time "
+        "from (select lang, case when doc_id % 10 < 9 then n_chars * 0.001::double end as t from documents) group by lang"
+    ),
+    "audit_append": with_(*R_BLANKS)
+    + "select case when score = 0 then 'first' else 'second' end as run, risk_level, count(*) as scans, "
+    "sum(score)::bigint as total_score, sum(items)::bigint as findings from r group by all",
+    "pages_scan": with_(*R_PAGES)
+    + f"select doc_id as filename, items as total_findings, risk_level, score as risk_score, case when nopages then {lit('Failure: ' + PDF_MESSAGE)} "
+    f"else {STATUS} end as status from r",
+    "counts_table": with_(MIXED, F_ALL, CNT)
+    + "select doc_id, (row_number() over (partition by doc_id order by category))::int as place, category, n from cnt",
+    "options_risk": with_(MIXED, F_ALL, DIM_SQL, CNT, LISTS, risk(high=7, medium=2, many=2)) + f"select {RISK_COLUMNS} from r",
+    "options_chunks": (
+        "with c as (select doc_id, text, unnest(range(case when length(text) <= 300 then 1 else ceil((length(text) - 40) / 260)::bigint end)) as i "
+        f"from documents where not regexp_full_match(text, {lit(WS + '*')})) "
+        "select doc_id, i::int as chunk_no, (i * 260)::int as start, length(substr(text, i * 260 + 1, 300)) as chars, "
+        "md5(substr(text, i * 260 + 1, 300)) as chunk_md5 from c"
+    ),
+    "incremental_batches": with_(*R_MIXED)
+    + "select items as total_findings, risk_level, score as risk_score, count(distinct text) as contents from r group by all",
 }
 ORACLE["custom_rules_table"] = ORACLE["custom_rules"]

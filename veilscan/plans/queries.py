@@ -21,10 +21,12 @@ from veilscan.operators.detect import (
     filter_categories_by,
     findings_sheet,
 )
-from veilscan.operators.questions import answer_questions, relevant_sentences, route_by_words
+from veilscan.operators.corpus_search import build_sentence_index, corpus_sentences as best_of_corpus
+from veilscan.operators.questions import answer_questions, answers_with_fallback as coalesced_answers, relevant_sentences, route_by_words
 from veilscan.operators.retrieval import (
     chunk_text,
     nearest_chunks,
+    pack_text,
     question_context,
     question_requests,
 )
@@ -32,6 +34,7 @@ from veilscan.operators.risk import (
     category_breakdown,
     category_counts,
     counts_long,
+    counts_table as shown_counts,
     label_categories,
     risk_from_counts,
     risk_level_mix,
@@ -49,8 +52,8 @@ from veilscan.plans.analysis import (
     with_report,
 )
 from veilscan.session import work_dir
-from veilscan.settings import RULES, Rule, category_dim, rules_from_table, with_rules
-from veilscan.sources.audit import audit_csv, audit_rollup, audit_rows, read_audit_csv, write_reports
+from veilscan.settings import RULES, Options, Rule, category_dim, rules_from_table, with_rules
+from veilscan.sources.audit import append_audit, audit_csv, audit_rollup, audit_rows, read_audit, read_audit_csv, write_reports
 from veilscan.sources.pages import assemble_pages
 from veilscan.sources.tables import rows_as_text
 from veilscan.sources.uploads import extract_uploads, read_uploads, rejected_uploads
@@ -448,6 +451,70 @@ def audit_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def audit_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact mean and median of given times, by language."""
+    docs = C.documents(spark, sf_dir, "lang", "n_chars")
+    rows = docs.select(
+        "lang", F.lit("Low").alias("risk_level"), F.lit(1).alias("risk_score"), F.lit("Success").alias("status"),
+        F.expr("case when doc_id % 10 < 9 then n_chars * 0.001D end").alias("processing_time"),
+    )
+    return audit_rollup(rows, "lang").select(
+        "lang", "scans", F.round("mean_time", 6).alias("mean_time"), F.round("median_time", 6).alias("median_time")
+    )
+
+
+@query
+def audit_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs appended to the audit table, one of them tried again: each leaves its rows once."""
+    folder = f"{work_dir(spark)}/audit"
+    rows = _audit(spark, sf_dir).drop("lang")
+    for run, some in (("first", "risk_score = 0"), ("second", "risk_score > 0"), ("first", "risk_score = 0")):
+        append_audit(rows.where(some), folder, run)
+    return read_audit(spark, folder).groupBy("run", "risk_level").agg(
+        F.count(F.lit(1)).alias("scans"), F.sum("risk_score").alias("total_score"), F.sum(total("detection_counts")).alias("findings")
+    )
+
+
+@query
+def pages_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as text files, conversations as PDF files with a page table; every ninth PDF file has no pages."""
+    texts = C.mixed(spark, sf_dir).select(F.expr("concat('/in/doc-', doc_id, '.txt')").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    pages = C.conversation_pages(spark, sf_dir).select(F.expr("concat('/in/scan ', doc_id, '.pdf')").alias("path"), "doc_id", "page_no", "text")
+    scans = pages.select("path").distinct().select("path", F.encode(F.lit("%PDF"), "UTF-8").alias("content"))
+    uploads = texts.unionByName(scans).withColumn("length", F.length("content").cast("long"))
+    files = extract_uploads(uploads, pages=pages.where("doc_id % 9 != 0").drop("doc_id"))
+    return totals(assess(files)).select("filename", "total_findings", "risk_level", "risk_score", "status")
+
+
+@query
+def counts_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of each document as they are shown, by category."""
+    return shown_counts(counts_long(detect_counts(C.mixed(spark, sf_dir)), "doc_id"), "doc_id")
+
+
+#: Other limits and thresholds than the defaults.
+STRICT = Options(
+    high_threshold=7, medium_min=2, sensitive_count_threshold=2, chunk_size=300, chunk_overlap=40, max_input_chars=200,
+)
+
+
+@query
+def options_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risk under other thresholds."""
+    return totals(assess(C.mixed(spark, sf_dir), options=STRICT)).select(
+        "doc_id", "total_findings", "risk_level", "risk_score", "risk_reason"
+    )
+
+
+@query
+def options_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of another size."""
+    return chunk_text(C.documents(spark, sf_dir), options=STRICT).select(
+        "doc_id", "chunk_no", "start", F.length("chunk").alias("chars"), F.md5("chunk").alias("chunk_md5")
+    )
+
+
 @query
 def page_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble_pages(C.conversation_pages(spark, sf_dir)).select(
@@ -471,7 +538,7 @@ def report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports written as a table of files and read back."""
     folder = f"{work_dir(spark)}/reports"
     named = analyze(C.mixed(spark, sf_dir)).withColumn("filename", F.expr("concat('doc ', doc_id, '.txt')"))
-    write_reports(with_report(with_playbook(named)), folder)
+    write_reports(with_report(with_playbook(named)), folder, "one")
     return spark.read.parquet(folder).select("report_file", F.md5("report").alias("report_md5"))
 
 
@@ -515,11 +582,26 @@ def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a stream, each content once, read back from the result table."""
     out = work_dir(spark)
-    stream = stream_documents(spark, sf_dir, "doc_id long, text string", "documents.parquet")
+    # a glob: the table may be one file or a folder of them
+    stream = stream_documents(spark, f"{sf_dir}/document[s].parquet", "doc_id long, text string")
     scan_documents(stream, out).awaitTermination()
     return read_table(spark, out, "results").select("doc_id", "risk_level", "risk_score", "status")
 
 
+@query
+def incremental_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents twice, under other ids, as a stream of several batches: each content counts once."""
+    folder, out = work_dir(spark), work_dir(spark)
+    docs = C.mixed(spark, sf_dir)
+    twice = docs.unionByName(docs.withColumn("doc_id", -F.col("doc_id") - 1))
+    twice.repartition(8, "doc_id").write.parquet(folder)
+    stream = stream_documents(spark, folder, "doc_id long, text string", max_files=3)
+    scan_documents(stream, out).awaitTermination()
+    return totals(read_table(spark, out, "results")).groupBy("total_findings", "risk_level", "risk_score").agg(
+        F.count(F.lit(1)).alias("contents")
+    )
+
+
 # --- questions and retrieval -------------------------------------------------------
 
 
@@ -531,6 +613,14 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def chunks_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of whole paragraphs, sentences or words of the masked texts."""
+    return pack_text(analyze(C.documents(spark, sf_dir)), text="masked_text").select(
+        "doc_id", "start", F.length("chunk").alias("chars"), F.md5("chunk").alias("chunk_md5")
+    )
+
+
 @query
 def chunks_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blank documents have no chunk."""
@@ -620,3 +710,24 @@ def question_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "q_id", "route", "answer", F.size("sources").alias("n_sources"),
         F.md5(F.array_join("sources", "\n")).alias("sources_md5"),
     )
+
+
+@query
+def corpus_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn as a question about the whole corpus."""
+    index = build_sentence_index(analyze(C.documents(spark, sf_dir)), work_dir(spark))
+    return best_of_corpus(C.user_turns(spark, sf_dir), index).select("q_id", "rank", "score", "doc_id", "sentence")
+
+
+@query
+def answers_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with an answer from retrieved chunks where there is one: the assistant's turn, for documents with vectors."""
+    questions, docs = C.routed_questions(spark, sf_dir), C.mixed(spark, sf_dir)
+    replies = C.table(spark, sf_dir, "conversations").where("role = 'assistant'").select(
+        (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("q_id"), F.col("text").alias("answer")
+    )
+    contexts = _contexts(spark, sf_dir).select(F.col("q_id").alias("doc_id"), "sources")
+    retrieved = questions.select("q_id", "doc_id").join(contexts, "doc_id").join(replies, "q_id", "left").select("q_id", "answer", "sources")
+    results = with_playbook(_asked(questions, docs))
+    answers = coalesced_answers(questions, retrieved, results, loaded=docs.where(~T.is_blank(F.col("text"))))
+    return answers.select("q_id", "provenance", "route", F.md5("answer").alias("answer_md5"), F.size("sources").alias("n_sources"))

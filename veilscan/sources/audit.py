@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilscan.functions.counts import counts_json
@@ -37,9 +37,17 @@ def audit_rows(
     )
 
 
-def append_audit(audit: DataFrame, path: str) -> None:
-    """Append to the audit table, partitioned by day."""
-    audit.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+def append_audit(audit: DataFrame, path: str, run: str) -> None:
+    """Append the rows of a run to the audit table, partitioned by run and day.
+
+    A run owns its folder and replaces it, so that a run that is tried again after a failure leaves its rows once.
+    """
+    audit.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/run={run}")
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """The audit table over all runs, with its ``run``."""
+    return spark.read.schema(f"{AUDIT_SCHEMA}, run string, day date").parquet(path).drop("day")
 
 
 def audit_csv(audit: DataFrame) -> DataFrame:
@@ -57,9 +65,9 @@ def audit_csv(audit: DataFrame) -> DataFrame:
     return audit.select(*[v.alias(name) for v, name in zip(values, CSV_COLUMNS)])
 
 
-def export_csv(audit: DataFrame, path: str) -> None:
-    """Append CSV files with a header to a folder."""
-    audit_csv(audit).write.mode("append").csv(path, header=True, escape='"')
+def export_csv(audit: DataFrame, path: str, run: str) -> None:
+    """Append the rows of a run as CSV files with a header, in the run's own folder; trying again replaces them."""
+    audit_csv(audit).write.mode("overwrite").csv(f"{path}/run={run}", header=True, escape='"')
 
 
 def read_audit_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -78,25 +86,34 @@ def read_audit_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def audit_rollup(audit: DataFrame, *keys: str) -> DataFrame:
-    """Scans, failures, level mix, score and time per key (over everything without keys).
+    """Scans, failures, level mix, score and time per key (over everything without keys); all exact.
 
-    The median is the mergeable percentile sketch, whose state stays small however many
-    rows share a key.
+    Rows shrink to a histogram (one row for each key and time) inside the tasks; everything else is summed from it, and
+    the median is where the running number of timed rows passes the middle.  What one task sorts is the distinct
+    times of a key, in the log's milliseconds a bounded number.
     """
-    level = F.col("risk_level")
-    return audit.groupBy(*keys).agg(
+    level, time = F.col("risk_level"), F.col("processing_time")
+    histogram = audit.groupBy(*keys, "processing_time").agg(
         F.count(F.lit(1)).alias("scans"),
         F.count_if(F.col("status") != "Success").alias("failures"),
         *[F.count_if(level == name).alias(name.lower()) for name in ("High", "Medium", "Low")],
-        F.avg("risk_score").alias("mean_score"),
-        F.avg("processing_time").alias("mean_time"),
-        F.percentile_approx("processing_time", 0.5, 10000).alias("median_time"),
+        F.sum("risk_score").alias("_score"),
+    ).withColumn("_n", F.when(time.isNotNull(), F.col("scans")))
+    whole = Window.partitionBy(*keys)
+    placed = histogram.withColumns({"_upto": F.sum("_n").over(whole.orderBy("processing_time")), "timed": F.sum("_n").over(whole)})
+    # the two in the middle, which are one in an odd number of rows
+    low, high = (F.min(F.when(F.col("_upto") >= F.expr(f"(timed + {k}) div 2"), time)) for k in (1, 2))
+    return placed.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in ("scans", "failures", "high", "medium", "low")],
+        (F.sum("_score") / F.sum("scans")).alias("mean_score"),
+        (F.sum(time * F.col("_n")) / F.sum("_n")).alias("mean_time"),
+        ((low + high) / 2).alias("median_time"),
     )
 
 
-def write_reports(books: DataFrame, path: str) -> None:
-    """Reports as a table ``(report_file, report)``, one row per document."""
+def write_reports(books: DataFrame, path: str, run: str) -> None:
+    """Append the reports of a run as a table ``(report_file, report)``, one row per document; trying again replaces them."""
     from veilscan.functions.text import safe_filename
 
     name = F.concat(F.lit("compliance_playbook_"), safe_filename(F.coalesce("filename", F.lit("document"))), F.lit(".txt"))
-    books.select(name.alias("report_file"), "report").write.mode("append").parquet(path)
+    books.select(name.alias("report_file"), "report").write.mode("overwrite").parquet(f"{path}/run={run}")

@@ -7,40 +7,23 @@ from pyspark.sql import functions as F
 
 from veilscan.functions.text import strip
 
-PAGES_PER_PIECE = 256
 SEPARATOR = "\n\n"
 
 
-def assemble_pages(
-    pages: DataFrame, key: str = "doc_id", page: str = "page_no", text: str = "text",
-    pages_per_piece: int = PAGES_PER_PIECE,
-) -> DataFrame:
+def assemble_pages(pages: DataFrame, key: str = "doc_id", page: str = "page_no", text: str = "text") -> DataFrame:
     """``(key, text, pages)``: stripped, non-blank pages joined in page order.
 
-    Assembly runs in two steps, first per run of consecutive page numbers and then per
-    document.  A document with very many pages is thus collected by many tasks, and the
-    last step sorts a few ready pieces instead of all of its pages.  A document without
-    a readable page keeps its row, with ''.
+    The texts are moved once: pages are dealt out by document and sorted by page number inside the tasks (on disk where
+    they don't fit), so that the aggregation meets a document's pages in order and in one place.  A document
+    without a readable page keeps its row, with ''.  The result is one string, so a document must fit into one.
     """
-    cleaned = pages.select(
-        key,
-        F.floor(F.col(page) / pages_per_piece).alias("_piece"),
-        F.col(page).alias("_page"),
-        F.coalesce(strip(text), F.lit("")).alias("_text"),
-    )
-    pieces = cleaned.groupBy(key, "_piece").agg(
-        F.array_sort(F.collect_list(F.when(F.col("_text") != "", F.struct("_page", "_text")))).alias("_in"),
-    ).select(
-        key,
-        "_piece",
-        F.size("_in").alias("_pages"),
-        F.array_join(F.transform("_in", lambda p: p["_text"]), SEPARATOR).alias("_text"),
-    )
-    return pieces.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.when(F.col("_pages") > 0, F.struct("_piece", "_text")))).alias("_in"),
-        F.sum("_pages").cast("int").alias("pages"),
-    ).select(
+    cleaned = pages.select(key, F.col(page).alias("_page"), F.coalesce(strip(text), F.lit("")).alias("_text"))
+    ordered = cleaned.repartition(key).sortWithinPartitions(key, "_page", "_text")
+    readable = F.when(F.col("_text") != "", F.struct("_page", "_text"))
+    # collect_list keeps the order of its rows; sorting the short structs again costs nothing and doesn't rely on it
+    found = ordered.groupBy(key).agg(F.array_sort(F.collect_list(readable)).alias("_in"))
+    return found.select(
         key,
         F.array_join(F.transform("_in", lambda p: p["_text"]), SEPARATOR).alias("text"),
-        "pages",
+        F.size("_in").alias("pages"),
     )

@@ -19,18 +19,19 @@ from veilscan.functions.text import (
     upload_error,
 )
 from veilscan.settings import DEFAULT_OPTIONS, Options
+from veilscan.sources.pages import assemble_pages
 
 UPLOAD_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 CSV_RESULT = StructType([StructField("text", StringType()), StructField("error", StringType())])
 PDF_MESSAGE = "The PDF has no page table; supply its pages as text rows."
 
 
-def read_uploads(spark: SparkSession, folder: str) -> DataFrame:
-    """Files below a folder, one row each: path, modificationTime, length, content."""
+def read_uploads(spark: SparkSession, *folders: str) -> DataFrame:
+    """Files, or those below folders, one row each: path, modificationTime, length, content."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .load(folder)
+        .load(list(folders))
     )
 
 
@@ -65,13 +66,23 @@ def csv_text(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([render(c) for c in content], columns=["text", "error"])
 
 
-def extract_uploads(uploads: DataFrame, options: Options = DEFAULT_OPTIONS) -> DataFrame:
-    """``(path, filename, content_hash, text, error)`` of the valid files, read once.
+def extract_uploads(
+    uploads: DataFrame, options: Options = DEFAULT_OPTIONS, pages: DataFrame | None = None
+) -> DataFrame:
+    """``(path, filename, content_hash, text, error)`` of the valid files, one row each, read once.
 
-    TXT files are decoded by column expressions; only the bytes of CSV files reach the
-    Arrow helper.  PDF files need a page table (see ``sources.pages``) and carry an error
-    here.
+    Each format has its branch.  TXT files are decoded by column expressions; only the bytes of CSV files reach the
+    Arrow helper.  The text of a PDF file is that of its rows in ``pages(path, page_no, text)``, assembled in page
+    order; one without rows there carries an error.  Only keys and assembled texts of PDF files are joined, the
+    other formats pass without a shuffle.
     """
+    if pages is not None:
+        is_pdf = file_extension(F.col("path")) == ".pdf"
+        texts = assemble_pages(pages, "path").select("path", F.col("text").alias("_assembled"))
+        joined = extract_uploads(uploads.where(is_pdf), options).drop("text", "error").join(texts, "path", "left")
+        error = F.when(F.col("_assembled").isNull(), F.lit(PDF_MESSAGE)).alias("error")
+        paged = joined.select("path", "filename", "content_hash", F.col("_assembled").alias("text"), error)
+        return extract_uploads(uploads.where(~is_pdf), options).unionByName(paged)
     extension, content = F.col("_ext"), F.col("content")
     valid = uploads.withColumn("_ext", file_extension(F.col("path"))).where(
         (F.col("length") <= options.max_upload_mb * 1024 * 1024) & extension.isin(*options.allowed_extensions)
