@@ -124,6 +124,40 @@ def test_split_stars_find_all_links(spark, monkeypatch):
     assert sorted((tuple(r) for r in got), key=str) == plain_components(rows, 3, 80, 100)
 
 
+def test_sets_apart_from_their_hub_meet_in_blocks(spark, monkeypatch):
+    """Texts that share a passage: candidates of one star, of which only some link with each other."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
+    monkeypatch.setattr(jaccard, "PARITY_SETS", 5)
+    shared = [f"s{i}" for i in range(60)]
+    rows = []
+    for k in range(36):
+        own = [f"own{k // 3}x{i}" for i in range(40)]
+        rows.append((k, " ".join(shared + own[: 40 - k % 3] + [f"z{k}"])))
+    got = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string"), jaccard.Rule(3, 80, 100)).collect()
+    want = plain_components(rows, 3, 80, 100)
+    assert sorted((tuple(r) for r in got), key=str) == want and len({r[2] for r in want}) == 12
+
+
+def test_parities_miss_no_partner():
+    rule, random, sets = jaccard.Rule(5, 80, 100), np.random.default_rng(0), []
+    for _ in range(150):
+        base = np.unique(random.integers(0, 2**63, int(random.integers(1, 300)), dtype=np.uint64))
+        other = np.concatenate([base[random.random(len(base)) > random.choice([0.02, 0.1, 0.5])], random.integers(0, 2**63, 1 + len(base) // 12, dtype=np.uint64)])
+        sets += [base, np.unique(other)]
+    sizes = np.array([len(s) for s in sets])
+    linked = np.zeros(len(sets), bool)
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if 100 * both >= 80 * (sizes[a] + sizes[b] - both):
+                linked[[a, b]] = True
+    bits, everything = [jaccard.parities(s) for s in sets], np.ones(len(sets), bool)
+    found = jaccard.possible_partners(sizes, bits, np.arange(len(sets)), everything, rule)
+    assert linked.sum() > 50 and not (linked & ~found).any() and found.sum() < 1.3 * linked.sum()
+    assert not jaccard.possible_partners(sizes, bits, np.zeros(len(sets)), everything, rule).any()
+    assert not jaccard.possible_partners(sizes, bits, np.arange(len(sets)), ~everything, rule).any()
+
+
 def test_decontamination_finds_windows_and_removes_them(spark, docs):
     items = [(1, "quick, brown FOX jumps over the lazy dog again and again"), (1, "quick, brown FOX jumps over the lazy dog again and again"), (2, "One!"), (3, None), (None, "no id here at all"), (4, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")

@@ -12,8 +12,10 @@ Sets of n-grams are kept as 64-bit hashes in one global order (the hash). The jo
    a subtree is left when the elements that remain can't bring the overlap up to what is needed, or when all
    its sets are known to be in the same component.
    At first each set meets only its largest star.
-3. Components. Links of all blocks are joined to components (large and small stars). Stars whose sets are still
-   in several components meet again, sets of other components than the hub's against all blocks of the star.
+3. Components. Links of all blocks are joined to components (large and small stars). In stars whose sets are still in
+   several components, sets of other components than the hub's are held against all sets of the star, at first by their
+   parities: one bit for some places that elements fall into, which differ in no more bits than the sets in elements.
+   Only sets that may link by these meet again, in prefix trees.
 
 Documents with equal sets are one set from the start. No pairs of a group are listed.
 
@@ -38,6 +40,10 @@ from veilscan.llm.common import Memo, blobs, bucketed, fresh, kept, mixed, pick,
 
 #: A block of a star holds about so many sets and so many elements.
 BLOCK_SETS, BLOCK_ELEMENTS = 1024, 2_000_000
+#: Sets and elements that are compared by their parities in one block.
+PARITY_SETS, PARITY_ELEMENTS = 16_384, 32_000_000
+#: Words of parities looked at in one step of a block.
+PARITY_STEP = 1 << 21
 #: Bits of the filter that says which documents may be needed again (2 MB, whatever the input).
 FILTER_BITS = 1 << 24
 #: Keys of a partition that are sorted at once.
@@ -237,6 +243,47 @@ def unpacked(raw: bytes) -> np.ndarray:
     return wide.view("<u8").reshape(-1)
 
 
+def parities(values: np.ndarray) -> bytes:
+    """A bit for each place of a table of two to four times as many places as the set has elements: whether an odd
+    number of them falls there. Two sets differ in at least as many elements as their parities differ in bits."""
+    places = 64 << max(0, int(len(values) - 1) // 32).bit_length()
+    odd = np.bincount((mixed(values ^ U(0x7F4A7C15F39CC060)) & U(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(rows: np.ndarray, words: int) -> np.ndarray:
+    """Parities in a table of fewer places, a power of two as before."""
+    while rows.shape[1] > words:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+def possible_partners(sizes: np.ndarray, bits: list[bytes], labels: np.ndarray, asks: np.ndarray, rule: Rule) -> np.ndarray:
+    """Which sets of a block may link with another one under another label, one of the two asking: no set that does is missed."""
+    width = np.fromiter((len(b) // 8 for b in bits), int, len(bits))
+    found = np.zeros(len(bits), bool)
+    tables = {w: np.frombuffer(b"".join(b for b in bits if len(b) == 8 * w), U).reshape(-1, w) for w in np.unique(width).tolist()}
+    index = {w: np.flatnonzero(width == w) for w in tables}
+    for w, mine in tables.items():
+        some = np.flatnonzero(asks[index[w]])
+        for v, theirs in tables.items():
+            # tables have two to four places an element, and sizes of linked sets are close
+            if not len(some) or max(v, w) * rule.num > 2 * min(v, w) * rule.den:
+                continue
+            words = min(v, w)
+            left, right, there = folded(mine[some], words), folded(theirs, words), index[v]
+            step = max(1, PARITY_STEP // (words * len(right)))
+            for at in range(0, len(left), step):
+                here = index[w][some[at : at + step]]
+                differ = np.bitwise_count(left[at : at + step, None, :] ^ right[None, :, :]).sum(2, dtype=np.int64)
+                most = (sizes[here][:, None] + sizes[there][None, :]) * (rule.den - rule.num) // (rule.num + rule.den)
+                hit = (differ <= most) & (labels[here][:, None] != labels[there][None, :])
+                found[here] |= hit.any(1)
+                found[there] |= hit.any(0)
+    return found
+
+
 class PrefixTree:
     """Sets in global order; equal beginnings are stored once."""
 
@@ -399,7 +446,7 @@ def maybe_in(docs: DataFrame, bitmap: np.ndarray, column: str = "doc_id") -> tup
 
 
 def wanted_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """(node, n, values) of the given nodes, computed again from one document each."""
+    """(node, n, values, bits) of the given nodes, computed again from one document each."""
     one = classes.where("n > 0").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     id_, text = pick(docs, "doc_id", "text")
     chosen, flag = maybe_in(docs.select(id_.cast("long").alias("doc_id"), text.cast("string").alias("text")), id_filter(one, "doc_id"))
@@ -409,17 +456,46 @@ def wanted_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, rule: Rul
         for part in slices(batches):
             sets = [word_set(t, memo, rule.words) for t in blobs(part.column(0))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([node_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([packed(s) for s in sets], pa.binary())],
-                names=["node", "n", "values"],
+                [pa.array([node_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([packed(s) for s in sets], pa.binary()), pa.array([parities(s) for s in sets], pa.binary())],
+                names=["node", "n", "values", "bits"],
             )
 
-    sets = chosen.where(flag).select("text").mapInArrow(run, "node binary, n long, values binary")
+    sets = chosen.where(flag).select("text").mapInArrow(run, "node binary, n long, values binary, bits binary")
     one_each = Window.partitionBy("node").orderBy("n")
     return sets.join(nodes, "node", "left_semi").withColumn("nth", F.row_number().over(one_each)).where("nth = 1").drop("nth")
 
 
-def _blocks(sets, elements):
-    return (F.ceil(sets / BLOCK_SETS) + F.floor(elements / BLOCK_ELEMENTS)).cast("int")
+def _blocks(sets, elements, most_sets: int, most_elements: int):
+    return (F.ceil(sets / most_sets) + F.floor(elements / most_elements)).cast("int")
+
+
+def crossed(split: DataFrame, most_sets: int, most_elements: int) -> DataFrame:
+    """Rows of a star's sets (hub, node, n, label, apart) dealt into blocks a x b so that every set apart meets every
+    set of the star in some block, as one that asks."""
+    measures = split.groupBy("hub").agg(
+        _blocks(F.count("*"), F.sum("n"), most_sets, most_elements).alias("blocks"),
+        _blocks(F.count(F.when(F.col("apart"), 1)), F.coalesce(F.sum(F.when(F.col("apart"), F.col("n"))), F.lit(0)), most_sets, most_elements).alias("others"),
+    )
+    split = split.join(measures.where("others > 0"), "hub")
+    split = split.withColumn("a", F.pmod(F.xxhash64("node"), "others").cast("int")).withColumn("b", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("block")
+    stored_rows = split.select("hub", "node", "label", "apart", "a", "b", every).select("hub", "node", "label", F.col("block").alias("a"), "b", (F.col("apart") & (F.col("a") == F.col("block"))).alias("asks"))
+    asked = split.where("apart").select("hub", "node", "label", "a", F.col("b").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+    return stored_rows.unionByName(asked.where("b != own").select("hub", "node", "label", "a", "b", F.lit(True).alias("asks")))
+
+
+def partnered(split: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The rows of split whose set may link with another of its star, judged by parities: a small part of a set's bytes moves."""
+    rows = crossed(split, PARITY_SETS, PARITY_ELEMENTS).join(sets.select("node", "n", "bits"), "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        names: dict[bytes, int] = {}
+        labels = np.fromiter((names.setdefault(x, len(names)) for x in table.column("label").to_pylist()), np.int64, table.num_rows)
+        found = possible_partners(np.asarray(table.column("n")), table.column("bits").to_pylist(), labels, np.asarray(table.column("asks")), rule)
+        return table.select(["hub", "node"]).filter(pa.array(found))
+
+    kept = rows.groupBy("hub", "a", "b").applyInArrow(run, "hub binary, node binary").distinct()
+    return split.join(kept, ["hub", "node"], "left_semi")
 
 
 def set_links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame | None:
@@ -433,7 +509,7 @@ def set_links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame | No
     # a star holds its hub too
     members = edges.unionByName(edges.select("hub", F.col("hub").alias("node")).distinct()).join(sizes, "node")
     counts = members.groupBy("hub").agg(F.count("*").alias("sets"), F.sum("n").alias("elements"))
-    stars = stored(counts.select("hub", "sets", _blocks(F.col("sets"), F.col("elements")).alias("blocks")), "stars")
+    stars = stored(counts.select("hub", "sets", _blocks(F.col("sets"), F.col("elements"), BLOCK_SETS, BLOCK_ELEMENTS).alias("blocks")), "stars")
     members = stored(members.join(stars, "hub"), "members")
 
     # first each set meets its largest star only, in one block of it, with the hub
@@ -447,16 +523,15 @@ def set_links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame | No
     # then stars whose sets aren't all connected: what isn't with the hub meets all blocks of the star
     split = members.join(labels, "node", "left").select("hub", "node", "n", "blocks", F.coalesce("label", "node").alias("label"))
     main = split.where("hub = node").select("hub", F.col("label").alias("main"))
-    split = stored(split.join(main, "hub").withColumn("apart", F.col("label") != F.col("main")), "split")
+    split = split.join(main, "hub").select("hub", "node", "n", "label", (F.col("label") != F.col("main")).alias("apart"))
+    split = stored(split, "split")
+    if split.where("apart").isEmpty():
+        return labels
+    split = stored(partnered(split, sets, rule), "partnered")
     if split.where("apart").isEmpty():
         return labels
-    apart = split.where("apart").groupBy("hub").agg(_blocks(F.count("*"), F.sum("n")).alias("others"))
-    split = split.join(apart, "hub")
-    split = split.withColumn("a", F.pmod(F.xxhash64("node"), "others").cast("int")).withColumn("b", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    as_stored = split.select("hub", "node", "label", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("a"), "b")
-    as_asked = split.where("apart").select("hub", "node", "label", "a", F.col("b").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
-    crossed = as_stored.unionByName(as_asked.where("b != own").drop("own")).join(sets.select("node", "values"), "node")
-    more = tree_join(crossed, rule, "hub", "a", "b")
+    blocks = crossed(split, BLOCK_SETS, BLOCK_ELEMENTS).drop("asks").join(sets.select("node", "values"), "node")
+    more = tree_join(blocks, rule, "hub", "a", "b")
     return stored(components(links.unionByName(more)), "labels")
 
 
