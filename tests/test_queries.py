@@ -20,8 +20,12 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
+#: Approximate by nature; compared with brute force in tests/test_vector_index.py.
+WITHOUT_SQL = {"vector_related"}
+
+
 def test_every_query_has_sql():
-    assert set(ORACLE) == set(QUERIES) and set(QUERIES) <= set(entry.queries())
+    assert set(ORACLE) == set(QUERIES) - WITHOUT_SQL and set(QUERIES) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -30,6 +30,7 @@ from veilscan.operators.retrieval import (
     question_context,
     question_requests,
 )
+from veilscan.operators.vector_index import fit_index, indexed_chunks, nearest_indexed
 from veilscan.operators.risk import (
     category_breakdown,
     category_counts,
@@ -635,6 +636,16 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("q_id", "rank", F.col("chunk_no").alias("vec_id"), F.round("distance", 5).alias("distance"))
 
 
+@query
+def vector_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every chunk the nearest chunks of its document (itself first), found through the bucket index."""
+    chunks = C.vector_rows(spark, sf_dir)
+    index = fit_index(chunks)
+    asked = chunks.select(F.col("chunk_no").alias("q_id"), "doc_id", F.col("vector").alias("q_vector"))
+    near = nearest_indexed(asked, indexed_chunks(chunks, index), index, k=5)
+    return near.select("q_id", "rank", F.col("chunk_no").alias("vec_id"), F.round("distance", 5).alias("distance"))
+
+
 def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = nearest_chunks(C.vector_questions(spark, sf_dir), C.vector_rows(spark, sf_dir))
     wanted = C.table(spark, sf_dir, "documents").select("doc_id", "text").join(
