@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import csv
-import io
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
+from veilscan.functions.csv import with_csv_text
 from veilscan.functions.text import (
-    BAD_CSV_MESSAGE,
     content_hash,
     decode_text,
     file_extension,
@@ -22,7 +17,6 @@ from veilscan.settings import DEFAULT_OPTIONS, Options
 from veilscan.sources.pages import assemble_pages
 
 UPLOAD_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
-CSV_RESULT = StructType([StructField("text", StringType()), StructField("error", StringType())])
 PDF_MESSAGE = "The PDF has no page table; supply its pages as text rows."
 
 
@@ -46,33 +40,13 @@ def rejected_uploads(uploads: DataFrame, options: Options = DEFAULT_OPTIONS) ->
     )
 
 
-@F.pandas_udf(CSV_RESULT)
-def csv_text(content: pd.Series) -> pd.DataFrame:
-    """CSV bytes as normalised CSV text: header, then one line per row.
-
-    Every file has its own columns, so no single Spark schema fits a column of files.
-    All cells stay strings; a table without rows gives ''.
-    """
-
-    def render(data: bytes | None) -> tuple[str | None, str | None]:
-        if data is None:
-            return None, None
-        try:
-            table = pd.read_csv(io.BytesIO(data), dtype=str, keep_default_na=False)
-        except (ValueError, csv.Error):
-            return None, BAD_CSV_MESSAGE
-        return ("" if table.empty else table.to_csv(index=False)), None
-
-    return pd.DataFrame([render(c) for c in content], columns=["text", "error"])
-
-
 def extract_uploads(
     uploads: DataFrame, options: Options = DEFAULT_OPTIONS, pages: DataFrame | None = None
 ) -> DataFrame:
     """``(path, filename, content_hash, text, error)`` of the valid files, one row each, read once.
 
-    Each format has its branch.  TXT files are decoded by column expressions; only the bytes of CSV files reach the
-    Arrow helper.  The text of a PDF file is that of its rows in ``pages(path, page_no, text)``, assembled in page
+    Each format has its branch, all of column expressions: TXT files are decoded, CSV files brought to a normal form
+    (see ``functions.csv``).  The text of a PDF file is that of its rows in ``pages(path, page_no, text)``, assembled in page
     order; one without rows there carries an error.  Only keys and assembled texts of PDF files are joined, the
     other formats pass without a shuffle.
     """
@@ -87,15 +61,15 @@ def extract_uploads(
     valid = uploads.withColumn("_ext", file_extension(F.col("path"))).where(
         (F.col("length") <= options.max_upload_mb * 1024 * 1024) & extension.isin(*options.allowed_extensions)
     )
-    parsed = valid.withColumn("_csv", csv_text(F.when(extension == ".csv", content)))
+    parsed = with_csv_text(valid, F.when(extension == ".csv", content))
     return parsed.select(
         "path",
         file_name(F.col("path")).alias("filename"),
         content_hash(content).alias("content_hash"),
-        F.when(extension == ".csv", F.col("_csv.text"))
+        F.when(extension == ".csv", F.col("csv_text"))
         .when(extension != ".pdf", decode_text(content))
         .alias("text"),
-        F.when(extension == ".csv", F.col("_csv.error"))
+        F.when(extension == ".csv", F.col("csv_error"))
         .when(extension == ".pdf", F.lit(PDF_MESSAGE))
         .alias("error"),
     )
