@@ -9,6 +9,7 @@ from veilscan.functions.counts import category_list, counts_text, total
 from veilscan.functions.narrative import bullets
 from veilscan.functions.text import compact, compact_sql, is_blank, search_terms_sql, sentences_sql
 from veilscan.functions.arrays import let
+from veilscan.operators.pin import pinned
 from veilscan.settings import DEFAULT_OPTIONS, Options
 
 # Substrings that route a question, tried in this order.
@@ -62,20 +63,23 @@ def route_by_words(question: Column) -> Column:
     return route
 
 
-def relevant_sentences(question: str, text: str, options: Options = DEFAULT_OPTIONS) -> Column:
-    """Best sentences for a question: ``array<struct<score,pos,sentence>>``.
+def with_sentences(docs: DataFrame, text: str = "masked_text", options: Options = DEFAULT_OPTIONS) -> DataFrame:
+    """Add ``sentences``: the non-blank sentences of each text, clipped, and lower-cased; worked out once per document."""
+    clipped = f"named_struct('sentence', left(flat_, {options.sentence_chars}), 'lowered', lower(flat_))"
+    prepared = (
+        f"filter(transform({sentences_sql(text)}, raw -> {let('flat_', compact_sql('raw'), clipped)}), p -> length(p.lowered) > 0)"
+    )
+    return pinned(docs, sentences=F.expr(prepared))
+
+
+def relevant_sentences(question: str, sentences: str = "sentences", options: Options = DEFAULT_OPTIONS) -> Column:
+    """Best sentences (of ``with_sentences``) for a question: ``array<struct<score,pos,sentence>>``.
 
     The score is the number of question terms contained in the lower-cased sentence.
     Ranking happens inside the row of the question: nothing is exploded or shuffled.
     """
-    flat = compact_sql("raw")
-    prepared = (
-        f"filter(transform({sentences_sql(text)}, raw -> "
-        + let("flat_", flat, f"named_struct('sentence', left(flat_, {options.sentence_chars}), 'lowered', lower(flat_))")
-        + "), p -> length(p.lowered) > 0)"
-    )
     scored = (
-        f"transform({prepared}, (p, i) -> named_struct("
+        f"transform({sentences}, (p, i) -> named_struct("
         "'back', -size(filter(terms_, t -> contains(p.lowered, t))), 'pos', i, 'sentence', p.sentence))"
     )
     best = (
@@ -103,12 +107,12 @@ def answer_questions(
     """
     asked = questions.where(~is_blank(F.col("question")))
     empty = questions.where(is_blank(F.col("question")))
-    joined = asked.join(results, key).withColumn("_route", route_by_words(F.col("question")))
+    joined = asked.join(with_sentences(results, options=options), key).withColumn("_route", route_by_words(F.col("question")))
     matched = joined.withColumn(
         "_best",
         F.when(
             F.col("_route").isNull(),
-            relevant_sentences("question", "masked_text", options),
+            relevant_sentences("question", options=options),
         ),
     ).withColumn(
         "route",

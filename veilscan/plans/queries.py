@@ -21,8 +21,10 @@ from veilscan.operators.detect import (
     filter_categories_by,
     findings_sheet,
 )
-from veilscan.operators.corpus_search import build_sentence_index, corpus_sentences as best_of_corpus
-from veilscan.operators.questions import answer_questions, answers_with_fallback as coalesced_answers, relevant_sentences, route_by_words
+from veilscan.operators.corpus_search import build_sentence_index
+from veilscan.operators.corpus_search import corpus_sentences as best_of_corpus
+from veilscan.operators.questions import answer_questions, relevant_sentences, route_by_words, with_sentences
+from veilscan.operators.questions import answers_with_fallback as coalesced_answers
 from veilscan.operators.retrieval import (
     chunk_text,
     nearest_chunks,
@@ -30,17 +32,17 @@ from veilscan.operators.retrieval import (
     question_context,
     question_requests,
 )
-from veilscan.operators.vector_index import fit_index, indexed_chunks, nearest_indexed
 from veilscan.operators.risk import (
     category_breakdown,
     category_counts,
     counts_long,
-    counts_table as shown_counts,
     label_categories,
     risk_from_counts,
     risk_level_mix,
     with_theme,
 )
+from veilscan.operators.risk import counts_table as shown_counts
+from veilscan.operators.vector_index import fit_index, indexed_chunks, nearest_indexed
 from veilscan.plans import corpora as C
 from veilscan.plans.analysis import (
     analyze,
@@ -705,8 +707,8 @@ def _asked(questions: DataFrame, docs: DataFrame) -> DataFrame:
 @query
 def relevant_sentence_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = C.user_turns(spark, sf_dir)
-    results = _asked(questions, C.documents(spark, sf_dir))
-    best = relevant_sentences("question", "masked_text")
+    results = with_sentences(_asked(questions, C.documents(spark, sf_dir)))
+    best = relevant_sentences("question")
     return questions.join(results, "doc_id").select("q_id", F.posexplode(best).alias("pos", "_b")).select(
         "q_id", (F.col("pos") + 1).alias("rank"), "_b.score", "_b.sentence"
     )
