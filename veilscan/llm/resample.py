@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm.common import MEMO_KEY, MEMO_WORDS, WORD_TABLE, blobs, pick, ranked, slices
+from veilscan.llm.common import MEMO_KEY, MEMO_WORDS, WORD_TABLE, blobs, pick, ranked, slices, stored
 
 #: N-grams that are looked at in one step.
 CHUNK = 1 << 16
@@ -165,7 +165,8 @@ def drawn(rows: DataFrame, plan: Plan) -> DataFrame:
 def resampled(docs: DataFrame, target: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """Per document: doc_id, n_features, weight, score, rank."""
     gain = gains(bucket_counts(docs, plan), bucket_counts(target, plan))
-    return drawn(scored(docs, gain, plan), plan)
+    # ranking looks at its input twice, first for the ranges that it deals rows out by
+    return drawn(stored(scored(docs, gain, plan), "scored"), plan)
 
 
 def selected(docs: DataFrame, target: DataFrame, plan: Plan = Plan()) -> DataFrame:
