@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -79,6 +80,70 @@ def test_packing_places_every_piece_once(spark, docs):
     assert packing.pack_documents(empty(spark), default_tokenizer(), 0, 64).count() == 0
 
 
+def plan_sequences(plan, histogram, capacity):
+    """The sequences of a packing plan, as sorted lists of lengths; every rank has one place, without gaps."""
+    inside = {}
+    ranks = Counter()
+    for length, first, sequence, n, offset, count in plan.tolist():
+        assert first == ranks[length]
+        ranks[length] += count
+        for q in range(count):
+            inside.setdefault(sequence + q // n, []).append((offset + q % n * length, length))
+    assert ranks == Counter({l: n for l, n in histogram.items() if n})
+    for parts in inside.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return inside
+
+
+def fewest_sequences(pieces, capacity):
+    """The least number of sequences, by trying every way to place the pieces one by one."""
+    best = len(pieces)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(pieces):
+            best = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= pieces[k]:
+                some = list(rooms)
+                some.remove(room)
+                place(k + 1, [*some, room - pieces[k]])
+        place(k + 1, [*rooms, capacity - pieces[k]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_plan_against_the_optimum():
+    random = np.random.default_rng(4)
+    for _ in range(40):
+        capacity = int(random.integers(6, 14))
+        pieces = sorted(random.integers(1, capacity + 1, int(random.integers(1, 10))).tolist(), reverse=True)
+        plan = packing.packing_plan(dict(Counter(pieces)), capacity)
+        assert len(plan_sequences(plan, Counter(pieces), capacity)) <= fewest_sequences(pieces, capacity) + 1
+
+
+@pytest.mark.parametrize("times", [1, 40])
+def test_the_program_places_nearly_all_pieces(times):
+    random = np.random.default_rng(6)
+    lengths = np.minimum(np.exp(random.normal(4.5, 1.1, 4000)).astype(int) + 1, 512).tolist()
+    histogram = {l: n * times for l, n in Counter(lengths).items()}
+    left = Counter({l: n for l, n in histogram.items() if l < 512})
+    pieces, tokens = left.total(), sum(l * n for l, n in histogram.items())
+    found = packing.configurations(left, 512)
+    assert all(sum(l * n for l, n in config.items()) == 512 for _, config in found)
+    assert left.total() < 0.1 * pieces
+    sequences = len(plan_sequences(packing.packing_plan(histogram, 512), histogram, 512))
+    assert sequences <= -(-tokens // 512) * 1.002 + 1
+
+
 def plain_components(rows, n, num, den):
     def grams(text):
         words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))

@@ -2,10 +2,12 @@
 
 The histogram of piece lengths (at most `capacity` rows) is all that leaves the cluster. A configuration
 says how many pieces of each length share a sequence. The linear program (fewest configurations that
-hold all pieces) is solved by multiplicative weights: lengths held too little so far weigh more, and an
-unbounded-knapsack dynamic program prices the best configuration under these weights. The fractional
-solution is rounded down, never above what is there, and only full sequences are kept; the program is
-solved again for the rest, and what still remains is packed best fit, longest first.
+hold all pieces) is solved by multiplicative weights, in phases: the value of a length is its size, times a
+weight that falls exponentially with the share of it that is held already; an unbounded-knapsack dynamic
+program prices capacities under these values, and its table gives for every length the best full sequence with
+it. A phase takes these sequences, dearest first, for a share of what is left of their lengths, in whole numbers:
+the solution is rounded as it grows, so that the next phase sees what rounding left over. When no full sequence
+can be put together any more, the few pieces that remain are packed best fit, longest first.
 
 Pieces get their sequence by rank among those of their length. A rank is a task's base (prefix sums over
 counts by task and length) plus a running number, so no task sees all pieces of a length.
@@ -32,12 +34,10 @@ from veilscan.llm.tokens import encoder_for
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, block long, nth long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-#: Rounds of the multiplicative weights, and the share of a length's demand that a round may cover.
-ROUNDS, STEP = 500, 0.25
-#: Natural logarithm by which a length's weight falls when all of its demand is held.
+#: Share of what is left of its lengths that a phase gives to a configuration, and phases at most.
+STEP, PHASES = 0.5, 400
+#: Natural logarithm by which a length's weight falls when all of it is held.
 RATE = 4.0
-#: The program is solved anew for what rounding down left over, at most so many times.
-SOLVES = 1
 
 
 def token_pieces(
@@ -67,44 +67,50 @@ def token_pieces(
     return chosen.mapInArrow(cut, PIECES + ", ids binary" * keep_ids)
 
 
-def knapsack(values: np.ndarray, capacity: int) -> Counter:
-    """The multiset of lengths 1..capacity, of at most capacity together, with the largest sum of values."""
-    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, int)
+def priced(values: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
+    """For each capacity up to the given one the largest sum of values of lengths that fit, and a length of that
+    solution (0: the same as for one less). Lengths of negative value take no part."""
+    best, took = np.zeros(capacity + 1), [0] * (capacity + 1)
     for c in range(1, capacity + 1):
         sums = values[1 : c + 1] + best[c - 1 :: -1][:c]
         k = int(sums.argmax())
-        best[c], took[c] = sums[k], k + 1
-        if best[c - 1] >= best[c]:
-            best[c], took[c] = best[c - 1], 0
-    out, c = Counter(), capacity
-    while c > 0:
-        if took[c]:
-            out[int(took[c])] += 1
-            c -= int(took[c])
+        if sums[k] > best[c - 1]:
+            best[c], took[c] = sums[k], k + 1
         else:
-            c -= 1
-    return out
-
-
-def fractional(demand: np.ndarray, capacity: int) -> list[tuple[float, Counter]]:
-    """Configurations with weights that together hold about the demand of each length."""
-    there, sizes = demand > 0, np.arange(capacity + 1)
-    covered, found = np.zeros(capacity + 1), {}
-    for _ in range(ROUNDS):
-        share = np.divide(covered, demand, out=np.zeros(capacity + 1), where=there)
-        # the dual of a length in a program whose sequences are all full is its size; lengths held more
-        # than others lose weight, a factor for each part of their demand
-        values = np.where(there, sizes * np.exp(-RATE * share), 0.0)
-        config = knapsack(values, capacity)
-        if not config:
+            best[c] = best[c - 1]
+    return best, took
+
+
+def full_sequence(length: int, took: list[int], capacity: int) -> Counter | None:
+    """The priced solution for the room beside a length, if it fills the sequence."""
+    config, room = Counter({length: 1}), capacity - length
+    while room and took[room]:
+        config[took[room]] += 1
+        room -= took[room]
+    return None if room else config
+
+
+def configurations(left: Counter, capacity: int) -> list[tuple[int, Counter]]:
+    """Full sequences, each so many times; takes their pieces out of `left`."""
+    demand = np.array([left[l] for l in range(capacity + 1)], float)
+    sizes, found = np.arange(capacity + 1), Counter()
+    for _ in range(PHASES):
+        rest = np.array([left[l] for l in range(capacity + 1)], float)
+        held = np.divide(demand - rest, demand, out=np.zeros(capacity + 1), where=demand > 0)
+        values = np.where(rest > 0, sizes * np.exp(-RATE * held), -1.0)
+        best, took = priced(values, capacity)
+        before = len(found), left.total()
+        for length in (np.argsort(-(values[1:] + best[capacity - 1 :: -1]), kind="stable") + 1).tolist():
+            config = full_sequence(length, took, capacity) if left[length] else None
+            times = min(left[l] // n for l, n in config.items()) if config else 0
+            if times:
+                times = max(1, int(times * STEP))
+                for l, n in config.items():
+                    left[l] -= n * times
+                found[tuple(sorted(config.items()))] += times
+        if before == (len(found), left.total()):
             break
-        size = STEP * min(demand[l] / n for l, n in config.items())
-        for l, n in config.items():
-            covered[l] += size * n
-        key = tuple(sorted(config.items()))
-        found[key] = found.get(key, 0.0) + size
-    most = max((covered[there] / demand[there]).max(initial=1.0), 1.0)
-    return [(w / most, Counter(dict(key))) for key, w in found.items()]
+    return [(times, Counter(dict(config))) for config, times in found.items()]
 
 
 def best_fit(rest: dict[int, int], gaps: Counter, capacity: int) -> list[tuple[int, int, list[int]]]:
@@ -157,17 +163,7 @@ def packing_plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
     chosen: list[tuple[int, Counter]] = []
     if full := left.pop(capacity, 0):
         chosen.append((full, Counter({capacity: 1})))
-    for _ in range(SOLVES):
-        demand = np.array([left[l] for l in range(capacity + 1)], float)
-        before = len(chosen)
-        for weight, config in sorted(fractional(demand, capacity), key=lambda x: -x[0]) if demand.any() else ():
-            times = min(int(weight + 1e-9), min(left[l] // n for l, n in config.items()))
-            if times and sum(l * n for l, n in config.items()) == capacity:
-                chosen.append((times, config))
-                for l, n in config.items():
-                    left[l] -= n * times
-        if len(chosen) == before:
-            break
+    chosen += configurations(left, capacity)
     gaps: Counter = Counter()
     by_gap: dict[int, list[tuple[int, Counter]]] = {}
     for times, config in chosen:
