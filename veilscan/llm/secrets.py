@@ -49,8 +49,20 @@ COMMON = (
 ).split()
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 LEET = str.maketrans("4@01!35$7", "aaoiiesst")
-DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:[12]\d|3[01]|0?[1-9])|(?:[12]\d|3[01]|0?[1-9])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d)")
-
+#: Dates: year, month and day in this or the opposite order, with or without a sign between, and a year alone.
+YEAR, MONTHS, DAYS, BETWEEN = "(?:19|20)[0-9][0-9]", ("0[1-9]|1[0-2]", "[1-9]"), ("0[1-9]|[12][0-9]|3[01]", "[1-9]"), "[-/._]?"
+#: One pattern for each number of digits, since the cheapest segmentation may need any of the ends.
+DATES = tuple(
+    re.compile(BETWEEN.join(f"(?:{x})" for x in parts[::step]))
+    for parts in [(YEAR, m, d) for m in MONTHS for d in DAYS]
+    for step in (1, -1)
+) + (re.compile(YEAR),)
+#: Addresses after words such as "login" are no secrets, nor are web addresses without a password in them.
+ADDRESS = re.compile(r"[^@\s:/]+@[\w.-]+\.[a-zA-Z]{2,}|[a-zA-Z][a-zA-Z0-9+.-]*://[^@\s]*")
+#: Values up to this length are remembered.
+SHORT = 64
+
+DATE_COST = log10(365 * 120)
 RANKS = {w: i + 1 for i, w in enumerate(COMMON)}
 NEXT = {(a, b) for row in ROWS for a, b in zip(row, row[1:])} | {(b, a) for row in ROWS for a, b in zip(row, row[1:])}
 LONGEST = max(map(len, COMMON))
@@ -65,12 +77,20 @@ def _capitals(piece: str) -> float:
     return 0.0 if piece.islower() or not piece.isalpha() else log10(2) if piece.istitle() or piece.isupper() else 0.3 * sum(c.isupper() for c in piece)
 
 
-@lru_cache(maxsize=10_000)
 def guess_cost(value: str, most: float = float("inf")) -> float:
     """Power of ten of the guesses in the cheapest segmentation; any number from most on if it is not below most.
 
     No segmentation goes on from a place that costs most or more, so long values of many guesses end early.
     """
+    return _remembered(value, most) if len(value) <= SHORT else _cheapest(value, most)
+
+
+@lru_cache(maxsize=10_000)
+def _remembered(value: str, most: float) -> float:
+    return _cheapest(value, most)
+
+
+def _cheapest(value: str, most: float) -> float:
     low, n = value.lower(), len(value)
     leet = low.translate(LEET)
     best = [0.0] + [float("inf")] * n
@@ -98,8 +118,10 @@ def guess_cost(value: str, most: float = float("inf")) -> float:
             for text, more in ((low, 0.0), (leet, 0.5)):
                 if rank := RANKS.get(text[i:j]):
                     reach(j, here + log10(rank + 1) + more + _capitals(value[i:j]))
-        if m := DATE.match(low, i):
-            reach(m.end(), here + log10(365 * 120))
+        if low[i].isdigit():
+            for pattern in DATES:
+                if m := pattern.match(low, i):
+                    reach(m.end(), here + DATE_COST)
         j = i + 1
         while j < n and (low[j - 1], low[j]) in NEXT:
             j += 1
@@ -133,7 +155,7 @@ def all_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, in
         start, end = m.span(1)
         value = m[1].rstrip(".!?)]}")
         end = start + len(value)
-        if len(value) >= 6 and guess_cost(value, GUESSES) >= GUESSES and not any(s <= start and end <= e for s, _, e in base):
+        if len(value) >= 6 and not ADDRESS.fullmatch(value) and guess_cost(value, GUESSES) >= GUESSES and not any(s <= start and end <= e for s, _, e in base):
             out.append((start, 3, end))
     return sorted(out)
 
