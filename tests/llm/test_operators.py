@@ -1,6 +1,8 @@
 """Each operator against a plain version on small tables: nulls, empty and long texts, ties, repeats, empty tables."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -247,6 +249,25 @@ def test_warc_round_trip(spark):
     assert record.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and record.endswith(b"\r\n\r\nsmall\r\n\r\n")
 
 
+def test_warc_records_and_originals(spark):
+    """A revisit has no body, and its original response comes back byte for byte from the payload that it refers to."""
+    big = "x" * 1000 + "é\r\n\r\n"
+    rows = [(1, "http://a/", big), (2, "http://b/", big), (3, "u", "")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archive = warc.archived(frame)
+    kept = {r["page_id"]: bytes(r["record"]) for r in warc.records(archive).collect()}
+    assert kept[1].endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n") and b"WARC-Type: revisit" in kept[1] and b"WARC-Refers-To: " in kept[1]
+    alone = {}
+    for k in rows:
+        single = warc.archived(spark.createDataFrame([k], frame.schema))
+        alone[k[0]] = bytes(warc.records(single).first()["record"])
+        head, body = alone[k[0]].split(b"\r\n\r\n", 1)
+        assert f"Content-Length: {len(k[2].encode())}".encode() in head and body == k[2].encode() + b"\r\n\r\n"
+    assert kept[2] == alone[2] and kept[3] == alone[3] and kept[1] != alone[1]
+    assert {r["page_id"]: bytes(r["record"]) for r in warc.originals(archive).collect()} == alone
+    assert warc.archived(spark.createDataFrame([], frame.schema)).count() == 0
+
+
 def test_secret_spans(spark, docs):
     text = TEXTS[2][1]
     row = {r["doc_id"]: r for r in secrets.scan(docs).collect()}[3]
@@ -270,6 +291,74 @@ def test_credential_values_are_found_whole(spark):
     assert secrets.redacted(frame).first()["text"] == "[SECRET] ok"
 
 
+def segmented(value):
+    """The least cost over all ways to cut a value, each segment at its cheapest, without any shortcut."""
+    low, symbol = value.lower(), [secrets._symbol(c) for c in value]
+    leet = low.translate(secrets.LEET)
+
+    def segment(i, j):
+        costs = [sum(symbol[i:j])]
+        costs += [math.log10(secrets.RANKS[t[i:j]] + 1) + more + secrets._capitals(value[i:j]) for t, more in ((low, 0.0), (leet, 0.5)) if t[i:j] in secrets.RANKS]
+        costs += [secrets.DATE_COST] * any(p.fullmatch(low, i, j) for p in secrets.DATES)
+        if j - i >= 3 and all(pair in secrets.NEXT for pair in zip(low[i : j - 1], low[i + 1 : j])):
+            costs.append(math.log10(2 * len(secrets.NEXT)) + math.log10(j - i))
+        for size in range(1, (j - i) // 2 + 1):
+            times, over = divmod(j - i, size)
+            if not over and value[i:j] == value[i : i + size] * times:
+                costs.append(sum(symbol[i : i + size]) + math.log10(times))
+        return min(costs)
+
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min(best[i] + (0.3 if i else 0.0) + segment(i, j) for i in range(j)))
+    return best[-1]
+
+
+def test_guess_cost_is_the_cheapest_segmentation():
+    random_ = random.Random(1)
+    dates = ["2024-11-03", "20241225", "3.10.1999", "1999", "11/03/2024", "1.1.2001", "20011", "2012011", "31.12.2010"]
+    makers = [
+        lambda: random_.choice(secrets.COMMON), lambda: random_.choice(secrets.COMMON).title(), lambda: random_.choice(dates), lambda: "p4ssw0rd",
+        lambda: random_.choice(["qwerty", "asdfg", "12345", "9876", "abcdef"])[: random_.randint(2, 6)], lambda: random_.choice("ab1!Zé") * random_.randint(1, 5),
+        lambda: "".join(random_.choices("ab12", k=random_.randint(1, 3))) * random_.randint(1, 4), lambda: "".join(random_.choices("abcQ019!_é", k=random_.randint(1, 4))),
+    ]
+    for _ in range(1500):
+        value = "".join(random_.choice(makers)() for _ in range(random_.randint(1, 4)))[:22]
+        assert abs(secrets.guess_cost(value) - segmented(value)) < 1e-9, value
+    assert secrets.guess_cost("2024-11-03") == secrets.guess_cost("2024-03-11") == secrets.DATE_COST
+
+
+def test_dates_and_addresses_are_no_secrets():
+    for text in ("pass: 2024-11-03x", "login: jane.doe@mail.example", "auth: https://accounts.example/oauth?client=web", "pwd: 31.12.1999"):
+        assert secrets.spans_of(text.encode())[1] == [], text
+    assert secrets.spans_of(b"auth: https://jane:xK9#vQ2!mZ7p@host.example/")[1]
+
+
+def test_base_spans_equal_a_plain_scan(spark, docs):
+    """Position by position, without hints or shortcuts."""
+    def plain(text):
+        kinds = [
+            (re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 1, 6),
+            (re.compile("(AKIA[A-Z0-9]+)"), 1, 20), (re.compile("([0-9a-f]+)"), 1, 24),
+        ]
+        out = []
+        for kind, (pattern, group, least) in enumerate(kinds):
+            at = 0
+            while m := pattern.search(text, at):
+                at = m.end()
+                if len(m[group]) >= least:
+                    out.append((m.start(), kind, m.end()))
+        return sorted(out)
+
+    texts = [t or "" for _, t in TEXTS] + ["API_Key='abcdef' apikey:x-1.2=+ PASSWD =  \"short\" Token=ABCDEF secret:: abcdef", "AKIA" + "Z9" * 20 + "a" * 30, "ſecret=abcdefg"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in secrets.scan(docs).collect():
+        base = plain(texts[row["doc_id"]])
+        assert [row["n_assign"], row["n_access"], row["n_hex"]] == [sum(k == i for _, k, _ in base) for i in range(3)]
+        assert row["base_sha256"] == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in base).encode()).hexdigest()
+    assert secrets.scan(empty(spark)).count() == 0
+
+
 def test_toxicity_learns_words_and_handles_empty_tables(spark):
     random = np.random.default_rng(3)
     rows = [(i, " ".join(f"w{x}" for x in random.integers(0, 60, 30)) + (" vile scum" if i % 5 == 0 else "")) for i in range(400)]

@@ -2,8 +2,9 @@
 
 An archive is a folder with two Parquet tables. `payloads` has each distinct payload once, under its
 SHA-256 (with the SHA-1 that WARC headers name, and the size); `headers` has every record's exact header
-bytes and the SHA-256 of its payload. A record is header, payload and two line ends; it comes from a join
-on the digest. Reading computes the digests of the stored bytes again and compares them with header and key.
+bytes and the SHA-256 of its payload. A response is header, payload and two line ends, a revisit the same without
+payload; the original response of a revisit comes back from its header and the payload that it refers to. Both
+come from a join on the digest. Reading computes the digests of the stored bytes again and compares them with header and key.
 
 Of records with equal payloads of at least `least` bytes, that with the largest page_id is a response and
 the others revisit it; smaller payloads are all responses (their bytes are stored once all the same).
@@ -75,7 +76,7 @@ def write_archive(pages: DataFrame, path: str, least: int = LEAST, date: str = "
         ).otherwise(""),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         _line("Content-Type", F.lit("text/html; charset=utf-8")),
-        _line("Content-Length", F.col("size").cast("string")),
+        _line("Content-Length", F.when(F.col("kind") == "revisit", "0").otherwise(F.col("size").cast("string"))),
         F.lit("\r\n"),
     )
     known.select(header.cast("binary").alias("header"), "sha256").write.parquet(f"{path}/headers")
@@ -98,17 +99,30 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         field("WARC-Type").alias("record_type"), field("WARC-Refers-To-Page-ID").cast("long").alias("refers_to"),
         field("WARC-Payload-Digest").alias("named"), field("Content-Length").cast("long").alias("length"),
     )
-    same = (F.col("named") == F.concat(F.lit("sha1:"), F.col("payload_digest"))) & (F.col("length") == F.col("payload_bytes"))
+    sized = F.col("length") == F.when(F.col("record_type") == "revisit", 0).otherwise(F.col("payload_bytes"))
+    same = (F.col("named") == F.concat(F.lit("sha1:"), F.col("payload_digest"))) & sized
     return parsed.join(stored.drop("again"), "key").where(F.when(same, True).otherwise(F.raise_error(F.lit("header and payload differ")))).select(
         "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "header", "payload"
     )
 
 
+END = b"\r\n\r\n"
+
+
 def records(archive: DataFrame) -> DataFrame:
-    """page_id and the complete record bytes of read_archive(): revisits have no body of their own in WARC,
-    so their full response is rebuilt here from the payload that they refer to."""
-    end = F.lit("\r\n\r\n").cast("binary")
-    return archive.select("page_id", F.concat("header", "payload", end).alias("record"))
+    """page_id and the record bytes of read_archive(), as a WARC file holds them: revisits have no body."""
+    body = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
+    return archive.select("page_id", F.concat("header", body, F.lit(END)).alias("record"))
+
+
+def originals(archive: DataFrame) -> DataFrame:
+    """page_id and every page's response record, also of revisits: what there was before payloads were shared."""
+    text = F.decode("header", "UTF-8")
+    own = F.regexp_replace(text, "\r\n(?:WARC-Profile|WARC-Refers-To|WARC-Refers-To-Page-ID): [^\r\n]*(?=\r\n)", "")
+    own = F.regexp_replace(own, "\r\nWARC-Type: revisit\r\n", "\r\nWARC-Type: response\r\n")
+    sized = F.regexp_replace(own, F.lit("\r\nContent-Length: 0(?=\r\n)"), F.concat(F.lit("\r\nContent-Length: "), F.col("payload_bytes").cast("string")))
+    header = F.when(F.col("record_type") == "revisit", sized.cast("binary")).otherwise(F.col("header"))
+    return archive.select("page_id", F.concat(header, "payload", F.lit(END)).alias("record"))
 
 
 def archived(pages: DataFrame) -> DataFrame:
