@@ -420,6 +420,28 @@ def test_templates_choose_text_inside_marked_elements(spark):
     assert all(got[60 + i] == "The same article on all pages." for i in range(6))
 
 
+def test_words_in_class_names_cost_no_article_text(spark):
+    html = (
+        '<body><header class="site-header">Site</header><nav>Menu</nav><article><header class="entry-header"><h1>Title &amp; more</h1></header>'
+        '<h2 class="related-work">Related work</h2><p class="more-info">First.</p><p class="comment-free">Second <math><mi>x</mi></math> third.</p>'
+        '<p class="notice-board">Board.</p><p class="advert">Buy!</p><div class="related-posts"><p>Other post</p></div><footer>By me</footer>'
+        '</article><div id="comments"><p>Nice</p></div></body>'
+    )
+    rows = [(1, "http://one.example/a", html)]
+    (row,) = templates.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert row["text"] == "Title & more Related work First. Second x third. Board."
+
+
+def test_pages_of_any_size(spark):
+    """A very long page, an empty table, clashing columns."""
+    long = "<article>" + "".join(f"<p>word{i} text</p>" for i in range(60_000)) + "</article>"
+    frame = spark.createDataFrame([(1, "u", long, "x", 3), (2, None, None, "y", 4)], "page_id long, url string, html string, host string, n_chars int")
+    got = {r["page_id"]: r for r in templates.extracted(frame).collect()}
+    assert got[1]["text"] == " ".join(f"word{i} text" for i in range(60_000)) and got[1]["n_chars"] == len(got[1]["text"])
+    assert got[2]["text"] == "" and got[2]["n_chars"] == 0
+    assert templates.extracted(frame.where("page_id > 9")).collect() == []
+
+
 def test_each_layout_of_a_host_has_a_template(spark):
     first = '<body><div class="m"><span class="i">Menu one</span><span class="i">Menu two</span></div><div class="t"><p>First own text {0} here.</p></div></body>'
     second = '<body><div class="n">Notice of this part</div><div class="t"><p>Second own text {0} here.</p></div></body>'

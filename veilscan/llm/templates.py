@@ -37,7 +37,7 @@ PAGES = 4
 #: Comment or declaration; raw element with all that it holds; tag; text.
 PARTS = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|object|svg|math|select|canvas|video|audio)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|object|svg|select|canvas|video|audio)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.DOTALL | re.IGNORECASE,
@@ -52,6 +52,8 @@ INLINE = frozenset(
 #: Elements whose content serves another end than the article.
 ASIDE = frozenset("head title nav header footer aside form menu dialog button fieldset input label datalist map".split())
 MAIN = ("article", "main")
+#: Elements that hold a line or paragraph of text: a word of their class says how it looks more often than what it serves.
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th caption figcaption span b i em strong a".split())
 #: Words in class, id or role that say the same; and those that mark the main part.
 OTHER = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion nav navbar navigation menu menubar submenu "
@@ -64,9 +66,14 @@ NAME = re.compile(r"[a-zA-Z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
-def _element(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """Label for paths, whether the element serves another end, whether it is marked as the main part."""
-    other, main, label = name in ASIDE, name in MAIN, name
+def _element(name: str, attributes: str, inside: bool) -> tuple[str, bool, bool]:
+    """Label for paths, whether the element serves another end, whether it is marked as the main part.
+
+    A line serves another end only if all words of its class or id say so ("related-work" is a heading), and the header
+    of an element that is marked as main is the article's own.
+    """
+    own_header = name == "header" and inside
+    other, main, label = name in ASIDE and not own_header, name in MAIN, name
     if attributes and ("=" in attributes or "hidden" in attributes):
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
@@ -76,7 +83,9 @@ def _element(name: str, attributes: str) -> tuple[str, bool, bool]:
                     label = f"{name}.{value.strip()}" if value.strip() else name
                 if value.lower() == "articlebody" or (key == "role" and value == "main"):
                     main = True
-                elif name not in ("html", "body") and words & OTHER and not (name in MAIN):
+                elif name in LINES:
+                    other = other or bool(words) and words <= OTHER
+                elif name not in ("html", "body", *MAIN) and words & OTHER and not (own_header and words & OTHER <= {"header"}):
                     # "main-header" is a header, "post-content" is content
                     other = True
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and HIDDEN.search(value)):
@@ -108,7 +117,8 @@ def blocks(html: str) -> Iterator[tuple[str, str, bool, int]]:
             if name == "br" or not any(e[0] == name for e in stack):
                 text.append(" " if name == "br" else "")
                 continue
-        label, is_other, is_main = (name, False, False) if m["end"] else _element(name, m["attributes"])
+        inside = bool(stack) and stack[-1][4] > 0
+        label, is_other, is_main = (name, False, False) if m["end"] else _element(name, m["attributes"], inside)
         if name in INLINE and not m["end"] and not is_other:
             continue
         if text:
