@@ -459,7 +459,7 @@ def test_surrogates_are_consistent_and_distinct(spark):
         (3, "Frau Schmidt paid with 4111 1111 1111 1111; DE89370400440532013000"), (4, None), (5, "nothing"), (1, "Mail Bob.Lee@mail5.example.com or bob.lee@mail5.example.com, call +1 (499) 555-6503."),
     ]
     frame = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars int")
-    out = surrogates.pseudonymised(frame).collect()
+    out = surrogates.pseudonymised(frame, "k").collect()
     text = {r["doc_id"]: r["text"] for r in out}
     mails = re.findall(r"[\w.]+@[\w.]+\w", text[1])
     assert mails[0].lower() == mails[1] == re.findall(r"[\w.]+@[\w.]+\w", text[2])[0] and mails[0][0].isupper()
@@ -471,14 +471,40 @@ def test_surrogates_are_consistent_and_distinct(spark):
 
 
 def test_more_names_than_short_surrogates(spark):
-    names = spark.range(4200).selectExpr("if(id % 2 = 0, 'name_latin_m', 'name_latin_f') AS kind", "concat('Q', id) AS canonical")
-    got = surrogates.surrogate_table(names).collect()
-    assert len(got) == len({r["surrogate"] for r in got}) == 4200
+    names = spark.range(4200).selectExpr("'family_latin' AS kind", "concat('Q', id) AS canonical")
+    given = spark.range(300).selectExpr("if(id % 2 = 0, 'given_latin_m', 'given_latin_f') AS kind", "concat('G', id) AS canonical")
+    got = surrogates.surrogate_table(names.unionByName(given), "k").collect()
+    assert len(got) == len({(r["kind"][:5], r["surrogate"]) for r in got}) == 4500
+
+
+def test_surrogates_keep_coreference(spark):
+    texts = [
+        "Mr John Smith wrote. Later Mr Smith and Mrs Smith came; John Smith left, Smithson and Goldsmith stayed. Smith's.",
+        "Dr. J. Smith met Ms Anna Lee and Mr O’Neil. Anna Lee smiled. Lee too.",
+        "a@corp.example, b@corp.example, A@other.example and x@corp.example.org; a@corp.example again",
+        "2001:db8::8a2e:370:7334 and 2001:DB8:0:0:0:0:0:1, time 12:30:45, ratio 3:4",
+        "John Smith without a title, and Smith",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in surrogates.pseudonymised(frame, "k").collect()}
+    first, family, family2, full = re.fullmatch(r"Mr (\w+ \w+) wrote. Later Mr (\w+) and Mrs (\w+) came; (\w+ \w+) left, Smithson and Goldsmith stayed. .+'s\.", got[0]).groups()
+    assert first == full and first.split()[1] == family == family2 != "Smith" and not first.startswith("John") and got[0].endswith(f"{family}'s.")
+    doctor, given, lee, neil = re.fullmatch(r"Dr\. J\. (\w+) met Ms (\w+) (\w+) and Mr (\w+)\. .*", got[1]).groups()
+    assert doctor == family and f"{given} {lee} smiled. {lee} too." in got[1] and "Lee" not in got[1] and neil != "O’Neil"
+    a, b, c, d, again = re.findall(r"[\w.]+@[\w.]+\w", got[2])
+    assert a == again and a.split("@")[1] == b.split("@")[1] != c.split("@")[1] and a.split("@")[0] != b.split("@")[0] and c[0].isupper()
+    assert len({x.split("@")[1] for x in (a, c, d)}) == 3 and "corp" not in got[2]
+    v6 = re.findall(r"[0-9a-fA-F:]{12,}", got[3])
+    assert [re.sub("[0-9a-fA-F]", "h", x) for x in v6] == ["hhhh:hhh::hhhh:hhh:hhhh", "hhhh:hhh:h:h:h:h:h:h"] and "db8" not in got[3].lower() and got[3].endswith("time 12:30:45, ratio 3:4")
+    assert got[4] == texts[4]
+    other = {r["doc_id"]: r["text"] for r in surrogates.pseudonymised(frame, "another").collect()}
+    assert all(got[k] != other[k] for k in range(4))
+    assert surrogates.pseudonymised(frame.where("doc_id > 9"), "k").collect() == []
 
 
 def test_cards_and_ibans_before_more_signs_are_replaced(spark):
     texts = ["4111 1111 1111 1111 12/27", "4111111111111111 737", "AT61 1904 3002 3457 3201 BIC", "1234 5678 9012 3456 78"]
-    out = surrogates.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    out = surrogates.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()
     got = {r["doc_id"]: r["text"] for r in out}
     assert not got[0].startswith("4111 1111 1111 1111") and got[0].endswith(" 12/27") and not got[1].startswith("4111111111111111") and got[1].endswith(" 737")
     assert "1904 3002 3457" not in got[2] and got[2].endswith(" BIC") and got[3] == texts[3]
