@@ -124,6 +124,10 @@ def test_dedupe(spark):
     rows = [(i, "same") for i in range(1000)] + [(i, f"t{i}") for i in range(1000, 1010)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     assert {r.doc_id for r in first_copies(docs).collect()} == {0, *range(1000, 1010)}
+    plan = plan_of(first_copies(docs))
+    assert "LeftAnti" in plan and "NestedLoop" not in plan
+    odd = spark.createDataFrame([(1, None), (2, None), (3, "x"), (4, "x"), (5, "")], "doc_id long, text string")
+    assert {r.doc_id for r in first_copies(odd).collect()} == {1, 3, 5}
     assert copies(docs).agg(F.max("copies")).first()[0] == 1000
     assert plan_of(copies(docs)).count("HashAggregate") == 2
 

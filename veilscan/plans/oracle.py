@@ -520,6 +520,8 @@ ORACLE: dict[str, str] = {
     "content_hash_dedupe": "select sha256(text) as content_hash, min(doc_id) as doc_id, count(*) as copies from documents group by 1",
     "first_copy_documents": "select doc_id, length(text) as chars from documents "
     "where doc_id in (select min(doc_id) from documents group by text)",
+    "first_copy_texts": "select doc_id, lang, md5(text) as text_md5 from documents "
+    "where doc_id in (select min(doc_id) from documents group by text)",
     "blank_check": with_(*R_BLANKS)
     + f"select doc_id, {STATUS} as status, risk_level, score as risk_score from r where bad",
     "audit_log": with_(*R_BLANKS)

@@ -11,7 +11,7 @@ from veilscan.functions import text as T
 from veilscan.functions.counts import counts_json, counts_text, total
 from veilscan.functions.masking import mask_value
 from veilscan.functions.patterns import rule_hits
-from veilscan.operators.dedupe import copies, first_keys
+from veilscan.operators.dedupe import copies, first_copies, first_keys
 from veilscan.operators.detect import (
     detect,
     detect_counts,
@@ -412,6 +412,12 @@ def first_copy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.length("text").alias("chars")).join(first_keys(docs), "doc_id", "left_semi")
 
 
+@query
+def first_copy_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole rows of the first documents of each content."""
+    return first_copies(C.documents(spark, sf_dir, "lang")).select("doc_id", "lang", F.md5("text").alias("text_md5"))
+
+
 @query
 def blank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return failed(assess(C.with_blanks(spark, sf_dir))).select("doc_id", "status", "risk_level", "risk_score")
