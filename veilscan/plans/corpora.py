@@ -58,6 +58,16 @@ def mixed_suffix(doc_id: str = "doc_id") -> str:
     )
 
 
+def overlap_suffix(doc_id: str = "doc_id") -> str:
+    """A spaced card number, valid for a tenth of the documents, whose first twelve digits are an identifier too."""
+    return f"concat(' card 4111 1111 1111 ', {padded(doc_id, 4)}, ' or so, mail user', {doc_id}, '@mail.example')"
+
+
+def overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which findings of different length begin at the same place."""
+    return documents(spark, sf_dir).withColumn("text", F.expr(f"concat(text, {overlap_suffix()})"))
+
+
 def augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).withColumn("text", F.expr(f"concat(text, {full_suffix()})"))
 

@@ -35,6 +35,7 @@ def duck(sql: str) -> str:
     return sql.replace("'\\n'", NL).replace("as string", "as varchar")
 
 
+# The patterns of the nine categories, in forms that this regex engine has.
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 CARD = "[0-9]{13,19}"
@@ -46,6 +47,7 @@ API_KEY = r"""(?i)\b(?:api[_-]?key|secret[_-]?key|access[_-]?token|bearer)\s*[:=
 PASSWORD = r"""(?i)\b(?:password|passwd|pwd)\s*[:=]\s*['"]?([^\s,'"]{6,})['"]?"""
 EMPLOYEE = r"(?i)\b(?:EMP|Employee ID|EmployeeID)[\s:-]*[A-Z0-9]{3,12}\b"
 
+# How each category is masked, its weight, label and severity.
 STYLE = {
     "Aadhaar": "digits", "Phone": "digits", "Credit Card": "digits", "Bank Account": "digits",
     "PAN": "pan", "Email": "email", "API Key": "secret", "Password": "secret", "Employee ID": "edges",
@@ -220,6 +222,20 @@ MASKED = (
     "list_reduce(coalesce(rest, []), lambda a, e: struct_pack(value := replace(a.value, e.value, e.mask), mask := ''), "
     "struct_pack(value := tail, mask := '')).value as masked from d left join v using (doc_id))"
 )
+# Findings that overlap: each is replaced at its own offsets in the text as the ones to its right have left it.
+OVERLAPS = docs(duck(C.overlap_suffix()))
+SPACED_CARD = "[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}"
+OVERLAP_SPANS = (
+    f"f as ({EMAIL_SPANS} union all {CARD_SPANS} union all {spans('text', 'Aadhaar', AADHAAR, 1)} union all "
+    f"select f.doc_id, category, value, (start + length(body))::int as start from ({spans('tail', 'Credit Card', SPACED_CARD)}) f join d using (doc_id) "
+    f"where {luhn("replace(value, ' ', '')")})"
+)
+MASKED_IN_TURN = (
+    f"v as (select doc_id, list(struct_pack(at := start, over := start + length(value), put := {MASKED_VALUE}) order by start desc, category) as fs "
+    "from f group by doc_id), mt as (select doc_id, list_reduce(coalesce(list_transform(fs, lambda x: struct_pack(t := x.put, at := x.at, over := x.over)), []), "
+    "lambda acc, x: struct_pack(t := left(acc.t, x.at) || x.t || substr(acc.t, x.over + 1), at := 0, over := 0), "
+    "struct_pack(t := text, at := 0, over := 0)).t as masked from d left join v using (doc_id))"
+)
 MASKED_OUT = "select doc_id, md5(masked) as masked_md5, length(masked) as masked_length from mt"
 
 
@@ -463,6 +479,7 @@ ORACLE: dict[str, str] = {
     "unnest([" + ", ".join(f"'{c}'" for c in STYLE) + "]) as category from customer)",
     "masked_text": with_(PLAIN, F_ALL, MASKED) + MASKED_OUT,
     "masked_text_augmented": with_(AUGMENTED, F_ALL, MASKED) + MASKED_OUT,
+    "masked_overlaps": with_(OVERLAPS, OVERLAP_SPANS, MASKED_IN_TURN) + MASKED_OUT,
     "doc_category_counts": with_(MIXED, F_ALL, CNT) + "select * from cnt",
     "corpus_category_breakdown": with_(AUGMENTED, F_ALL, DIM_SQL, CNT) + BREAKDOWN.format(keys="", source="cnt"),
     "breakdown_zero_counts": with_(MIXED, F_ALL, DIM_SQL, CNT) + BREAKDOWN.format(keys="doc_id, ", source="cnt"),

@@ -212,6 +212,12 @@ def masked_text_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _masked(C.augmented(spark, sf_dir))
 
 
+@query
+def masked_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks of different overlapping findings, replaced from the right one after the other."""
+    return _masked(C.overlapping(spark, sf_dir))
+
+
 # --- counts and risk ---------------------------------------------------------------
 
 
