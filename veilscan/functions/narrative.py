@@ -94,37 +94,38 @@ def fallback_summary(level: Column, score: Column, reason: Column, counts: str)
     return F.format_string(SUMMARY_TEMPLATE, level, score, counts_text(counts), reason)
 
 
-def context_sentence(context: Column) -> Column:
+def context_sentence(context: Column, options: Options = DEFAULT_OPTIONS) -> Column:
     """One sentence about the context review."""
     flat = compact(context)
-    nothing = (F.length(flat) == 0) | (F.contains(flat, F.lit("None identified")) & (F.length(flat) < 180))
+    nothing = (F.length(flat) == 0) | (F.contains(flat, F.lit("None identified")) & (F.length(flat) < options.context_short))
     return F.when(F.coalesce(nothing, F.lit(True)), F.lit(CONTEXT_NONE)).otherwise(
-        F.format_string(CONTEXT_NOTED, F.substring(flat, 1, 260))
+        F.format_string(CONTEXT_NOTED, F.substring(flat, 1, options.context_chars))
     )
 
 
-def summary_risk(summary: Column) -> Column:
-    """The risk section of a summary, at most 360 characters, or a fixed sentence."""
-    section = F.trim(
-        F.regexp_extract(
-            compact(summary), r"(?iu)Security Risks:\s*(.+?)(?:Suggested Remediation:|$)", 1
-        )
-    )
-    return F.when(F.length(section) > 0, F.substring(section, 1, 360)).otherwise(F.lit(ADVISORY))
+# Fixed value: where the risk section of a summary lies.
+RISK_SECTION = r"(?iu)Security Risks:\s*(.+?)(?:Suggested Remediation:|$)"
+
+
+def summary_risk(summary: Column, options: Options = DEFAULT_OPTIONS) -> Column:
+    """The risk section of a summary, clipped, or a fixed sentence."""
+    section = F.trim(F.regexp_extract(compact(summary), RISK_SECTION, 1))
+    return F.when(F.length(section) > 0, F.substring(section, 1, options.risk_chars)).otherwise(F.lit(ADVISORY))
 
 
 def playbook(
-    level: Column, score: Column, reason: Column, counts: str, summary: Column, context: Column
+    level: Column, score: Column, reason: Column, counts: str, summary: Column, context: Column,
+    options: Options = DEFAULT_OPTIONS,
 ) -> Column:
     """``struct<observations, risks, remediation>``, three sentences each."""
     return F.struct(
         F.array(
             F.format_string(OBSERVATION_LEVEL, level, score),
             F.format_string(OBSERVATION_TOTAL, total(counts), category_list(counts, NO_CATEGORIES)),
-            F.format_string(OBSERVATION_COUNTS, counts_text(counts), context_sentence(context)),
+            F.format_string(OBSERVATION_COUNTS, counts_text(counts), context_sentence(context, options)),
         ).alias("observations"),
         F.array(
-            F.format_string(RISK_DRIVER, reason), F.lit(RISK_UNMASKED), summary_risk(summary)
+            F.format_string(RISK_DRIVER, reason), F.lit(RISK_UNMASKED), summary_risk(summary, options)
         ).alias("risks"),
         F.array(*[F.lit(s) for s in REMEDIATION]).alias("remediation"),
     )

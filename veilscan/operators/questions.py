@@ -48,7 +48,6 @@ ANSWER_DEFAULT = (
     "risk level, and a score of %d. Ask about risks, sensitive data, summary, findings, or "
     "remediation for more detail."
 )
-EXCERPT_CHARS = 900
 
 
 def route_by_words(question: Column) -> Column:
@@ -133,7 +132,7 @@ def answer_questions(
             F.col("route") == "summary",
             F.format_string(
                 ANSWER_SUMMARY, level, total(counts), category_list(counts, "none"),
-                F.substring(compact(F.col("masked_text")), 1, EXCERPT_CHARS),
+                F.substring(compact(F.col("masked_text")), 1, options.excerpt_chars),
             ),
         )
         .when(F.col("route") == "remediation", F.format_string(ANSWER_REMEDIATION, bullets(F.col("playbook.remediation"))))

@@ -75,7 +75,7 @@ def failed(results: DataFrame) -> DataFrame:
     return results.where(F.col("status") != SUCCESS)
 
 
-def with_playbook(results: DataFrame) -> DataFrame:
+def with_playbook(results: DataFrame, options: Options = DEFAULT_OPTIONS) -> DataFrame:
     """Add ``summary, context, playbook``.
 
     A ``summary`` or ``context`` column already present (say, written by a model) is
@@ -89,7 +89,7 @@ def with_playbook(results: DataFrame) -> DataFrame:
     if "context" in results.columns:
         context = F.coalesce("context", context)
     texts = results.withColumns({"summary": summary, "context": context})
-    return texts.withColumn("playbook", narrative.playbook(*cols, F.col("summary"), F.col("context")))
+    return texts.withColumn("playbook", narrative.playbook(*cols, F.col("summary"), F.col("context"), options))
 
 
 def with_report(books: DataFrame, timed: bool = False) -> DataFrame:

@@ -185,6 +185,10 @@ class Options:
     sentence_limit: int = 4
     sentence_chars: int = 600
     source_chars: int = 1600
+    excerpt_chars: int = 900
+    context_short: int = 180
+    context_chars: int = 260
+    risk_chars: int = 360
 
 
 DEFAULT_OPTIONS = Options()
