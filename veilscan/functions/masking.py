@@ -81,17 +81,18 @@ def mask_text(text: str, findings: str) -> Column:
         f"'low', least(e.start + {owed.format(debt='debt', e='e')}, e.following), "
         "'start', e.start, 'following', e.following))"
     )
-    # Windows keep the search for a character position short in long texts.
-    render = let(
-        "base", "element_at(run, 1).start",
-        let(
-            "part_text", f"substring({text}, base + 1, element_at(run, -1).following - base)",
-            "array_join(transform(run, p -> concat(p.mask, "
-            "substring(part_text, p.low - base + 1, p.following - p.low))), '')",
-        ),
-    )
-    body = (
-        f"concat(substring({text}, 1, element_at(edits_, 1).start), "
-        f"array_join({let('pieces_', pieces, f'transform({in_blocks("pieces_", BLOCK)}, run -> {render})')}, ''))"
-    )
+    # A position is found by walking from the beginning, so the text is cut into windows, and these again.
+    def windows(pieces: str, size: int, name: str, source: str, offset: str, inner) -> str:
+        base, cut = f"{name}base", f"{name}text"
+        inside = let(base, f"element_at({name}, 1).start", let(
+            cut, f"substring({source}, {base} - {offset} + 1, element_at({name}, -1).following - {base})", inner(name, cut, base)
+        ))
+        return f"array_join(transform({in_blocks(pieces, size)}, {name} -> {inside}), '')"
+
+    def rendered(run: str, source: str, offset: str) -> str:
+        one = f"p -> concat(p.mask, substring({source}, p.low - {offset} + 1, p.following - p.low))"
+        return f"array_join(transform({run}, {one}), '')"
+
+    whole = windows("pieces_", BLOCK * BLOCK, "wide_", text, "0", lambda wide, source, offset: windows(wide, BLOCK, "run_", source, offset, rendered))
+    body = f"concat(substring({text}, 1, element_at(edits_, 1).start), {let('pieces_', pieces, whole)})"
     return F.expr(f"case when size({findings}) > 0 then {let('edits_', edits, body)} else {text} end")
