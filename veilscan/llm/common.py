@@ -7,6 +7,7 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -113,12 +114,25 @@ def strings(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+@lru_cache(maxsize=1)
+def give_back() -> None:
+    """Makes the process return large arrays to the system as soon as they are freed: workers live long, and several
+    of them share an executor's memory."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it; -3 stands for the size from which on
+        ctypes.CDLL(None).mallopt(-3, LARGE)
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    give_back()
     for batch in batches:
         for start in range(0, batch.num_rows, size):
             yield batch.slice(start, size)
 
 
+#: Bytes from which on an array is large.
+LARGE = 1 << 22
+
 _kept: dict[str, object] = {}
 
 

@@ -11,11 +11,11 @@ Sets of n-grams are kept as 64-bit hashes in one global order (the hash). The jo
    equal beginnings once. Each set walks down the trie with the overlap so far shared by all sets below;
    a subtree is left when the elements that remain can't bring the overlap up to what is needed, or when all
    its sets are known to be in the same component.
-   At first each set meets only its largest star.
+   At first each set meets only its largest star. Before sets move, those of a block are held against each other by
+   their parities: one bit for some places that elements fall into, which differ in no more bits than the sets in
+   elements. Only sets that may link by these meet in prefix trees.
 3. Components. Links of all blocks are joined to components (large and small stars). In stars whose sets are still in
-   several components, sets of other components than the hub's are held against all sets of the star, at first by their
-   parities: one bit for some places that elements fall into, which differ in no more bits than the sets in elements.
-   Only sets that may link by these meet again, in prefix trees.
+   several components, sets of other components than the hub's meet all sets of the star, in the same two steps.
 
 Documents with equal sets are one set from the start. No pairs of a group are listed.
 
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DataType, StructField, StructType
 
-from veilscan.llm.common import Memo, blobs, bucketed, fresh, kept, mixed, pick, slices, stored
+from veilscan.llm.common import Memo, blobs, bucketed, fresh, give_back, kept, mixed, pick, slices, stored
 
 #: A block of a star holds about so many sets and so many elements.
 BLOCK_SETS, BLOCK_ELEMENTS = 1024, 2_000_000
@@ -47,7 +47,7 @@ PARITY_STEP = 1 << 21
 #: Bits of the filter that says which documents may be needed again (2 MB, whatever the input).
 FILTER_BITS = 1 << 24
 #: Keys of a partition that are sorted at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: Elements compared between two looks at the bound.
 STRIDE = 64
 U = np.uint64
@@ -130,7 +130,7 @@ def blocking_keys(values: np.ndarray, rule: Rule) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Per document: doc_id, n (size of its set), node (digest of the set)."""
+    """Per document: doc_id, n (size of its set), node (digest of the set), bits (its parities)."""
     id_, text = pick(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,10 +138,11 @@ def document_sets(docs: DataFrame, rule: Rule) -> DataFrame:
         for part in slices(batches):
             sets = [word_set(t, memo, rule.words) for t in blobs(part.column(1))]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.binary())], names=["doc_id", "n", "node"]
+                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.binary()), pa.array([parities(s) for s in sets], pa.binary())],
+                names=["doc_id", "n", "node", "bits"],
             )
 
-    return docs.select(id_.cast("long").alias("doc_id"), text.cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, node binary")
+    return docs.select(id_.cast("long").alias("doc_id"), text.cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, node binary, bits binary")
 
 
 def candidate_edges(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -215,6 +216,7 @@ def candidate_edges(docs: DataFrame, rule: Rule) -> DataFrame:
             )
 
         held = 0
+        give_back()
         for batch in batches:
             for keys, index, nodes in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
                 keys = unpacked(keys)
@@ -387,6 +389,7 @@ def tree_join(blocks: DataFrame, rule: Rule, *keys: str) -> DataFrame:
     """Links (a, b) within each block; blocks has the key columns, node, label and values (the set)."""
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         first: dict[bytes, int] = {}
         for k, node in enumerate(table.column("node").to_pylist()):
             first.setdefault(node, k)
@@ -446,7 +449,7 @@ def maybe_in(docs: DataFrame, bitmap: np.ndarray, column: str = "doc_id") -> tup
 
 
 def wanted_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """(node, n, values, bits) of the given nodes, computed again from one document each."""
+    """(node, n, values) of the given nodes, computed again from one document each."""
     one = classes.where("n > 0").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     id_, text = pick(docs, "doc_id", "text")
     chosen, flag = maybe_in(docs.select(id_.cast("long").alias("doc_id"), text.cast("string").alias("text")), id_filter(one, "doc_id"))
@@ -456,11 +459,11 @@ def wanted_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, rule: Rul
         for part in slices(batches):
             sets = [word_set(t, memo, rule.words) for t in blobs(part.column(0))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([node_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([packed(s) for s in sets], pa.binary()), pa.array([parities(s) for s in sets], pa.binary())],
-                names=["node", "n", "values", "bits"],
+                [pa.array([node_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([packed(s) for s in sets], pa.binary())],
+                names=["node", "n", "values"],
             )
 
-    sets = chosen.where(flag).select("text").mapInArrow(run, "node binary, n long, values binary, bits binary")
+    sets = chosen.where(flag).select("text").mapInArrow(run, "node binary, n long, values binary")
     one_each = Window.partitionBy("node").orderBy("n")
     return sets.join(nodes, "node", "left_semi").withColumn("nth", F.row_number().over(one_each)).where("nth = 1").drop("nth")
 
@@ -484,18 +487,20 @@ def crossed(split: DataFrame, most_sets: int, most_elements: int) -> DataFrame:
     return stored_rows.unionByName(asked.where("b != own").select("hub", "node", "label", "a", "b", F.lit(True).alias("asks")))
 
 
-def partnered(split: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The rows of split whose set may link with another of its star, judged by parities: a small part of a set's bytes moves."""
-    rows = crossed(split, PARITY_SETS, PARITY_ELEMENTS).join(sets.select("node", "n", "bits"), "node")
+def partners(rows: DataFrame, marks: DataFrame, rule: Rule, *keys: str) -> DataFrame:
+    """The rows (with hub, node, label, asks) of blocks, named by keys, whose set may link with another of its block, judged by
+    parities: a small part of a set's bytes moves."""
+    rows = rows.join(marks.select("node", "n", "bits"), "node")
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         names: dict[bytes, int] = {}
         labels = np.fromiter((names.setdefault(x, len(names)) for x in table.column("label").to_pylist()), np.int64, table.num_rows)
         found = possible_partners(np.asarray(table.column("n")), table.column("bits").to_pylist(), labels, np.asarray(table.column("asks")), rule)
-        return table.select(["hub", "node"]).filter(pa.array(found))
+        return table.select([*keys, "node"]).filter(pa.array(found))
 
-    kept = rows.groupBy("hub", "a", "b").applyInArrow(run, "hub binary, node binary").distinct()
-    return split.join(kept, ["hub", "node"], "left_semi")
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.groupBy(*keys).applyInArrow(run, f"{kinds}, node binary")
 
 
 def set_links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame | None:
@@ -504,8 +509,9 @@ def set_links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame | No
     if edges.isEmpty():
         return None
     nodes = edges.select("node").unionByName(edges.select(F.col("hub").alias("node"))).distinct()
-    sets = bucketed(wanted_sets(docs, classes, nodes, rule), "sets", "node")
-    sizes = sets.select("node", "n")
+    one_each = classes.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    marks = bucketed(one_each.join(nodes, "node", "left_semi"), "marks", "node")
+    sizes = marks.select("node", "n")
     # a star holds its hub too
     members = edges.unionByName(edges.select("hub", F.col("hub").alias("node")).distinct()).join(sizes, "node")
     counts = members.groupBy("hub").agg(F.count("*").alias("sets"), F.sum("n").alias("elements"))
@@ -516,23 +522,23 @@ def set_links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame | No
     home = members.groupBy("node").agg(F.max_by(F.struct("hub", "blocks"), F.struct("sets", "hub")).alias("home")).select("node", "home.*")
     placed = home.select("hub", "node", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
     hubs = placed.select("hub", F.col("hub").alias("node"), "block").distinct()
-    filled = placed.unionByName(hubs).distinct().join(sets.select("node", "values"), "node").withColumn("label", F.lit(None).cast("binary"))
-    links = stored(tree_join(filled, rule, "hub", "block"), "links")
+    filled = placed.unionByName(hubs).distinct().select("*", F.col("node").alias("label"), F.lit(True).alias("asks"))
+    filled = stored(partners(filled, marks, rule, "hub", "block"), "filled")
+    sets = stored(wanted_sets(docs, classes, filled.select("node").distinct(), rule), "sets").select("node", "values")
+    links = stored(tree_join(filled.join(sets, "node").withColumn("label", F.lit(None).cast("binary")), rule, "hub", "block"), "links")
     labels = stored(components(links), "labels")
 
     # then stars whose sets aren't all connected: what isn't with the hub meets all blocks of the star
-    split = members.join(labels, "node", "left").select("hub", "node", "n", "blocks", F.coalesce("label", "node").alias("label"))
+    split = members.join(labels, "node", "left").select("hub", "node", "n", F.coalesce("label", "node").alias("label"))
     main = split.where("hub = node").select("hub", F.col("label").alias("main"))
-    split = split.join(main, "hub").select("hub", "node", "n", "label", (F.col("label") != F.col("main")).alias("apart"))
-    split = stored(split, "split")
+    split = stored(split.join(main, "hub").select("hub", "node", "n", "label", (F.col("label") != F.col("main")).alias("apart")), "split")
+    possible = partners(crossed(split, PARITY_SETS, PARITY_ELEMENTS), marks, rule, "hub", "a", "b").select("hub", "node").distinct()
+    split = stored(split.join(possible, ["hub", "node"], "left_semi"), "partnered")
     if split.where("apart").isEmpty():
         return labels
-    split = stored(partnered(split, sets, rule), "partnered")
-    if split.where("apart").isEmpty():
-        return labels
-    blocks = crossed(split, BLOCK_SETS, BLOCK_ELEMENTS).drop("asks").join(sets.select("node", "values"), "node")
-    more = tree_join(blocks, rule, "hub", "a", "b")
-    return stored(components(links.unionByName(more)), "labels")
+    more = wanted_sets(docs, classes, split.select("node").distinct(), rule).select("node", "values")
+    blocks = crossed(split, BLOCK_SETS, BLOCK_ELEMENTS).drop("asks").join(more, "node")
+    return stored(components(links.unionByName(tree_join(blocks, rule, "hub", "a", "b"))), "labels")
 
 
 def labelled(docs: DataFrame, rule: Rule) -> DataFrame:
