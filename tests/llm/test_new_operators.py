@@ -69,9 +69,9 @@ def vectors():
     return [*rows, *copies, copies[0], *((900 + k, "hot", v) for k, v in enumerate(odd)), (950, None, [1.0] * 6), (951, "0", [1.0] * 6)]
 
 
-@pytest.mark.parametrize("grid", [grid_order.Grid(block=32, leaf=8, fan=3, axes=3), grid_order.Grid()])
-def test_grid_order_join_equals_all_pairs(spark, grid):
-    rows = vectors()
+def test_grid_order_join_equals_all_pairs(spark):
+    """In blocks so small that intervals nest on several levels."""
+    grid, rows = grid_order.Grid(block=32, leaf=8, fan=3, axes=3), vectors()
     df = spark.createDataFrame([(*r, 0.5, "x") for r in rows], "vec_id long, label string, embedding array<double>, n_links double, key string")
     got = sorted((tuple(r) for r in grid_order.near_duplicates(df, grid).collect()), key=str)
     assert got == all_pairs(rows, grid.least)
@@ -152,7 +152,7 @@ def documents(n):
     return [*rows, rows[0], (None, "hot", None, None, "a\nb"), (7, "hot", "en", 1, "again\n")]
 
 
-@pytest.mark.parametrize("power", [1, 2, 8])
+@pytest.mark.parametrize("power", [1, 8])
 def test_manifest_equals_plain_tree(spark, power):
     rows = documents(120)
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, source string, lang string, n_chars long, text string, rank int, root string")

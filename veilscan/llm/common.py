@@ -62,7 +62,10 @@ def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(buckets, by).option("path", path).saveAsTable(table)
     spark.sparkContext._jvm.System.gc()
-    return spark.table(table)
+    opened = spark.table(table)
+    # the files stay, and with them what has been read from the catalog
+    spark.sql(f"drop table {table}")
+    return opened
 
 
 def ranked(df: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
