@@ -60,3 +60,36 @@ def test_index_of_nothing(spark):
     index = fit_index(chunks)
     asked = chunks.select(F.col("chunk_no").alias("q_id"), "doc_id", F.col("vector").alias("q_vector"))
     assert nearest_indexed(asked, indexed_chunks(chunks, index), index).count() == 0
+
+
+@pytest.mark.parametrize("block", [16384, 100])
+def test_no_row_for_a_pair(spark, block):
+    """Copies, numbers that come twice, and vectors without a place: the same rows as over pairs, which are not made."""
+    chunks = vectors(spark, True).unionByName(
+        spark.sql("select 1 as doc_id, id + 5000 as chunk_no, transform(sequence(1, 24), x -> cast(0.5 as float)) as vector from range(300)")
+    )
+    index = fit_index(chunks)
+    odd = spark.createDataFrame(
+        [(1, 9001, None), (1, 9002, [None] * 24), (1, 9003, [float("nan")] * 24), (1, 9004, [1.0]), (None, 9005, [0.5] * 24), (1, None, [0.5] * 24)],
+        chunks.schema,
+    )
+    rows = chunks.unionByName(odd)
+    asked = rows.where("chunk_no % 7 = 0 or chunk_no > 5290").select((F.col("chunk_no") % 1000).alias("q_id"), "doc_id", F.col("vector").alias("q_vector"))
+    near = nearest_indexed(asked, indexed_chunks(rows, index), index, k=5, block=block)
+    plan = plan_of(near)
+    assert "FlatMapCoGroupsInArrow" in plan
+    got = {(r.q_id, r["rank"]): (r.doc_id, r.chunk_no, r.distance) for r in near.collect()}
+    right = rows.where("chunk_no is null or chunk_no not between 9001 and 9004")
+    pairs = compared_chunks(asked.where("size(q_vector) = 24 and not isnan(q_vector[0]) and q_vector[0] is not null"), indexed_chunks(right, index), index)
+    by: dict = {}
+    for r in pairs.collect():
+        by.setdefault(r.q_id, []).append((r.distance, r.chunk_no is not None, r.chunk_no, r.doc_id))
+    want = {(q, i + 1): (d, n, s) for q, found in by.items() for i, (s, _, n, d) in enumerate(sorted(found, key=lambda x: x[:2] + (x[2] or 0,))[:5])}
+    assert got.keys() == want.keys()
+    assert all(got[at][1:] == want[at][1:] for at in want)
+
+
+def test_vectors_without_a_place_do_not_stop_the_fit(spark):
+    chunks = vectors(spark, True).limit(50)
+    odd = spark.createDataFrame([(1, 9001, None), (1, 9002, [None] * 24), (1, 9003, [float("inf")] * 24), (1, 9004, [1.0])], chunks.schema)
+    assert np.isfinite(fit_index(chunks.unionByName(odd)).medians).all()
