@@ -11,6 +11,8 @@ from veilscan.functions.text import LUHN_SQL, sql_text, strip_sql
 from veilscan.settings import Gate, Rule
 
 NO_TEXT = "cast(array() as array<string>)"
+#: Put around matches; a text that holds it itself is cut by patterns instead.
+MARK = "\ue000"
 
 
 def all_matches(text: str, rule: Rule, group: int = 0) -> str:
@@ -35,23 +37,66 @@ def hits_sql(text: str, rule: Rule, possible: list[str]) -> str:
     return f"case when {' and '.join(possible)} then {hits} else {NO_TEXT} end"
 
 
-def rule_hits(text: str, rule: Rule, prefilter: bool = True, gate: str | None = None) -> Column:
-    """Matches of a rule; ``gate`` names a column that says whether to try."""
+def possible_sql(text: str, rule: Rule, prefilter: bool, gate: str | None) -> list[str]:
+    """What must hold for a text to have a match."""
     possible = [gate] if gate else []
     if prefilter and rule.needs:
         found = " or ".join(f"contains({text}, {sql_text(literal)})" for literal in rule.needs)
         possible.append(f"({found})")
-    return F.expr(hits_sql(text, rule, possible))
+    return possible
+
+
+def rule_hits(text: str, rule: Rule, prefilter: bool = True, gate: str | None = None) -> Column:
+    """Matches of a rule; ``gate`` names a column that says whether to try."""
+    return F.expr(hits_sql(text, rule, possible_sql(text, rule, prefilter, gate)))
+
+
+def rule_marks(text: str, rule: Rule, prefilter: bool = True, gate: str | None = None) -> Column:
+    """The text with marks around the matches of a rule."""
+    return F.expr(marked_sql(text, rule, possible_sql(text, rule, prefilter, gate)))
+
+
+def marked_sql(text: str, rule: Rule, possible: list[str]) -> str:
+    """The text with marks around every leftmost, non-overlapping match, and around its groups; NULL where none is possible.
+
+    The pattern walks the text once.  NULL too for a text that holds the mark itself.
+    """
+    pattern, marks = rule.pattern, f"{MARK}$0{MARK}"
+    if rule.grouped:
+        pattern = pattern[: len(pattern) - len(rule.after)] + f"({rule.after})"
+        marks = f"{MARK}$1{MARK}$2{MARK}$3{MARK}"
+    marked = f"regexp_replace({text}, {sql_text(pattern)}, {sql_text(marks)})"
+    return f"case when {' and '.join([*possible, f'not contains({text}, {sql_text(MARK)})'])} then {marked} end"
 
 
-def parts_sql(text: str, rule: Rule, hits: str) -> str:
+def parts_sql(text: str, rule: Rule, marked: str, unmarked: str) -> str:
     """``struct<category, parts>`` of one rule; parts hold (gap, hit, lead, value).
 
     ``gap`` is the text between the previous match and this one, ``lead`` the part of
-    the match before the reported value.  Splitting at the pattern walks the text
-    exactly as the extraction does, so lengths of gaps and hits add up to offsets
-    without asking the regex engine for positions.  Texts without a hit are not split.
+    the match before the reported value.  Lengths of gaps and hits add up to offsets
+    without asking the regex engine for positions.  ``unmarked`` is SQL that tells
+    texts which hold the mark themselves; texts without a hit are not split.
     """
+    step = 4 if rule.grouped else 2
+
+    def piece(n: int) -> str:
+        return f"pieces_[{step} * i + {n}]"
+
+    if rule.grouped:
+        fields = f"'hit', length({piece(1)}) + length({piece(2)}) + length({piece(3)}), 'lead', length({piece(1)}), 'value', {piece(2)}"
+    else:
+        fields = f"'hit', length({piece(1)}), 'lead', 0, 'value', {piece(1)}"
+    cut = let(
+        "pieces_", f"split({marked}, {sql_text(MARK)}, -1)",
+        f"transform(sequence(0, cast(size(pieces_) div {step} as int) - 1), i -> named_struct('gap', length({piece(0)}), {fields}))",
+    )
+    parts = f"case when {unmarked} then {split_parts_sql(text, rule)} when contains({marked}, {sql_text(MARK)}) then {cut} end"
+    return f"named_struct('category', {sql_text(rule.category)}, 'parts', {parts})"
+
+
+def split_parts_sql(text: str, rule: Rule) -> str:
+    """The same parts, by splitting the text at the pattern, which walks it as the extraction does."""
+    hits = "hits_"
     gaps = f"slice(split({text}, {sql_text(rule.pattern)}, -1), 1, size({hits}))"
     if rule.grouped:
         lead, value = all_matches(text, rule, 1), all_matches(text, rule, 2)
@@ -62,7 +107,7 @@ def parts_sql(text: str, rule: Rule, hits: str) -> str:
         f"zip_with({lead}, {value}, (l, v) -> named_struct('lead', length(l), 'value', v)), "
         f"(a, b) -> named_struct('gap', a.gap, 'hit', a.hit, 'lead', b.lead, 'value', b.value))"
     )
-    return f"named_struct('category', {sql_text(rule.category)}, 'parts', case when size({hits}) > 0 then {parts} end)"
+    return let(hits, all_matches(text, rule), f"case when size({hits}) > 0 then {parts} end")
 
 
 def number_sql(text: str, rule: Rule, hits: str) -> str:
@@ -86,7 +131,8 @@ def spans_sql(matched: str, rules: tuple[Rule, ...]) -> str:
         "named_struct('start', start_, 'category', m.category, 'end', start_ + length(w.part.value), "
         f"'value', {strip_sql('w.part.value')}, 'masked_value', {mask_sql('m.category', 'w.part.value', rules)})",
     )
-    placed = f"zip_with(m.parts, {running_state('m.parts', 's + x.gap + x.hit')}, (part, at) -> named_struct('part', part, 'at', at))"
+    begins = f"if(size(m.parts) = 1, array(0), {running_state('m.parts', 's + x.gap + x.hit')})"
+    placed = f"zip_with(m.parts, {begins}, (part, at) -> named_struct('part', part, 'at', at))"
     spans = f"flatten(transform({matched}, m -> transform({placed}, w -> {span})))"
     for r in rules:
         known_check(r)
