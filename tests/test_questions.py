@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import random
 import re
+from collections import defaultdict
 
 from pyspark.sql import functions as F
 
@@ -172,3 +174,32 @@ def test_context_and_request(spark):
     row = context.first()
     assert row.context == "beta\n\nalpha" and row.sources == ["beta", "alpha"]
     assert question_requests(context, questions).first().prompt.endswith("Passages:\nbeta\n\nalpha\n\nQuestion:\nwhy?")
+
+
+def test_questions_meet_blocks_of_sentences(spark, tmp_path):
+    """Common and rare terms over several blocks of both sides, keys and questions that come twice or are null."""
+    rng = random.Random(5)
+    common, rare = ["tion", "ment", "thing", "alpha"], [f"w{i:03d}x" for i in range(400)]
+    texts = [" ".join(rng.choices(common, k=3) + rng.choices(rare, k=3)) + "." for _ in range(1500)]
+    rows = [(None if i % 97 == 0 else i // 2, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = [(None if q % 50 == 0 else q // 2, " ".join(rng.sample(common, 3) + rng.choices(rare, k=5) + [f"{i}x" for i in range(10 + q % 2)])) for q in range(200)]
+    asked.append((900, " ".join(rare) + " thi"))
+    questions = spark.createDataFrame(asked, "q_id long, question string")
+    index = build_sentence_index(docs, str(tmp_path / "index"), text="text", block=200)
+    best = corpus_sentences(questions, index, asked_block=60)
+    plan = plan_of(best)
+    assert "FlatMapCoGroupsInArrow" in plan and "NestedLoop" not in plan
+    terms, words, sentences = defaultdict(list), defaultdict(set), defaultdict(list)
+    for q, question in asked:
+        terms[q] += {t for t in question.split() if len(t) > 2}
+    for key, text in rows:
+        words[key].add(text)
+        sentences[key].append(text)
+    want = []
+    for q, own in terms.items():
+        score = {k: sum(any(t in text for text in found) for t in own) for k, found in words.items()}
+        ranked = sorted((-n, k is not None, k or 0) for k, n in score.items() if n)[:4]
+        want += [(q, i + 1, -n, k, text) for i, (n, known, k) in enumerate(ranked) if known for text in sentences[k]]
+    got = [(r.q_id, r["rank"], r.score, r.doc_id, r.sentence) for r in best.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -3,30 +3,47 @@
 A question's terms count where they occur in a sentence, inside words too.  Terms hold no white space, so an occurrence
 lies within one word.  The index therefore has a dictionary of the corpus's distinct words, postings that say in which
 sentences a word stands, and postings that say in which dictionary words a run of three characters stands.  A term finds
-its words through the rarest of its runs, checks them, and goes on to the sentences by equality of words: no question
-meets a sentence that shares nothing with it.
+its words through the rarest of its runs, checks them, and goes on to the sentences by equality of words.
+
+Common terms stand in most sentences, so pairs of questions and sentences never become rows.  Sentences are dealt into
+blocks of bounded size, and so are questions.  Within a block a term is a bitmap of sentences; a question's scores are the
+sum of its bitmaps, kept as binary digits, of which the best few sentences are read off.  Every question meets every
+block: the work grows with questions times sentences, 64 of these at a time, and memory with a block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilscan.functions.text import compact_sql, search_terms, sentences_sql
 from veilscan.settings import DEFAULT_OPTIONS, Options
 
+#: Sentences, and questions, of one task, about.
+BLOCK, ASKED = 1 << 16, 1 << 15
+#: Hits of a term in a sentence, about, that are written out at once.
+HITS = 1 << 21
+
 #: Every run of three characters of a string, overlapping ones too.
 RUNS = "array_distinct(regexp_extract_all({}, '(?s)(?=(.{{3}}))', 1))"
 
 
 @dataclass(frozen=True)
 class SentenceIndex:
-    """``sentences(key, pos, sentence)``, ``postings(word, key, pos)``, ``runs(run, word)``."""
+    """``sentences(key, pos, sentence)``, ``postings(word, block, place)``, ``places(block, place, key, pos)``, ``runs(run, word)``.
+
+    Places number the different keys and positions of a block, in their order.
+    """
 
     sentences: DataFrame
     postings: DataFrame
+    places: DataFrame
     runs: DataFrame
 
 
@@ -40,24 +57,29 @@ def sentence_rows(
 
 
 def build_sentence_index(
-    docs: DataFrame, folder: str, key: str = "doc_id", text: str = "masked_text", options: Options = DEFAULT_OPTIONS
+    docs: DataFrame, folder: str, key: str = "doc_id", text: str = "masked_text", options: Options = DEFAULT_OPTIONS, block: int = BLOCK
 ) -> SentenceIndex:
     """Write the index of documents below a shared folder and open it.
 
-    The texts are read once; postings and dictionary come from the written sentences.
+    The texts are read once; postings and dictionary come from the written sentences, of which a block holds about ``block``.
     """
     spark = docs.sparkSession
     sentence_rows(docs, key, text, options).write.parquet(f"{folder}/sentences")
     rows = spark.read.parquet(f"{folder}/sentences")
-    rows.select(F.explode("words").alias("word"), key, "pos").write.parquet(f"{folder}/postings")
+    blocks = -(-rows.count() // block) or 1
+    order = Window.partitionBy("block").orderBy(key, "pos")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(key, "pos"), F.lit(blocks)).cast("int"))
+    placed = dealt.withColumn("place", F.dense_rank().over(order) - 1)
+    placed.select("block", "place", key, "pos").distinct().write.parquet(f"{folder}/places")
+    placed.select(F.explode("words").alias("word"), "block", "place").write.parquet(f"{folder}/postings")
     dictionary = spark.read.parquet(f"{folder}/postings").select("word").distinct()
     dictionary.select(F.explode(F.expr(RUNS.format("word"))).alias("run"), "word").write.parquet(f"{folder}/runs")
     return open_sentence_index(spark, folder)
 
 
 def open_sentence_index(spark: SparkSession, folder: str) -> SentenceIndex:
-    sentences, postings, runs = (spark.read.parquet(f"{folder}/{name}") for name in ("sentences", "postings", "runs"))
-    return SentenceIndex(sentences.drop("words"), postings, runs)
+    sentences, postings, places, runs = (spark.read.parquet(f"{folder}/{name}") for name in ("sentences", "postings", "places", "runs"))
+    return SentenceIndex(sentences.drop("words"), postings, places, runs)
 
 
 def words_with_terms(terms: DataFrame, index: SentenceIndex) -> DataFrame:
@@ -70,19 +92,156 @@ def words_with_terms(terms: DataFrame, index: SentenceIndex) -> DataFrame:
     return candidates.where(F.contains("word", "term")).select("term", "word")
 
 
+def best_in_block(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of a block of words and one of questions, the k best sentences of each question.
+
+    The functions stand inside, so that they go to the tasks by value and these need not find this package.
+    """
+
+    def summed(planes: list[list[np.ndarray]]) -> list[np.ndarray]:
+        """The sum of bitmaps, as binary digits; ``planes[i]`` holds bitmaps that count 2 to the power i."""
+        digits, level = [], 0
+        while level < len(planes):
+            todo = planes[level]
+            more = planes[level + 1] if level + 1 < len(planes) else []
+            while len(todo) > 1:
+                a, b, c = todo.pop(), todo.pop(), todo.pop() if todo else None
+                odd = a ^ b
+                carry = a & b
+                if c is not None:
+                    carry |= odd & c
+                    odd = odd ^ c
+                todo.append(odd)
+                more.append(carry)
+            digits.append(todo[0] if todo else None)
+            if more and level + 1 == len(planes):
+                planes.append(more)
+            level += 1
+        return digits
+
+    def best_places(digits: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k places of the largest sums above 0, ties to smaller places, and these sums."""
+        sure, even, need = None, None, k
+        for digit in reversed(digits):
+            if digit is None:
+                continue
+            with_it = digit if even is None else even & digit
+            n = int(np.bitwise_count(with_it).sum())
+            if n > need:
+                even = with_it
+            elif n:
+                sure = with_it if sure is None else sure | with_it
+                need -= n
+                even = ~digit if even is None else even & ~digit
+                if not need:
+                    break
+
+        def places(bits: np.ndarray, most: int) -> np.ndarray:
+            words = np.flatnonzero(bits)[:most]
+            return (
+                np.flatnonzero(np.unpackbits(bits[words].view(np.uint8), bitorder="little")) % 64
+                + 64 * np.repeat(words, np.bitwise_count(bits[words]))
+            )[:most]
+
+        found = places(sure, k) if sure is not None else np.zeros(0, int)
+        if need and even is not None:
+            found = np.r_[found, places(even, need)]
+        score = np.zeros(len(found), int)
+        for i, digit in enumerate(digits):
+            if digit is not None:
+                score += ((digit[found >> 6] >> (found & 63).astype(np.uint64)) & np.uint64(1)).astype(int) << i
+        return found[score > 0], score[score > 0]
+
+    def run(words: pa.Table, asked: pa.Table) -> pa.Table:
+        schema = pa.schema([("q_id", asked["q_id"].type), ("block", pa.int32()), ("place", pa.int32()), ("score", pa.int32())])
+        if not words.num_rows or not asked.num_rows:
+            return schema.empty_table()
+        # term and sentence of every hit, each once
+        terms, places = words["terms"].combine_chunks(), words["places"].combine_chunks()
+        coded = terms.flatten().dictionary_encode()
+        names, codes = coded.dictionary, np.asarray(coded.indices).astype(np.int64)
+        many, at = np.asarray(terms.value_lengths()).astype(np.int64), np.asarray(places.flatten()).astype(np.int64)
+        size = int(at.max()) // 64 + 1
+        held = np.asarray(places.value_lengths()).astype(np.int64)
+        begin_t, begin_p = np.cumsum(many) - many, np.cumsum(held) - held
+        cut = np.cumsum(many * held) // HITS
+        hits = []
+        for rows in np.split(np.arange(len(many)), np.flatnonzero(np.diff(cut)) + 1):
+            row = np.repeat(rows, many[rows])  # of every pair of word and term
+            long = held[row]
+            of = np.repeat(begin_p[row] - (np.cumsum(long) - long), long)
+            of += np.arange(len(of))
+            own = codes[begin_t[rows[0]] : begin_t[rows[-1]] + many[rows[-1]]]
+            hits.append(np.unique(at[of] + np.repeat(own << 32, long)))
+        hits = np.concatenate(hits)
+        hits.sort()
+        hits = hits[np.r_[True, hits[1:] != hits[:-1]]]
+        first = np.searchsorted(hits, np.arange(len(names) + 1) << 32)
+        hits = (hits & 0xFFFFFFFF).astype(np.int32)
+
+        def bitmap(spots: np.ndarray) -> np.ndarray:
+            flags = np.zeros(size * 64, np.uint8)
+            flags[spots] = 1
+            return np.packbits(flags, bitorder="little").view(np.uint64)
+
+        # common terms keep their bitmap, those of a question that are rare are counted by place
+        dense = {c: bitmap(hits[first[c] : first[c + 1]]) for c in np.flatnonzero(np.diff(first) > size)}
+        lists = asked["terms"].combine_chunks()
+        wanted = lists.flatten().dictionary_encode()
+        known = np.asarray(pc.index_in(wanted.dictionary, names).fill_null(-1))[np.asarray(wanted.indices)]
+        ends = np.cumsum(np.asarray(lists.value_lengths()))
+        found = []
+        for q, (lo, hi) in enumerate(zip(np.r_[0, ends[:-1]], ends)):
+            mine = [c for c in known[lo:hi].tolist() if c >= 0]
+            planes = [[dense[c] for c in mine if c in dense]]
+            rare = [hits[first[c] : first[c + 1]] for c in mine if c not in dense]
+            if len(rare) == 1:
+                planes[0].append(bitmap(rare[0]))
+            elif rare:
+                counts = np.zeros(size * 64, np.uint8 if len(rare) < 256 else np.uint32)
+                np.add.at(counts, np.concatenate(rare), 1)
+                for i in range(int(counts.max()).bit_length()):
+                    if i == len(planes):
+                        planes.append([])
+                    planes[i].append(np.packbits(counts & (1 << i) != 0, bitorder="little").view(np.uint64))
+            if mine:
+                where, score = best_places(summed(planes), k)
+                found.append((np.full(len(where), q), where, score))
+        if not found:
+            return schema.empty_table()
+        q, where, score = map(np.concatenate, zip(*found))
+        block = np.full(len(q), words["block"][0].as_py())
+        return pa.Table.from_arrays([asked["q_id"].take(q), *(pa.array(x, pa.int32()) for x in (block, where, score))], schema=schema)
+
+    return run
+
+
 def corpus_sentences(
     questions: DataFrame, index: SentenceIndex, key: str = "doc_id", question: str = "question",
-    options: Options = DEFAULT_OPTIONS,
+    options: Options = DEFAULT_OPTIONS, asked_block: int = ASKED,
 ) -> DataFrame:
     """``(q_id, rank, score, key, pos, sentence)``: the best sentences of the whole corpus for each question.
 
-    The score is the number of question terms that the sentence contains; ties go to smaller keys and positions.  Rows
-    without text are ranked, each task passing on its best, and only the winners meet their sentence.
+    The score is the number of question terms that the sentence contains; ties go to smaller keys and positions.  A task
+    ranks the sentences of a block for its questions and gives back the best, and only the winners meet their sentence.
     """
     asked = questions.select("q_id", F.explode(search_terms(question)).alias("term"))
     found = words_with_terms(asked.select("term").distinct(), index)
-    hits = found.join(index.postings, "word").select("term", key, "pos").distinct()
-    scores = asked.join(hits, "term").groupBy("q_id", key, "pos").agg(F.count(F.lit(1)).cast("int").alias("score"))
+    last = index.places.agg(F.max("block")).first()[0]
+    sets = -(-questions.count() // asked_block) or 1
+    of_word = found.groupBy("word").agg(F.collect_list("term").alias("terms"))
+    words = index.postings.groupBy("block", "word").agg(F.collect_list("place").alias("places")).join(of_word, "word").select(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("set"), "terms", "places"
+    )
+    # other names than ``words`` has: both sides come from the questions
+    lists = asked.groupBy("q_id").agg(F.collect_list("term").alias("terms")).select(
+        "q_id", "terms", F.pmod(F.xxhash64("q_id"), F.lit(sets)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(last or 0)))
+    ).toDF("q_id", "terms", "_set", "_block")
+    q_type = questions.schema["q_id"].dataType.simpleString()
+    scores = words.groupBy("block", "set").cogroup(lists.groupBy("_block", "_set")).applyInArrow(
+        best_in_block(options.sentence_limit), f"q_id {q_type}, block int, place int, score int"
+    )
     order = Window.partitionBy("q_id").orderBy(F.desc("score"), key, "pos")
-    best = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= options.sentence_limit)
+    ranked = scores.join(index.places, ["block", "place"]).withColumn("rank", F.row_number().over(order))
+    best = ranked.where(F.col("rank") <= options.sentence_limit)
     return best.join(index.sentences, [key, "pos"]).select("q_id", "rank", "score", key, "pos", "sentence")
