@@ -163,6 +163,11 @@ def best_in_block(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         many, at = np.asarray(terms.value_lengths()).astype(np.int64), np.asarray(places.flatten()).astype(np.int64)
         size = int(at.max()) // 64 + 1
         held = np.asarray(places.value_lengths()).astype(np.int64)
+
+        def each_once(values: np.ndarray) -> np.ndarray:
+            values.sort()  # np.unique hashes, which takes many times longer here
+            return values[np.r_[True, values[1:] != values[:-1]]]
+
         begin_t, begin_p = np.cumsum(many) - many, np.cumsum(held) - held
         cut = np.cumsum(many * held) // HITS
         hits = []
@@ -172,10 +177,8 @@ def best_in_block(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             of = np.repeat(begin_p[row] - (np.cumsum(long) - long), long)
             of += np.arange(len(of))
             own = codes[begin_t[rows[0]] : begin_t[rows[-1]] + many[rows[-1]]]
-            hits.append(np.unique(at[of] + np.repeat(own << 32, long)))
-        hits = np.concatenate(hits)
-        hits.sort()
-        hits = hits[np.r_[True, hits[1:] != hits[:-1]]]
+            hits.append(each_once(at[of] + np.repeat(own << 32, long)))
+        hits = each_once(np.concatenate(hits))
         first = np.searchsorted(hits, np.arange(len(names) + 1) << 32)
         hits = (hits & 0xFFFFFFFF).astype(np.int32)
 
@@ -198,8 +201,7 @@ def best_in_block(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             if len(rare) == 1:
                 planes[0].append(bitmap(rare[0]))
             elif rare:
-                counts = np.zeros(size * 64, np.uint8 if len(rare) < 256 else np.uint32)
-                np.add.at(counts, np.concatenate(rare), 1)
+                counts = np.bincount(np.concatenate(rare), minlength=size * 64).astype(np.uint8 if len(rare) < 256 else np.uint32)
                 for i in range(int(counts.max()).bit_length()):
                     if i == len(planes):
                         planes.append([])
