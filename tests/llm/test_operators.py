@@ -225,6 +225,58 @@ def test_parities_miss_no_partner():
     assert not jaccard.possible_partners(sizes, bits, np.arange(len(sets)), ~everything, rule).any()
 
 
+@pytest.mark.parametrize("rule", [jaccard.Rule(3, 90, 100), jaccard.Rule(5, 80, 100)])
+def test_blocking_keys_are_few_and_linked_sets_share_one(rule):
+    random, linked = np.random.default_rng(2), 0
+    for _ in range(2000):
+        base = np.unique(random.integers(0, 2**64, int(random.integers(1, 400)), dtype=np.uint64))
+        gone, new = (int(random.integers(0, max(1, len(base) * (rule.den - rule.num) // rule.num) + 1)) for _ in "xy")
+        other = np.unique(np.concatenate([random.permutation(base)[gone * int(random.integers(2)) :], random.integers(0, 2**64, new * int(random.integers(2)), dtype=np.uint64)]))
+        both = len(np.intersect1d(base, other))
+        keys = [jaccard.blocking_keys(s, rule) for s in (base, other) if len(s)]
+        # a linked set is at most den / num times as large: as many keys for it and for sets of equal size, and one more each
+        for s, k in zip((base, other), keys):
+            assert len(k) <= 2 * rule.differing(len(s) + rule.den * len(s) // rule.num) + 2
+        if len(other) and rule.den * both >= rule.num * (len(base) + len(other) - both):
+            linked += 1
+            assert len(np.intersect1d(*keys))
+    assert linked > 500
+
+
+def test_dealt_keys_stay_small_in_many_partitions(spark):
+    random = np.random.default_rng(3)
+    texts = [(" ".join(f"w{x}" for x in random.integers(0, 5000, 150)),) for _ in range(60)]
+    docs, rule, size = spark.createDataFrame(texts, "text string"), jaccard.Rule(5, 80, 100), {}
+    for parts in (2, 5000):
+        rows = jaccard.dealt_keys(docs, rule, parts).collect()
+        n = sum(len(r["index"]) for r in rows)
+        assert len({r["part"] for r in rows}) > parts // 3
+        size[parts] = sum(len(r["keys"]) + len(r["index"]) + len(r["names"]) for r in rows) / n
+    assert size[2] < 7 and size[5000] <= 12
+
+
+def test_sets_of_one_name_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "NAME_BYTES", 1)
+    random = np.random.default_rng(4)
+    rows = []
+    for group in range(40):
+        words = [f"g{group}x{k}" for k in range(int(random.integers(20, 80)))]
+        for _ in range(int(random.integers(1, 20))):
+            copy = list(words)
+            copy[int(random.integers(len(copy)))] = f"y{random.integers(100)}"
+            rows.append((len(rows), " ".join(copy)))
+    got = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string"), jaccard.Rule(3, 80, 100)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain_components(rows, 3, 80, 100)
+
+
+def test_first_rows_that_repeat_or_have_no_id_stay_once(spark):
+    words = [f"a{i}" for i in range(60)]
+    near = " ".join([*words, "z"])
+    rows = [(1, " ".join(words)), (1, " ".join(words)), (2, near), (None, near), (2, "alone " + " ".join(words[::-1])), (None, "b " * 9), (None, "b " * 9), (7, None)]
+    left = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), jaccard.Rule(5, 80, 100)).collect()
+    assert sorted((tuple(r) for r in left), key=str) == sorted([rows[0], rows[4], rows[5], rows[7]], key=str)
+
+
 def test_decontamination_finds_windows_and_removes_them(spark, docs):
     items = [(1, "quick, brown FOX jumps over the lazy dog again and again"), (1, "quick, brown FOX jumps over the lazy dog again and again"), (2, "One!"), (3, None), (None, "no id here at all"), (4, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")

@@ -3,10 +3,10 @@
 Sets of n-grams are kept as 64-bit hashes in one global order (the hash). The join has three steps.
 
 1. Blocking. Sets with Jaccard similarity t or more differ in at most d elements, d following from their
-   sizes. The hash range is cut into m > d parts, so some part of both holds the same elements; its digest is a
-   blocking key. Empty parts are keys only for sets with more than m - d - 1 of them.
-   Keys are dealt out as packed arrays; each key's first set is its hub, and every later set of the key
-   yields an edge (hub, set). A key that a third of all sets have is one entry and a stream of edges.
+   sizes. The hash range is cut into m > d parts, so m - d parts of both hold the same elements. Digests of a set's
+   d + 1 largest parts are its blocking keys: the largest part that two linked sets share is among them in both.
+   Keys are dealt out as packed arrays, with short names of their sets; each key's first set is its hub, and every
+   later set of the key yields an edge (hub, set). A key that a third of all sets have is one entry and a stream of edges.
 2. Prefix trees. The sets of a hub's star meet in blocks of bounded size. A block stores its sets in a trie,
    equal beginnings once. Each set walks down the trie with the overlap so far shared by all sets below;
    a subtree is left when the elements that remain can't bring the overlap up to what is needed, or when all
@@ -46,6 +46,8 @@ PARITY_SETS, PARITY_ELEMENTS = 16_384, 32_000_000
 PARITY_STEP = 1 << 21
 #: Bits of the filter that says which documents may be needed again (2 MB, whatever the input).
 FILTER_BITS = 1 << 24
+#: Bytes of a blocking key that are dealt out, and of the name that a set has there, whatever the number of partitions.
+KEY_BYTES, NAME_BYTES = 5, 6
 #: Keys of a partition that are sorted at once.
 CHUNK = 1 << 18
 #: Elements compared between two looks at the bound.
@@ -110,22 +112,26 @@ def _lows(rule: Rule) -> np.ndarray:
 def blocking_keys(values: np.ndarray, rule: Rule) -> np.ndarray:
     """Keys of which linked sets share one, for the set's own range of sizes and the next.
 
-    At least 1 + spare of d + 1 + spare parts agree; parts without elements are left out unless more than
-    spare of the set's are.
+    Two sets that differ in at most `most` elements agree in m - most parts or more. Ordered by size and place, the last of
+    these has m - most - 1 others before it in either set, so that many parts, the smallest, need no key.
     """
-    own = int(np.searchsorted(_lows(rule), len(values), "right")) - 1
+    n = len(values)
+    own = int(np.searchsorted(_lows(rule), n, "right")) - 1
     sums = np.concatenate([[U(0)], np.cumsum(mixed(values ^ U(0x5851F42D4C957F2D)), dtype=U)])
     keys = []
     for c in (own, own + 1):
-        d = rule.differing(2 * _classes(rule)[c][1])
-        spare = d // 10
-        m = d + 1 + spare
+        high = _classes(rule)[c][1]
+        d = rule.differing(2 * high)
+        m = d + 1 + d // 2
+        # no linked set that has keys of this range is larger
+        most = rule.differing(n + min(high, rule.den * n // rule.num))
         bounds = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(U)
-        cuts = np.concatenate([[0], np.searchsorted(values, bounds), [len(values)]])
-        sizes, part = np.diff(cuts), np.arange(m, dtype=U)
-        name = part * U(0x9E3779B97F4A7C15) + U(c * 0xC2B2AE3D27D4EB4F % 2**64) + sizes.astype(U)
-        digest = mixed(sums[cuts[1:]] - sums[cuts[:-1]] + name)
-        keys.append(digest if (sizes == 0).sum() > spare else digest[sizes > 0])
+        cuts = np.concatenate([[0], np.searchsorted(values, bounds), [n]])
+        sizes = np.diff(cuts)
+        without = m - 1 - most
+        part = np.argpartition(sizes * m + np.arange(m), without)[without:]
+        name = part.astype(U) * U(0x9E3779B97F4A7C15) + U(c * 0xC2B2AE3D27D4EB4F % 2**64) + sizes[part].astype(U)
+        keys.append(mixed(sums[cuts[part + 1]] - sums[cuts[part]] + name))
     return np.concatenate(keys)
 
 
@@ -145,10 +151,8 @@ def document_sets(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.select(id_.cast("long").alias("doc_id"), text.cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, node binary, bits binary")
 
 
-def candidate_edges(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Edges (hub, node) between sets that share a blocking key; every such set has an edge to the key's hub."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def dealt_keys(docs: DataFrame, rule: Rule, parts: int) -> DataFrame:
+    """Blocking keys of all sets, packed by the partition they go to: part, keys, index (of a key's set), names (of these sets)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, seen = kept("words", Memo), set()
@@ -170,10 +174,10 @@ def candidate_edges(docs: DataFrame, rule: Rule) -> DataFrame:
             if not nodes:
                 continue
             keys, owner = np.concatenate(keys), np.concatenate(owner)
-            table = np.frombuffer(b"".join(nodes), U).reshape(-1, 2)
+            table = np.frombuffer(b"".join(node[:NAME_BYTES] for node in nodes), np.uint8).reshape(-1, NAME_BYTES)
             place = (keys >> U(40)) % U(parts)
-            # 48 bits tell keys of one part apart well enough; a chance meeting costs a comparison
-            short = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            # so many bits tell keys of one part apart well enough; a chance meeting costs a comparison
+            short = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
             order = np.argsort(place, kind="stable")
             ends = np.searchsorted(place[order], np.arange(parts + 1, dtype=U))
             rows = []
@@ -183,44 +187,50 @@ def candidate_edges(docs: DataFrame, rule: Rule) -> DataFrame:
                     used, index = np.unique(owner[at], return_inverse=True)
                     rows.append((p, short[at].tobytes(), index.astype(np.uint8).tobytes(), table[used].tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=["part", "keys", "index", "nodes"]
+                [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=["part", "keys", "index", "names"]
             )
 
+    (text,) = pick(docs, "text")
+    return docs.select(text.cast("string").alias("text")).mapInArrow(deal, "part int, keys binary, index binary, names binary")
+
+
+def candidate_pairs(docs: DataFrame, rule: Rule) -> DataFrame:
+    """Edges (hub, name) between names of sets that share a blocking key; every such set has an edge to the key's hub."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, hubs = np.empty(0, U), np.empty((0, 2), U)
+        known, hubs = np.empty(0, U), np.empty(0, U)
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
         def settle() -> pa.RecordBatch:
             nonlocal known, hubs
-            keys, nodes = np.concatenate([k for k, _ in waiting]), np.concatenate([n for _, n in waiting])
+            keys, names = np.concatenate([k for k, _ in waiting]), np.concatenate([n for _, n in waiting])
             waiting.clear()
-            order = np.lexsort((nodes[:, 1], nodes[:, 0], keys))
-            keys, nodes = keys[order], nodes[order]
+            order = np.lexsort((names, keys))
+            keys, names = keys[order], names[order]
             first = np.concatenate([[True], keys[1:] != keys[:-1]])
             start = np.flatnonzero(first)
             group = np.cumsum(first) - 1
-            heads, hub = keys[start], nodes[start]
+            heads, hub = keys[start], names[start]
             at = np.minimum(np.searchsorted(known, heads), max(len(known) - 1, 0))
             old = known[at] == heads if len(known) else np.zeros(len(heads), bool)
-            hub = np.where(old[:, None], hubs[at], hub) if len(known) else hub
+            hub = np.where(old, hubs[at], hub) if len(known) else hub
             mine = hub[group]
-            edge = (mine != nodes).any(1)
-            pairs = np.unique(np.concatenate([mine[edge], nodes[edge]], 1), axis=0) if edge.any() else np.empty((0, 4), U)
+            edge = mine != names
+            pairs = np.unique(np.stack([mine[edge], names[edge]], 1), axis=0)
             new = ~old
             known, hubs = np.concatenate([known, heads[new]]), np.concatenate([hubs, hub[new]])
             order = np.argsort(known, kind="stable")
             known, hubs = known[order], hubs[order]
-            raw = np.ascontiguousarray(pairs)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r.tobytes() for r in raw[:, :2]], pa.binary()), pa.array([r.tobytes() for r in raw[:, 2:]], pa.binary())], names=["hub", "node"]
-            )
+            raw = np.ascontiguousarray(pairs).astype("<u8")
+            return pa.RecordBatch.from_arrays([pa.array([r.tobytes()[:NAME_BYTES] for r in raw[:, k]], pa.binary()) for k in (0, 1)], names=["hub", "name"])
 
         held = 0
         give_back()
         for batch in batches:
-            for keys, index, nodes in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                keys = unpacked(keys)
-                waiting.append((keys, np.frombuffer(nodes, U).reshape(-1, 2)[np.frombuffer(index, np.uint8)]))
+            for keys, index, names in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                keys = unpacked(keys, KEY_BYTES)
+                waiting.append((keys, unpacked(names, NAME_BYTES)[np.frombuffer(index, np.uint8)]))
                 held += len(keys)
                 if held >= CHUNK:
                     yield settle()
@@ -228,9 +238,18 @@ def candidate_edges(docs: DataFrame, rule: Rule) -> DataFrame:
         if waiting:
             yield settle()
 
-    (text,) = pick(docs, "text")
-    dealt = docs.select(text.cast("string").alias("text")).mapInArrow(deal, "part int, keys binary, index binary, nodes binary")
-    return dealt.repartitionById(parts, F.col("part")).mapInArrow(meet, "hub binary, node binary").distinct()
+    return dealt_keys(docs, rule, parts).repartitionById(parts, F.col("part")).mapInArrow(meet, "hub binary, name binary").distinct()
+
+
+def candidate_edges(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """Edges (hub, node) between sets that share a blocking key or a name; every such set has an edge to the hub."""
+    # a name is the beginning of a digest: hardly any two sets have the same
+    name = F.substring("node", 1, NAME_BYTES)
+    named = classes.where("n > 0").groupBy(name.alias("name")).agg(F.collect_set("node").alias("nodes"))
+    heads = named.select(F.col("name").alias("hub"), F.array_min("nodes").alias("head"))
+    met = candidate_pairs(docs, rule).join(heads, "hub").join(named, "name").select(F.col("head").alias("hub"), F.explode("nodes").alias("node"))
+    same = named.where(F.size("nodes") > 1).select(F.array_min("nodes").alias("hub"), F.explode("nodes").alias("node")).where("hub != node")
+    return met.unionByName(same)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -239,9 +258,9 @@ def packed(values: np.ndarray) -> bytes:
     return (values >> U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+def unpacked(raw: bytes, width: int = 6) -> np.ndarray:
+    wide = np.zeros((len(raw) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
     return wide.view("<u8").reshape(-1)
 
 
@@ -505,7 +524,7 @@ def partners(rows: DataFrame, marks: DataFrame, rule: Rule, *keys: str) -> DataF
 
 def set_links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame | None:
     """(node, label) of the sets that link with another one, or None if there are no candidates."""
-    edges = stored(candidate_edges(docs, rule), "candidates")
+    edges = stored(candidate_edges(docs, classes, rule), "candidates")
     if edges.isEmpty():
         return None
     nodes = edges.select("node").unionByName(edges.select(F.col("hub").alias("node"))).distinct()
@@ -524,7 +543,7 @@ def set_links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame | No
     hubs = placed.select("hub", F.col("hub").alias("node"), "block").distinct()
     filled = placed.unionByName(hubs).distinct().select("*", F.col("node").alias("label"), F.lit(True).alias("asks"))
     filled = stored(partners(filled, marks, rule, "hub", "block"), "filled")
-    sets = stored(wanted_sets(docs, classes, filled.select("node").distinct(), rule), "sets").select("node", "values")
+    sets = bucketed(wanted_sets(docs, classes, filled.select("node").distinct(), rule), "sets", "node").select("node", "values")
     links = stored(tree_join(filled.join(sets, "node").withColumn("label", F.lit(None).cast("binary")), rule, "hub", "block"), "links")
     labels = stored(components(links), "labels")
 
@@ -562,12 +581,14 @@ def joined(docs: DataFrame, rule: Rule) -> DataFrame:
 def one_of_each(docs: DataFrame, rule: Rule) -> DataFrame:
     """The rows of docs without all but the first (by doc_id) of each component; columns stay.
 
-    Only rows that may be in a component of several are shuffled; the others pass as they are.
+    Only rows that may go, by a filter of their doc_id, are shuffled; the others pass as they are.
     """
     rows = stored(labelled(docs, rule), "labelled").where("n > 0")
     groups = rows.groupBy("label").agg(F.count("*").alias("rows"), F.min("doc_id").alias("first")).where("rows > 1")
     several = stored(rows.join(groups, "label").select("doc_id", "node", "label", "first"), "several")
-    flagged, flag = maybe_in(docs, id_filter(several, "doc_id"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first"))
+    again = several.where(stays).groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    flagged, flag = maybe_in(docs, id_filter(several.where(~stays).select("doc_id").unionByName(again.select("doc_id")), "doc_id"))
     sure, maybe = flagged.where(~F.col(flag)).drop(flag), flagged.where(F.col(flag)).drop(flag)
     decisions = several.select("node", "label", "first").distinct()
     node, at, names = fresh(docs, "node"), docs.columns.index("text"), docs.columns
