@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -161,6 +162,30 @@ def plain_components(rows, n, num, den):
     return sorted(((r[0], len(s), c) for r, s, c in zip(rows, sets, ids)), key=str)
 
 
+def test_small_tables_of_components_take_few_files(spark):
+    # each file that a task writes may cost its executor a process
+    session = spark.newSession()
+    top = Path(session.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(top.glob("llm-edges-*"))
+    session.conf.set("spark.sql.shuffle.partitions", "12")
+    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    edges = session.range(20).selectExpr("cast(cast(id as string) as binary) as a", "cast(cast(id + 1 as string) as binary) as b")
+    found = jaccard.components(edges)
+    assert {bytes(r[1]) for r in found.collect()} == {b"0"} and found.distinct().count() == 21
+    written = sorted(len(list(d.glob("part-*.parquet"))) for d in set(top.glob("llm-edges-*")) - before)
+    assert len(written) > 2 and written[-2] <= 8
+
+
+def test_sets_wanted_again_take_one_python_step(spark):
+    # two in a row keep two Python processes for each task of an executor
+    docs = spark.createDataFrame([(k, f"some words of text {k}") for k in range(20)], "doc_id long, text string")
+    rule = jaccard.Rule()
+    classes = jaccard.stored(jaccard.document_sets(docs, rule), "classes")
+    wanted = jaccard.wanted_sets(docs, classes, classes.where("doc_id < 5").select("node"), rule)
+    assert sorted(r["node"] for r in wanted.collect()) == sorted(r["node"] for r in classes.where("doc_id < 5").collect())
+    assert wanted._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 @pytest.mark.parametrize("rule", [jaccard.Rule(3, 90, 100), jaccard.Rule(5, 80, 100)])
 def test_jaccard_join_against_all_pairs(spark, rule):
     random = np.random.default_rng(5)

@@ -54,6 +54,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a small table's file, and files of it at least.
+FILE_ROWS, LEAST_FILES = 100_000, 8
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many partitions as about so many short rows need. Where a table is written, each file costs a request or,
+    on local disks without Hadoop's native library, a process that the executor starts. Only for steps that end in
+    light work behind a shuffle: they run in no more tasks than this."""
+    return df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
+
+
 def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
     """Like stored(), in buckets of a column: later joins on that column don't move these rows."""
     spark = df.sparkSession

@@ -32,11 +32,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, DataType, StructField, StructType
+from pyspark.sql.types import BinaryType, DataType, StructField, StructType
 
-from veilscan.llm.common import Memo, blobs, bucketed, fresh, give_back, kept, mixed, pick, slices, stored
+from veilscan.llm.common import Memo, blobs, bucketed, few, fresh, give_back, kept, mixed, pick, slices, stored
 
 #: A block of a star holds about so many sets and so many elements.
 BLOCK_SETS, BLOCK_ELEMENTS = 1024, 2_000_000
@@ -422,6 +422,7 @@ def tree_join(blocks: DataFrame, rule: Rule, *keys: str) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of edges (a, b); label is the component's smallest node. Large and small stars in turn."""
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+    rows = edges.count()
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -430,11 +431,12 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
+        changed = small.unionByName(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        edges = stored(few(changed.where("u != v").distinct(), rows), "edges")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == mark:
             break
-        mark = now
+        mark, rows = now, now[0]
     return edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
@@ -452,37 +454,35 @@ def id_filter(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def maybe_in(docs: DataFrame, bitmap: np.ndarray, column: str = "doc_id") -> tuple[DataFrame, str]:
-    """docs with a boolean column that is true for all ids of the filter (and for few others)."""
-    sent, name = docs.sparkSession.sparkContext.broadcast(bitmap), fresh(docs, "maybe")
-    bit = F.pmod(F.xxhash64(pick(docs, column)[0].cast("long")), F.lit(FILTER_BITS)).alias("bit")
-    columns, place = docs.columns, len(docs.columns)
+def bit_of(column: Column) -> Column:
+    """The bit of an id in such a bitmap."""
+    return F.pmod(F.xxhash64(column.cast("long")), F.lit(FILTER_BITS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            bits = np.asarray(part.column(place))
-            flag = (sent.value[bits // 64] >> (bits % 64)) & 1
-            yield pa.RecordBatch.from_arrays([*part.columns[:place], pa.array(flag.astype(bool))], names=[*columns, name])
 
-    return docs.withColumn(name, bit).mapInArrow(run, with_field(docs, name, BooleanType())), name
+def maybe_in(bits: pa.Array, bitmap: np.ndarray) -> np.ndarray:
+    """True for the bits of all ids of the filter (and of few others)."""
+    bits = np.asarray(bits)
+    return ((bitmap[bits // 64] >> (bits % 64)) & 1).astype(bool)
 
 
 def wanted_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """(node, n, values) of the given nodes, computed again from one document each."""
     one = classes.where("n > 0").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     id_, text = pick(docs, "doc_id", "text")
-    chosen, flag = maybe_in(docs.select(id_.cast("long").alias("doc_id"), text.cast("string").alias("text")), id_filter(one, "doc_id"))
+    sent = docs.sparkSession.sparkContext.broadcast(id_filter(one, "doc_id"))
 
+    # one function filters and makes sets: two in a row would take two Python processes a task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = kept("words", Memo)
         for part in slices(batches):
+            part = part.filter(pa.array(maybe_in(part.column(1), sent.value)))
             sets = [word_set(t, memo, rule.words) for t in blobs(part.column(0))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([node_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([packed(s) for s in sets], pa.binary())],
                 names=["node", "n", "values"],
             )
 
-    sets = chosen.where(flag).select("text").mapInArrow(run, "node binary, n long, values binary")
+    sets = docs.select(text.cast("string").alias("text"), bit_of(id_).alias("bit")).mapInArrow(run, "node binary, n long, values binary")
     one_each = Window.partitionBy("node").orderBy("n")
     return sets.join(nodes, "node", "left_semi").withColumn("nth", F.row_number().over(one_each)).where("nth = 1").drop("nth")
 
@@ -525,7 +525,7 @@ def partners(rows: DataFrame, marks: DataFrame, rule: Rule, *keys: str) -> DataF
 def set_links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame | None:
     """(node, label) of the sets that link with another one, or None if there are no candidates."""
     edges = stored(candidate_edges(docs, classes, rule), "candidates")
-    if edges.isEmpty():
+    if not (met := edges.count()):
         return None
     nodes = edges.select("node").unionByName(edges.select(F.col("hub").alias("node"))).distinct()
     one_each = classes.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
@@ -534,8 +534,8 @@ def set_links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame | No
     # a star holds its hub too
     members = edges.unionByName(edges.select("hub", F.col("hub").alias("node")).distinct()).join(sizes, "node")
     counts = members.groupBy("hub").agg(F.count("*").alias("sets"), F.sum("n").alias("elements"))
-    stars = stored(counts.select("hub", "sets", _blocks(F.col("sets"), F.col("elements"), BLOCK_SETS, BLOCK_ELEMENTS).alias("blocks")), "stars")
-    members = stored(members.join(stars, "hub"), "members")
+    stars = stored(few(counts.select("hub", "sets", _blocks(F.col("sets"), F.col("elements"), BLOCK_SETS, BLOCK_ELEMENTS).alias("blocks")), met), "stars")
+    members = stored(few(members.join(stars, "hub"), met), "members")
 
     # first each set meets its largest star only, in one block of it, with the hub
     home = members.groupBy("node").agg(F.max_by(F.struct("hub", "blocks"), F.struct("sets", "hub")).alias("home")).select("node", "home.*")
@@ -545,19 +545,20 @@ def set_links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame | No
     filled = stored(partners(filled, marks, rule, "hub", "block"), "filled")
     sets = bucketed(wanted_sets(docs, classes, filled.select("node").distinct(), rule), "sets", "node").select("node", "values")
     links = stored(tree_join(filled.join(sets, "node").withColumn("label", F.lit(None).cast("binary")), rule, "hub", "block"), "links")
-    labels = stored(components(links), "labels")
+    labels = stored(few(components(links), met), "labels")
 
     # then stars whose sets aren't all connected: what isn't with the hub meets all blocks of the star
     split = members.join(labels, "node", "left").select("hub", "node", "n", F.coalesce("label", "node").alias("label"))
     main = split.where("hub = node").select("hub", F.col("label").alias("main"))
-    split = stored(split.join(main, "hub").select("hub", "node", "n", "label", (F.col("label") != F.col("main")).alias("apart")), "split")
+    split = split.join(main, "hub").select("hub", "node", "n", "label", (F.col("label") != F.col("main")).alias("apart"))
+    split = stored(few(split, met), "split")
     possible = partners(crossed(split, PARITY_SETS, PARITY_ELEMENTS), marks, rule, "hub", "a", "b").select("hub", "node").distinct()
-    split = stored(split.join(possible, ["hub", "node"], "left_semi"), "partnered")
+    split = stored(few(split.join(possible, ["hub", "node"], "left_semi"), met), "partnered")
     if split.where("apart").isEmpty():
         return labels
     more = wanted_sets(docs, classes, split.select("node").distinct(), rule).select("node", "values")
     blocks = crossed(split, BLOCK_SETS, BLOCK_ELEMENTS).drop("asks").join(more, "node")
-    return stored(components(links.unionByName(tree_join(blocks, rule, "hub", "a", "b"))), "labels")
+    return stored(few(components(links.unionByName(tree_join(blocks, rule, "hub", "a", "b"))), met), "labels")
 
 
 def labelled(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -566,12 +567,13 @@ def labelled(docs: DataFrame, rule: Rule) -> DataFrame:
     labels = set_links(docs, classes, rule)
     if labels is None:
         return classes.withColumn("label", F.col("node"))
-    return classes.join(labels, "node", "left").select("doc_id", "n", "node", F.coalesce("label", "node").alias("label"))
+    rows = classes.join(labels, "node", "left").select("doc_id", "n", "node", F.coalesce("label", "node").alias("label"))
+    return stored(few(rows, classes.count()), "labelled")
 
 
 def joined(docs: DataFrame, rule: Rule) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
-    rows = stored(labelled(docs, rule), "labelled")
+    rows = labelled(docs, rule)
     some = rows.where("n > 0")
     groups = some.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     linked = some.join(groups, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -583,26 +585,33 @@ def one_of_each(docs: DataFrame, rule: Rule) -> DataFrame:
 
     Only rows that may go, by a filter of their doc_id, are shuffled; the others pass as they are.
     """
-    rows = stored(labelled(docs, rule), "labelled").where("n > 0")
+    rows = labelled(docs, rule).where("n > 0")
     groups = rows.groupBy("label").agg(F.count("*").alias("rows"), F.min("doc_id").alias("first")).where("rows > 1")
-    several = stored(rows.join(groups, "label").select("doc_id", "node", "label", "first"), "several")
+    several = stored(few(rows.join(groups, "label").select("doc_id", "node", "label", "first"), rows.count()), "several")
     stays = F.col("doc_id").eqNullSafe(F.col("first"))
     again = several.where(stays).groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
-    flagged, flag = maybe_in(docs, id_filter(several.where(~stays).select("doc_id").unionByName(again.select("doc_id")), "doc_id"))
-    sure, maybe = flagged.where(~F.col(flag)).drop(flag), flagged.where(F.col(flag)).drop(flag)
+    bitmap = id_filter(several.where(~stays).select("doc_id").unionByName(again.select("doc_id")), "doc_id")
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
     decisions = several.select("node", "label", "first").distinct()
-    node, at, names = fresh(docs, "node"), docs.columns.index("text"), docs.columns
+    node, bit, at, names = fresh(docs, "node"), fresh(docs, "bit"), docs.columns.index("text"), docs.columns
+    id_ = pick(docs, "doc_id")[0]
+    flagged = docs.withColumn(bit, bit_of(id_))
+
+    def pass_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            yield pa.RecordBatch.from_arrays(part.columns[:-1], names=names).filter(pa.array(~maybe_in(part.column(len(names)), sent.value)))
 
     def add_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = kept("words", Memo)
         for part in slices(batches):
+            part = part.filter(pa.array(maybe_in(part.column(len(names)), sent.value)))
             nodes = [node_of(word_set(t, memo, rule.words)) for t in blobs(part.column(at))]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nodes, pa.binary())], names=[*names, node])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(nodes, pa.binary())], names=[*names, node])
 
-    known = maybe.mapInArrow(add_node, with_field(docs, node, BinaryType()))
+    sure = flagged.mapInArrow(pass_on, docs.schema)
+    known = flagged.mapInArrow(add_node, with_field(docs, node, BinaryType()))
     label, first, nth = fresh(docs, "label"), fresh(docs, "first"), fresh(docs, "nth")
     known = known.join(decisions.toDF(node, label, first), node, "left")
-    id_ = pick(docs, "doc_id")[0]
     unlinked = known.where(F.col(label).isNull())
     heads = known.where(F.col(label).isNotNull() & id_.eqNullSafe(F.col(first)))
     heads = heads.withColumn(nth, F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64("text")))).where(F.col(nth) == 1)
