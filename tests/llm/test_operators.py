@@ -50,6 +50,22 @@ def test_encoder_equals_library():
     assert [np.frombuffer(g, "<u4").tolist() + [0] for g in got] == [library_ids(t, 0) for t in texts]
 
 
+def test_words_go_to_the_model_as_they_are(monkeypatch):
+    # the library's normaliser and splitter took half of the time of a new word
+    draw = random.Random(3)
+    texts = [" ".join("".join(draw.choices("aeinrstéßöñÿÇ", k=draw.randrange(1, 30))) for _ in range(200)) + "\v" for _ in range(5)]
+    encoder = Encoder(default_tokenizer())
+    monkeypatch.setattr(encoder, "_library", lambda runs: [1 / 0 for _ in runs])
+    assert [np.frombuffer(g, "<u4").tolist() + [0] for g in encoder.encode(texts)] == [library_ids(t, 0) for t in texts]
+
+
+def test_encoder_equals_library_on_odd_runs():
+    draw = random.Random(4)
+    texts = ["".join(draw.choices("aZéß×÷.,! \n\t\x00\x1b\x1c\x1f\x0b09-<|–…", k=draw.randrange(0, 60))) for _ in range(400)]
+    got = Encoder(default_tokenizer()).encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() + [0] for g in got] == [library_ids(t, 0) for t in texts]
+
+
 def test_token_files_round_trip(spark, docs):
     rows = sorted(token_files.token_table(docs, default_tokenizer(), 2).collect(), key=lambda r: r["start"])
     ordered = sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
