@@ -1,14 +1,15 @@
-"""Questions over all documents at once: an inverted index of words, with n-gram postings for parts of words.
+"""Questions over all documents at once: sentences in blocks, a block inverted where it meets the questions.
 
 A question's terms count where they occur in a sentence, inside words too.  Terms hold no white space, so an occurrence
-lies within one word.  The index therefore has a dictionary of the corpus's distinct words, postings that say in which
-sentences a word stands, and postings that say in which dictionary words a run of three characters stands.  A term finds
-its words through the rarest of its runs, checks them, and goes on to the sentences by equality of words.
-
-Common terms stand in most sentences, so pairs of questions and sentences never become rows.  Sentences are dealt into
-blocks of bounded size, and so are questions.  Within a block a term is a bitmap of sentences; a question's scores are the
-sum of its bitmaps, kept as binary digits, of which the best few sentences are read off.  Every question meets every
-block: the work grows with questions times sentences, 64 of these at a time, and memory with a block.
+lies within one word.  The index holds each sentence once.  Sentences are dealt into blocks of bounded size, and so are
+questions; every question meets every block.  A task splits its block's sentences into words, finds the terms in the
+distinct words by the hashes of all their runs, and so the sentences of each term.  Only sentences and questions move,
+the former once for a set of questions, the latter once for a block.
+
+Pairs of questions and sentences never become rows.  The longest sentences of a block tell first how many terms a
+question's best ones have at least.  To have w terms of n, a sentence needs one of the n - w + 1 rarest, so that these
+terms' sentences are the only ones to look at; common terms are bitmaps, looked up for them, and a sentence is dropped
+when the terms left can't bring it to w.  The work still grows with questions times sentences.
 """
 
 from __future__ import annotations
@@ -21,199 +22,251 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from veilscan.functions.text import compact_sql, search_terms, sentences_sql
 from veilscan.settings import DEFAULT_OPTIONS, Options
 
-#: Sentences, and questions, of one task, about.
-BLOCK, ASKED = 1 << 16, 1 << 15
+#: Sentences, and their bytes, of one task, about; fewer, but not under LEAST, where there are too few blocks for the cores.
+BLOCK, BYTES, LEAST = 1 << 20, 1 << 27, 1 << 17
+#: Questions, and bytes of their terms, of one task, about.
+ASKED, ASKED_BYTES = 1 << 18, 1 << 26
+#: Sentences that are inverted at once, and the longest ones, which are scored first.
+PART, FIRST = 1 << 18, 512
 #: Hits of a term in a sentence, about, that are written out at once.
 HITS = 1 << 21
 
-#: Every run of three characters of a string, overlapping ones too.
-RUNS = "array_distinct(regexp_extract_all({}, '(?s)(?=(.{{3}}))', 1))"
-
 
 @dataclass(frozen=True)
 class SentenceIndex:
-    """``sentences(key, pos, sentence)``, ``postings(word, block, place)``, ``places(block, place, key, pos)``, ``runs(run, word)``.
-
-    Places number the different keys and positions of a block, in their order.
-    """
+    """``sentences(key, pos, sentence, rest)``, dealt into blocks of about ``block``; ``rest`` is what display clips."""
 
     sentences: DataFrame
-    postings: DataFrame
-    places: DataFrame
-    runs: DataFrame
+    block: int = BLOCK
 
 
 def sentence_rows(
     docs: DataFrame, key: str = "doc_id", text: str = "masked_text", options: Options = DEFAULT_OPTIONS
 ) -> DataFrame:
-    """``(key, pos, sentence, words)``: non-blank sentences, clipped for display, and their distinct lower-case words."""
+    """``(key, pos, sentence, rest)``: non-blank sentences, clipped for display, and what is clipped."""
     split = docs.select(key, F.posexplode(F.expr(f"transform({sentences_sql(text)}, raw -> {compact_sql('raw')})")).alias("pos", "_flat"))
-    words = F.array_distinct(F.split(F.lower("_flat"), " "))
-    return split.where("_flat != ''").select(key, "pos", F.left("_flat", F.lit(options.sentence_chars)).alias("sentence"), words.alias("words"))
+    clip = options.sentence_chars
+    rest = F.when(F.length("_flat") > clip, F.substr("_flat", F.lit(clip + 1)))
+    return split.where("_flat != ''").select(key, "pos", F.left("_flat", F.lit(clip)).alias("sentence"), rest.alias("rest"))
 
 
 def build_sentence_index(
     docs: DataFrame, folder: str, key: str = "doc_id", text: str = "masked_text", options: Options = DEFAULT_OPTIONS, block: int = BLOCK
 ) -> SentenceIndex:
-    """Write the index of documents below a shared folder and open it.
+    """Write the index of documents below a shared folder and open it; the texts are read once."""
+    sentence_rows(docs, key, text, options).write.option("compression", "zstd").parquet(f"{folder}/sentences")
+    return open_sentence_index(docs.sparkSession, folder, block)
 
-    The texts are read once; postings and dictionary come from the written sentences, of which a block holds about ``block``.
-    """
-    spark = docs.sparkSession
-    sentence_rows(docs, key, text, options).write.parquet(f"{folder}/sentences")
-    rows = spark.read.parquet(f"{folder}/sentences")
-    blocks = -(-rows.count() // block) or 1
-    order = Window.partitionBy("block").orderBy(key, "pos")
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(key, "pos"), F.lit(blocks)).cast("int"))
-    placed = dealt.withColumn("place", F.dense_rank().over(order) - 1)
-    placed.select("block", "place", key, "pos").distinct().write.parquet(f"{folder}/places")
-    placed.select(F.explode("words").alias("word"), "block", "place").write.parquet(f"{folder}/postings")
-    dictionary = spark.read.parquet(f"{folder}/postings").select("word").distinct()
-    dictionary.select(F.explode(F.expr(RUNS.format("word"))).alias("run"), "word").write.parquet(f"{folder}/runs")
-    return open_sentence_index(spark, folder)
-
-
-def open_sentence_index(spark: SparkSession, folder: str) -> SentenceIndex:
-    sentences, postings, places, runs = (spark.read.parquet(f"{folder}/{name}") for name in ("sentences", "postings", "places", "runs"))
-    return SentenceIndex(sentences.drop("words"), postings, places, runs)
-
-
-def words_with_terms(terms: DataFrame, index: SentenceIndex) -> DataFrame:
-    """``(term, word)``: the dictionary words that each of the distinct terms stands in."""
-    of_terms = terms.select("term", F.explode(F.expr(RUNS.format("term"))).alias("run"))
-    sizes = index.runs.join(of_terms.select("run").distinct(), "run", "left_semi").groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-    # a run that no word has has no size, and its term no word
-    rarest = of_terms.join(sizes, "run", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("_r"))
-    candidates = rarest.select("term", "_r.run").join(index.runs, "run")
-    return candidates.where(F.contains("word", "term")).select("term", "word")
-
-
-def best_in_block(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Of a block of words and one of questions, the k best sentences of each question.
+
+def open_sentence_index(spark: SparkSession, folder: str, block: int = BLOCK) -> SentenceIndex:
+    return SentenceIndex(spark.read.parquet(f"{folder}/sentences"), block)
+
+
+def best_in_block(k: int, part: int = PART) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of a block of sentences and one of questions, the k best sentences of each question.
 
     The functions stand inside, so that they go to the tasks by value and these need not find this package.
     """
 
-    def summed(planes: list[list[np.ndarray]]) -> list[np.ndarray]:
-        """The sum of bitmaps, as binary digits; ``planes[i]`` holds bitmaps that count 2 to the power i."""
-        digits, level = [], 0
-        while level < len(planes):
-            todo = planes[level]
-            more = planes[level + 1] if level + 1 < len(planes) else []
-            while len(todo) > 1:
-                a, b, c = todo.pop(), todo.pop(), todo.pop() if todo else None
-                odd = a ^ b
-                carry = a & b
-                if c is not None:
-                    carry |= odd & c
-                    odd = odd ^ c
-                todo.append(odd)
-                more.append(carry)
-            digits.append(todo[0] if todo else None)
-            if more and level + 1 == len(planes):
-                planes.append(more)
-            level += 1
-        return digits
-
-    def best_places(digits: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k places of the largest sums above 0, ties to smaller places, and these sums."""
-        sure, even, need = None, None, k
-        for digit in reversed(digits):
-            if digit is None:
+    def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of strings, one after the other, and where each begins and the last ends."""
+        texts = texts.cast(pa.large_binary())
+        _, begins, data = texts.buffers()
+        begins = np.frombuffer(begins, np.int64, len(texts) + 1, texts.offset * 8)
+        return np.frombuffer(data, np.uint8)[begins[0] : begins[-1]] if len(texts) else np.zeros(0, np.uint8), begins - begins[0]
+
+    def each_once(values: np.ndarray) -> np.ndarray:
+        values.sort()  # np.unique hashes, which takes many times longer here
+        return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+    def spread(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
+        """begin, begin + 1, ..., as many of each."""
+        at = np.repeat(begin - (np.cumsum(many) - many), many)
+        at += np.arange(len(at))
+        return at
+
+    by = np.uint64(0x9E3779B97F4A7C15)
+
+    def hashed(terms: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By length, the terms' hashes in order, and these terms."""
+        data, begins = characters(terms)
+        long = np.diff(begins)
+        order = np.argsort(-long, kind="stable")
+        at, sizes, codes, out = begins[order], long[order], np.zeros(len(order), np.uint64), {}
+        for n in range(1, int(long.max(initial=0)) + 1):
+            alive = int(np.searchsorted(-sizes, -n, "right"))
+            codes[:alive] = codes[:alive] * by + data[at[:alive] + (n - 1)]
+            ended = slice(int(np.searchsorted(-sizes, -n, "left")), alive)
+            if ended.start < alive:
+                by_code = np.argsort(codes[ended], kind="stable")
+                out[n] = codes[ended][by_code], order[ended][by_code]
+        return out
+
+    def words_with_terms(words: pa.Array, terms: pa.Array, of_terms: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Pairs of a term and a word that it stands in, each once, as ``term << 32 | word``, in order."""
+        data, begins = characters(words)
+        said, said_at = characters(terms)
+        if not len(data) or not of_terms:
+            return np.zeros(0, np.int64)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(begins))
+        ends = begins[1:][word]
+        at, code, found = np.arange(len(data)), np.zeros(len(data), np.uint64), []
+        for n in range(1, max(of_terms) + 1):
+            alive = at + n <= ends[at]
+            if not alive.all():
+                at, code = at[alive], code[alive]
+            if not len(at):
+                break
+            code = code * by + data[at + (n - 1)]
+            if n not in of_terms:
                 continue
-            with_it = digit if even is None else even & digit
-            n = int(np.bitwise_count(with_it).sum())
-            if n > need:
-                even = with_it
-            elif n:
-                sure = with_it if sure is None else sure | with_it
-                need -= n
-                even = ~digit if even is None else even & ~digit
-                if not need:
-                    break
-
-        def places(bits: np.ndarray, most: int) -> np.ndarray:
-            words = np.flatnonzero(bits)[:most]
-            return (
-                np.flatnonzero(np.unpackbits(bits[words].view(np.uint8), bitorder="little")) % 64
-                + 64 * np.repeat(words, np.bitwise_count(bits[words]))
-            )[:most]
-
-        found = places(sure, k) if sure is not None else np.zeros(0, int)
-        if need and even is not None:
-            found = np.r_[found, places(even, need)]
-        score = np.zeros(len(found), int)
-        for i, digit in enumerate(digits):
-            if digit is not None:
-                score += ((digit[found >> 6] >> (found & 63).astype(np.uint64)) & np.uint64(1)).astype(int) << i
-        return found[score > 0], score[score > 0]
-
-    def run(words: pa.Table, asked: pa.Table) -> pa.Table:
-        schema = pa.schema([("q_id", asked["q_id"].type), ("block", pa.int32()), ("place", pa.int32()), ("score", pa.int32())])
-        if not words.num_rows or not asked.num_rows:
+            sought, own = of_terms[n]
+            likely = np.zeros(1 << 20, bool)
+            likely[sought >> np.uint64(44)] = True
+            spots = np.flatnonzero(likely[code >> np.uint64(44)])
+            low = np.searchsorted(sought, code[spots])
+            most = int(np.diff(np.flatnonzero(np.r_[True, sought[1:] != sought[:-1], True])).max())
+            for more in range(most):  # one, unless terms share a hash
+                here = np.minimum(low + more, len(sought) - 1)
+                same = (sought[here] == code[spots]) & (low + more < len(sought))
+                where, term = at[spots[same]], own[here[same]]
+                for i in range(n):  # equal hashes may still be of other characters
+                    equal = data[where + i] == said[said_at[term] + i]
+                    if not equal.all():
+                        where, term = where[equal], term[equal]
+                found.append(term.astype(np.int64) << 32 | word[where])
+        return each_once(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+    def inverted(
+        texts: pa.Array, places: np.ndarray, size: int, terms: pa.Array, of_terms: dict[int, tuple[np.ndarray, np.ndarray]], share: int
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+        """How many places each term has, where its list begins, the lists, and bitmaps in place of lists that more than
+        one of ``share`` places would be in."""
+        split = pc.split_pattern(texts, " ")
+        coded = split.flatten().dictionary_encode()
+        if isinstance(coded, pa.ChunkedArray):
+            coded = coded.combine_chunks()
+        vocabulary, codes = coded.dictionary, np.asarray(coded.indices).astype(np.int64)
+        where = np.repeat(places, np.asarray(split.value_lengths()))
+        where = each_once(codes << 32 | where)  # the places of each word
+        freq = np.bincount(where >> 32, minlength=len(vocabulary))
+        begin = np.cumsum(freq) - freq
+        where = (where & 0xFFFFFFFF).astype(np.int32)
+        pairs = words_with_terms(vocabulary, terms, of_terms)
+        term, word = pairs >> 32, pairs & 0xFFFFFFFF
+        many = freq[word]
+        counts, lists, bitmaps = np.zeros(len(terms), np.int64), [], {}
+        starts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, int)
+        before = np.cumsum(many) - many
+        cut = np.flatnonzero(np.diff(before[starts] // HITS)) + 1
+        for lo, hi in zip(np.r_[0, starts[cut]], np.r_[starts[cut], len(term)]) if len(term) else ():
+            hits = where[spread(begin[word[lo:hi]], many[lo:hi])] + np.repeat(term[lo:hi] << 32, many[lo:hi])
+            hits = each_once(hits)
+            own = term[lo:hi][np.r_[True, term[lo + 1 : hi] != term[lo : hi - 1]]]
+            bounds = np.r_[np.searchsorted(hits, own << 32), len(hits)]
+            counts[own] = np.diff(bounds)
+            hits = (hits & 0xFFFFFFFF).astype(np.int32)
+            common = counts[own] * share > size
+            for i in np.flatnonzero(common):
+                flags = np.zeros(size, np.uint8)
+                flags[hits[bounds[i] : bounds[i + 1]]] = 1
+                bitmaps[int(own[i])] = np.packbits(flags, bitorder="little")
+            lists.append(hits[np.repeat(~common, np.diff(bounds))] if common.any() else hits)
+        listed = counts.copy()
+        listed[list(bitmaps)] = 0
+        return counts, np.r_[0, np.cumsum(listed)], np.concatenate(lists) if lists else np.zeros(0, np.int32), bitmaps
+
+    def least_scores(texts: pa.Array, terms: pa.Array, of_terms: dict[int, tuple[np.ndarray, np.ndarray]], lists: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The score that each question's k-th best of these sentences has, 1 at least."""
+        least = np.ones(len(ends), np.int64)
+        if len(texts) < k or not len(lists):
+            return least
+        counts, first, places, _ = inverted(texts, np.arange(len(texts)), len(texts), terms, of_terms, 0)
+        known = np.flatnonzero(counts)
+        row = np.full(len(terms), len(known))
+        row[known] = np.arange(len(known))
+        longest = int(np.diff(np.r_[0, ends]).max())
+        flags = np.zeros((len(known) + 1, len(texts)), np.uint8 if longest < 256 else np.uint32)
+        flags[np.repeat(np.arange(len(known)), counts[known]), places] = 1
+        begins = np.r_[0, ends[:-1]]
+        asked = np.flatnonzero(ends > begins)
+        for some in np.split(asked, np.flatnonzero(np.diff(begins[asked] >> 14)) + 1):
+            lo, hi = begins[some[0]], ends[some[-1]]
+            scores = np.add.reduceat(flags[row[lists[lo:hi]]], begins[some] - lo, axis=0, dtype=flags.dtype)
+            least[some] = np.partition(scores, len(texts) - k, axis=1)[:, len(texts) - k]
+        return np.maximum(least, 1)
+
+    def run(sentences: pa.Table, asked: pa.Table) -> pa.Table:
+        key = sentences.column_names[2]
+        schema = pa.schema([("q_id", asked["q_id"].type), (key, sentences[key].type), ("pos", pa.int32()), ("score", pa.int32())])
+        if not sentences.num_rows or not asked.num_rows:
             return schema.empty_table()
-        # term and sentence of every hit, each once
-        terms, places = words["terms"].combine_chunks(), words["places"].combine_chunks()
-        coded = terms.flatten().dictionary_encode()
-        names, codes = coded.dictionary, np.asarray(coded.indices).astype(np.int64)
-        many, at = np.asarray(terms.value_lengths()).astype(np.int64), np.asarray(places.flatten()).astype(np.int64)
-        size = int(at.max()) // 64 + 1
-        held = np.asarray(places.value_lengths()).astype(np.int64)
-
-        def each_once(values: np.ndarray) -> np.ndarray:
-            values.sort()  # np.unique hashes, which takes many times longer here
-            return values[np.r_[True, values[1:] != values[:-1]]]
-
-        begin_t, begin_p = np.cumsum(many) - many, np.cumsum(held) - held
-        cut = np.cumsum(many * held) // HITS
-        hits = []
-        for rows in np.split(np.arange(len(many)), np.flatnonzero(np.diff(cut)) + 1):
-            row = np.repeat(rows, many[rows])  # of every pair of word and term
-            long = held[row]
-            of = np.repeat(begin_p[row] - (np.cumsum(long) - long), long)
-            of += np.arange(len(of))
-            own = codes[begin_t[rows[0]] : begin_t[rows[-1]] + many[rows[-1]]]
-            hits.append(each_once(at[of] + np.repeat(own << 32, long)))
-        hits = each_once(np.concatenate(hits))
-        first = np.searchsorted(hits, np.arange(len(names) + 1) << 32)
-        hits = (hits & 0xFFFFFFFF).astype(np.int32)
-
-        def bitmap(spots: np.ndarray) -> np.ndarray:
-            flags = np.zeros(size * 64, np.uint8)
-            flags[spots] = 1
-            return np.packbits(flags, bitorder="little").view(np.uint64)
-
-        # common terms keep their bitmap, those of a question that are rare are counted by place
-        dense = {c: bitmap(hits[first[c] : first[c + 1]]) for c in np.flatnonzero(np.diff(first) > size)}
-        lists = asked["terms"].combine_chunks()
-        wanted = lists.flatten().dictionary_encode()
-        known = np.asarray(pc.index_in(wanted.dictionary, names).fill_null(-1))[np.asarray(wanted.indices)]
-        ends = np.cumsum(np.asarray(lists.value_lengths()))
-        found = []
-        for q, (lo, hi) in enumerate(zip(np.r_[0, ends[:-1]], ends)):
-            mine = [c for c in known[lo:hi].tolist() if c >= 0]
-            planes = [[dense[c] for c in mine if c in dense]]
-            rare = [hits[first[c] : first[c + 1]] for c in mine if c not in dense]
-            if len(rare) == 1:
-                planes[0].append(bitmap(rare[0]))
-            elif rare:
-                counts = np.bincount(np.concatenate(rare), minlength=size * 64).astype(np.uint8 if len(rare) < 256 else np.uint32)
-                for i in range(int(counts.max()).bit_length()):
-                    if i == len(planes):
-                        planes.append([])
-                    planes[i].append(np.packbits(counts & (1 << i) != 0, bitorder="little").view(np.uint64))
-            if mine:
-                where, score = best_places(summed(planes), k)
-                found.append((np.full(len(where), q), where, score))
-        if not found:
+        # places: the different keys and positions, in their order, unknown keys first
+        order = pc.sort_indices(sentences.select([key, "pos"]), sort_keys=[(key, "ascending"), ("pos", "ascending")], null_placement="at_start")
+        keys, pos = sentences[key].take(order).combine_chunks(), sentences["pos"].take(order).combine_chunks()
+        texts = sentences["words"].cast(pa.large_string()).take(order).combine_chunks()
+        same = np.asarray(keys.dictionary_encode(null_encoding="encode").indices), np.asarray(pos)
+        new = np.r_[True, (same[0][1:] != same[0][:-1]) | (same[1][1:] != same[1][:-1])]
+        place, rows = np.cumsum(new) - 1, np.flatnonzero(new)
+        said = pc.split_pattern(asked["terms"].combine_chunks(), " ")
+        wanted = said.flatten().dictionary_encode()
+        terms, lists = wanted.dictionary, np.asarray(wanted.indices).astype(np.int64)
+        ends = np.cumsum(np.asarray(said.value_lengths()).astype(np.int64))
+        of_terms, owner = hashed(terms), np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
+        longest = np.asarray(pc.binary_length(texts))[rows]
+        seeds = np.argpartition(-longest, FIRST)[:FIRST] if len(rows) > FIRST else np.arange(len(rows))
+        need = least_scores(texts.take(pa.array(rows[seeds])), terms, of_terms, lists, ends)
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for base in range(0, len(rows), part):
+            size = min(part, len(rows) - base)
+            lo, hi = rows[base], rows[base + size] if base + size < len(rows) else len(place)
+            counts, first, places, bitmaps = inverted(texts[lo:hi], place[lo:hi] - base, size, terms, of_terms, 32)
+            many = counts[lists]
+            here = np.flatnonzero(many)
+            here = here[np.lexsort((many[here], owner[here]))]  # a question's terms, rare ones first
+            mine, starts = lists[here], np.searchsorted(owner[here], np.arange(len(ends) + 1))
+
+            def listed(c: int) -> np.ndarray:
+                if c in bitmaps:
+                    return np.flatnonzero(np.unpackbits(bitmaps[c], count=size, bitorder="little")).astype(np.int32)
+                return places[first[c] : first[c + 1]]
+
+            for q in np.flatnonzero(np.diff(starts) >= need):
+                own, least = mine[starts[q] : starts[q + 1]].tolist(), int(need[q])
+                rare = len(own) - least + 1
+                spots = np.concatenate([listed(c) for c in own[:rare]])
+                spots.sort()
+                edge = np.flatnonzero(np.r_[True, spots[1:] != spots[:-1], True])
+                spots, score = spots[edge[:-1]], np.diff(edge)
+                for left, c in zip(range(least - 2, -1, -1), own[rare:]):
+                    if c in bitmaps:
+                        score = score + (bitmaps[c][spots >> 3] >> (spots & 7).astype(np.uint8) & 1)
+                    else:
+                        held = places[first[c] : first[c + 1]]
+                        score = score + (held[np.minimum(np.searchsorted(held, spots), len(held) - 1)] == spots)
+                    some = np.flatnonzero(score >= least - left)
+                    spots, score = spots[some], score[some]
+                    if not len(spots):
+                        break
+                if len(spots):
+                    spots = spots + base
+                    if q in best:
+                        spots, score = np.r_[best[q][0], spots], np.r_[best[q][1], score]
+                    top = np.argsort(-score, kind="stable")[:k]  # equal scores: smaller places first
+                    best[q] = spots[top], score[top]
+                    if len(top) == k:  # what comes later has larger places
+                        need[q] = max(least, int(score[top[-1]]) + 1)
+        if not best:
             return schema.empty_table()
-        q, where, score = map(np.concatenate, zip(*found))
-        block = np.full(len(q), words["block"][0].as_py())
-        return pa.Table.from_arrays([asked["q_id"].take(q), *(pa.array(x, pa.int32()) for x in (block, where, score))], schema=schema)
+        q = np.repeat(np.fromiter(best, np.int64), [len(spots) for spots, _ in best.values()])
+        at = pa.array(rows[np.concatenate([spots for spots, _ in best.values()])])
+        score = pa.array(np.concatenate([score for _, score in best.values()]), pa.int32())
+        return pa.Table.from_arrays([asked["q_id"].take(pa.array(q)), keys.take(at), pos.take(at), score], schema=schema)
 
     return run
 
@@ -227,23 +280,28 @@ def corpus_sentences(
     The score is the number of question terms that the sentence contains; ties go to smaller keys and positions.  A task
     ranks the sentences of a block for its questions and gives back the best, and only the winners meet their sentence.
     """
-    asked = questions.select("q_id", F.explode(search_terms(question)).alias("term"))
-    found = words_with_terms(asked.select("term").distinct(), index)
-    last = index.places.agg(F.max("block")).first()[0]
-    sets = -(-questions.count() // asked_block) or 1
-    of_word = found.groupBy("word").agg(F.collect_list("term").alias("terms"))
-    words = index.postings.groupBy("block", "word").agg(F.collect_list("place").alias("places")).join(of_word, "word").select(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("set"), "terms", "places"
+    asked = questions.select("q_id", search_terms(question).alias("terms")).groupBy("q_id").agg(
+        F.array_join(F.flatten(F.collect_list("terms")), " ").alias("terms")
+    ).where("terms != ''")
+    words = F.lower(F.concat("sentence", F.coalesce("rest", F.lit(""))))
+    rows, size = index.sentences.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(words)), F.lit(0))).first()
+    n_asked, asked_size = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("terms")), F.lit(0))).first()
+    cores = index.sentences.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-rows // index.block), -(-size // BYTES), min(2 * cores, -(-rows // LEAST)))
+    sets = max(1, -(-n_asked // asked_block), -(-asked_size // ASKED_BYTES))
+    dealt = index.sentences.select(
+        F.pmod(F.xxhash64(key, "pos"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("set"),
+        key, "pos", words.alias("words"),
     )
-    # other names than ``words`` has: both sides come from the questions
-    lists = asked.groupBy("q_id").agg(F.collect_list("term").alias("terms")).select(
-        "q_id", "terms", F.pmod(F.xxhash64("q_id"), F.lit(sets)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(last or 0)))
+    # other names than ``dealt`` has, so that none is ambiguous
+    lists = asked.select(
+        "q_id", "terms", F.pmod(F.xxhash64("q_id"), F.lit(sets)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     ).toDF("q_id", "terms", "_set", "_block")
-    q_type = questions.schema["q_id"].dataType.simpleString()
-    scores = words.groupBy("block", "set").cogroup(lists.groupBy("_block", "_set")).applyInArrow(
-        best_in_block(options.sentence_limit), f"q_id {q_type}, block int, place int, score int"
+    q_type, key_type = questions.schema["q_id"].dataType, index.sentences.schema[key].dataType
+    scores = dealt.groupBy("block", "set").cogroup(lists.groupBy("_block", "_set")).applyInArrow(
+        best_in_block(options.sentence_limit), StructType().add("q_id", q_type).add(key, key_type).add("pos", IntegerType()).add("score", IntegerType())
     )
     order = Window.partitionBy("q_id").orderBy(F.desc("score"), key, "pos")
-    ranked = scores.join(index.places, ["block", "place"]).withColumn("rank", F.row_number().over(order))
+    ranked = scores.withColumn("rank", F.row_number().over(order))
     best = ranked.where(F.col("rank") <= options.sentence_limit)
-    return best.join(index.sentences, [key, "pos"]).select("q_id", "rank", "score", key, "pos", "sentence")
+    return best.join(index.sentences.drop("rest"), [key, "pos"]).select("q_id", "rank", "score", key, "pos", "sentence")
