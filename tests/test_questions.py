@@ -4,11 +4,12 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.conftest import plan_of
 from veilscan.functions.text import STOP_WORDS
-from veilscan.operators.corpus_search import build_sentence_index, corpus_sentences
+from veilscan.operators.corpus_search import best_in_block, build_sentence_index, corpus_sentences
 from veilscan.operators.questions import answer_questions, answers_with_fallback, relevant_sentences, route_by_words
 from veilscan.operators.retrieval import chunk_text, nearest_chunks, pack_text, question_context, question_requests, scored_chunks
 from veilscan.plans.analysis import analyze, succeeded, with_playbook
@@ -203,3 +204,43 @@ def test_questions_meet_blocks_of_sentences(spark, tmp_path):
         want += [(q, i + 1, -n, k, text) for i, (n, known, k) in enumerate(ranked) if known for text in sentences[k]]
     got = [(r.q_id, r["rank"], r.score, r.doc_id, r.sentence) for r in best.collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_a_sentence_index_is_smaller_than_its_texts(spark, tmp_path):
+    """Sentences are stored once, and nothing besides; questions move no more than sentences, questions and winners."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9))) for _ in range(5000)]
+    rows = [(i, " ".join(" ".join(rng.choices(words, k=9)).capitalize() + "." for _ in range(20))) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = build_sentence_index(docs, str(tmp_path / "index"), text="text", block=5000)
+    assert sum(p.stat().st_size for p in (tmp_path / "index").rglob("*.parquet")) < sum(len(t) for _, t in rows)
+    best = corpus_sentences(spark.createDataFrame([(1, words[0])], "q_id long, question string"), index)
+    assert plan_of(best).count("FileScan parquet") == 1 and "Join" not in plan_of(best)
+
+
+def test_parts_of_a_block_keep_the_best_of_all():
+    """Several parts, places with several texts, long and equal terms, letters whose lower case is no ASCII."""
+    rng = random.Random(3)
+    common, rare = ["tion", "ment", "thing", "alpha"], [f"w{i:03d}x" for i in range(150)]
+    texts = [" ".join(rng.choices(common, k=rng.randrange(4)) + rng.choices(rare, k=3)).capitalize() for _ in range(900)]
+    texts[:4] = ["\u0130W001X W002X", "ALPHA " * 200 + "W003X", "alphathing", "x" * 300]
+    keys = [None if i % 97 == 0 else i // 2 for i in range(900)]
+    lowered = [t.lower() if t.lower() != "".join(c.lower() if c.isascii() else c for c in t) else None for t in texts]
+    asked = [(q, " ".join(rng.sample(common, 2) + rng.choices(rare, k=q % 9) + ["x" * (3 + q % 400)])) for q in range(300)]
+    left = pa.table({
+        "block": pa.array([0] * 900, pa.int32()), "set": pa.array([5] * 900, pa.int32()), "doc_id": pa.array(keys, pa.int64()),
+        "pos": pa.array([0] * 900, pa.int32()), "text": texts, "lowered": pa.array(lowered, pa.string()),
+    })
+    right = pa.table({"q_id": pa.array([q for q, _ in asked], pa.int64()), "terms": [t for _, t in asked]})
+    found = best_in_block(4, 600, part=64)(left, right).to_pylist()
+    held = defaultdict(list)
+    for i, key in enumerate(keys):
+        held[key].append(i)
+    want = set()
+    for q, terms in asked:
+        score = {key: sum(any(t in texts[i].lower() for i in own) for t in terms.split()) for key, own in held.items()}
+        ranked = sorted((-n, key is not None, key or 0) for key, n in score.items() if n)[:4]
+        want |= {(q, key if known else None, -n) for n, known, key in ranked}
+    assert {(r["q_id"], r["doc_id"], r["score"]) for r in found if r["score"]} == want
+    said = sorted(r["sentence"] for r in found if not r["score"])
+    assert said == sorted(texts[i][:600] for key in {k for _, k, _ in want} for i in held[key])
