@@ -30,12 +30,12 @@ from veilscan.functions.text import compact_sql, search_terms, sentences_sql
 from veilscan.settings import DEFAULT_OPTIONS, Options
 
 #: Sentences, and their bytes, of one task, about; fewer, but not under LEAST, where there are too few blocks for the cores.
-BLOCK, BYTES, LEAST = 1 << 20, 1 << 27, 1 << 17
+BLOCK, BYTES, LEAST = 1 << 19, 1 << 26, 1 << 17
 #: Questions, and bytes of their terms, of one task, about.
 ASKED, ASKED_BYTES = 1 << 18, 1 << 26
 #: Sentences that are inverted at once; the longest ones, and of these the ones with most of what is asked for, which
 #: are scored first.
-PART, LONGEST, FIRST = 1 << 18, 4096, 512
+PART, LONGEST, FIRST = 1 << 17, 4096, 512
 #: A term in more than one of so many sentences gets a bitmap, while there are fewer than BITMAPS.
 COMMON, BITMAPS = 256, 2048
 #: Sentences, about, for which all common terms are looked up at once, not one after the other.
